@@ -10,6 +10,50 @@ from pyspark.sql import functions as F
 from foliant.session import table
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select(F.lit("page").alias("src"), "document", F.col("page").alias("idx"), F.col("raw_text").alias("text"))
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "chunks").select(F.lit("chunk").alias("src"), "document", F.col("chunk_index").alias("idx"), "text")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.split import split_oversized
+
+    items = _pages(spark, d).union(_chunks(spark, d)).distinct()
+    return split_oversized(items, ["src", "document", "idx"], "text").select("src", "document", "idx", "piece", "start", "overlap_chars", "tokens", "piece_text")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.split import split_oversized
+
+    pieces = split_oversized(_pages(spark, d).union(_chunks(spark, d)), ["src", "document", "idx"], "text")
+    return pieces.filter("pieces > 1 AND piece = 0").select("src", "document", "idx").distinct()
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.near import near_pairs
+
+    questions = near_pairs(table(spark, d, "eval_results"), "query_id", "question").select(F.lit("question").alias("src"), "id_a", "id_b")
+    return questions.union(near_pairs(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunk"), "id_a", "id_b"))
+
+
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.near import near_classes
+
+    columns = ("id", F.col("class").alias("class_id"), "copies", "links")
+    questions = near_classes(table(spark, d, "eval_results"), "query_id", "question").select(F.lit("question").alias("src"), *columns)
+    return questions.union(near_classes(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunk"), *columns))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.neighbours import links, nearest
+
+    found = links(nearest(table(spark, d, "cache_rows"), "cache_id", "embedding", floor=0.85), 0.85)
+    return found.select(F.col("a").alias("cache_a"), F.col("b").alias("cache_b"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     from foliant.llm.tokens import encode_corpus
 
@@ -36,10 +80,21 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p2_found": p2_found,
+    "p2_pieces": p2_pieces,
+    "p3_found": p3_found,
+    "p3_classes": p3_classes,
+    "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p10_found": p10_found,
     "p10_passages": p10_passages,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "p2_found": """
+        SELECT DISTINCT 'page' AS src, document, page AS idx FROM pages WHERE floor(length(raw_text) / 4) > 512
+        UNION ALL
+        SELECT DISTINCT 'chunk', document, chunk_index FROM chunks WHERE floor(length(text) / 4) > 512
+    """,
+}
