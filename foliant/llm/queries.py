@@ -47,6 +47,15 @@ def p3_classes(spark: SparkSession, d: str) -> DataFrame:
     return questions.union(near_classes(table(spark, d, "chunks"), "chunk_id", "text").select(F.lit("chunk"), *columns))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.pairs import broken_pairs
+
+    results, responses = table(spark, d, "eval_results"), table(spark, d, "query_responses")
+    pairs = results.select(F.lit("generated").alias("src"), F.col("query_id").alias("row_id"), "question", F.col("generated_answer").alias("answer"))
+    pairs = pairs.union(results.select(F.lit("reference"), "query_id", "question", "reference_answer"))
+    return broken_pairs(pairs.union(responses.select(F.lit("response"), "response_id", "original_query", "answer")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from foliant.llm.neighbours import links, nearest
 
@@ -84,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
