@@ -199,8 +199,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, flo
     rows = classes.select(F.col("id").cast("string"), "v").mapInArrow(lambda it: _rows(it, dim, tables, digits, probes), "bucket bigint, id string, v binary, stored boolean")
     # lookups of an overfull bucket are dealt to shares; stored points go to every share
     sizes = cut(rows.select("bucket", "stored").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("stored").alias("m")).filter((F.col("n") > tile) & (F.col("m") > 0)), "full-buckets")
-    share = F.least(F.lit(4000), F.ceil(F.col("n") / tile)).cast("int")
-    spread = rows.join(sizes, "bucket", "left").withColumn("shares", F.coalesce(share, F.lit(1))).withColumn("home", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
+    share = F.when(F.col("n").isNull(), 1).otherwise(F.least(F.lit(4000), F.ceil(F.col("n") / tile))).cast("int")
+    spread = rows.join(sizes, "bucket", "left").withColumn("shares", share).withColumn("home", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
     dealt = spread.withColumn("share", F.explode(F.when(F.col("stored"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array("home"))))
     dealt = dealt.select("bucket", "share", "id", "v", "stored", (F.col("share") == F.col("home")).alias("asks"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
