@@ -56,6 +56,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return broken_pairs(pairs.union(responses.select(F.lit("response"), "response_id", "original_query", "answer")))
 
 
+def _spellings(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.names import ORGANISATION_LABELS, PERSON_LABELS
+
+    entities = table(spark, d, "entities").filter(F.col("label").isin(*PERSON_LABELS, *ORGANISATION_LABELS)).withColumn("person", F.col("label").isin(*PERSON_LABELS))
+    tidy = lambda c: F.trim(F.regexp_replace(c, r"\s+", " "))
+    names = entities.select("entity_id", "person", F.lit(0).alias("rank"), tidy(F.col("name")).alias("text"))
+    aliases = entities.select("entity_id", "person", F.lit(1).alias("rank"), F.explode("aliases").alias("text"))
+    mentions = table(spark, d, "mentions").filter(F.col("label").isin(*PERSON_LABELS, *ORGANISATION_LABELS))
+    person = F.col("label").isin(*PERSON_LABELS)
+    typed = mentions.select("entity_id", person.alias("person"), F.explode(F.array(tidy(F.col("text")), tidy(F.col("normalized")))).alias("text")).distinct().select("entity_id", "person", F.lit(2).alias("rank"), "text")
+    return names.union(aliases).union(typed)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.names import pairs, resolve
+
+    return pairs(resolve(_spellings(spark, d), table(spark, d, "name_forms")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.names import resolve
+
+    return resolve(_spellings(spark, d), table(spark, d, "name_forms")).select("entity_id", F.col("root").alias("group_id"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     from foliant.llm.neighbours import links, nearest
 
@@ -94,6 +119,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
