@@ -18,6 +18,32 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "chunks").select(F.lit("chunk").alias("src"), "document", F.col("chunk_index").alias("idx"), "text")
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    pages = table(spark, d, "pages").select(F.lit("page").alias("src"), "document", F.col("page").alias("idx"), "page", F.col("raw_text").alias("text"))
+    return pages.union(table(spark, d, "chunks").select(F.lit("chunk"), "document", "chunk_index", "page", "text"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.noise import found
+
+    return found(_scanned(spark, d))
+
+
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.noise import repaired
+
+    return repaired(_scanned(spark, d))
+
+
+def p1_blocks(spark: SparkSession, d: str) -> DataFrame:
+    from foliant.llm.noise import repaired
+
+    pages = table(spark, d, "pages").select("document", "page", F.posexplode("blocks").alias("idx", "block"))
+    blocks = pages.select(F.lit("block").alias("src"), "document", "idx", "page", F.col("block.text").alias("text"))
+    whole = table(spark, d, "pages").select(F.lit("page").alias("src"), "document", F.col("page").alias("idx"), "page", F.col("raw_text").alias("text"))
+    return repaired(whole.union(blocks)).filter("src = 'block'").select("document", F.col("idx").alias("block"), "paragraph", "text")
+
+
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     from foliant.llm.split import split_oversized
 
@@ -114,6 +140,9 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_paragraphs": p1_paragraphs,
+    "p1_blocks": p1_blocks,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
     "p3_found": p3_found,
