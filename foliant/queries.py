@@ -1,35 +1,901 @@
-"""Queries of the core operators, with their SQL."""
+"""Queries of the core operators, each with its SQL where SQL can express it.
+
+Tables are read whole. Questions of searches are the stated set: those whose id is divisible
+by 50. Facts for the numeric operators are sentences written from the order tables, as the
+corpus holds none; both sides write the same sentences.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliant.functions import text as T
+from foliant.operators import chunking, evaluation, graph, records, retrieval, state, units
+from foliant.plans import planner
 from foliant.session import table
+from foliant.sources import corpus
+from foliant.streaming import events
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+STATED = 50
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    from foliant.operators.units import common_quantities
 
-    return common_quantities(table(spark, d, "mentions"), table(spark, d, "entities"), table(spark, d, "common_units"))
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
 
+    return add
 
-def p7_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Each pair of sources of the numbers of one entity, with its estimated conversion."""
-    from foliant.operators.units import estimate_links
 
-    e = table(spark, d, "entities")
-    columns = {"numeric_value": F.col("numeric_value"), "metadata": F.expr("try_cast(metadata['numeric_value'] AS double)"), "name": F.expr("try_cast(name AS double)")}
-    records = e.select(F.col("entity_id").alias("entity"), F.explode(F.array(*[F.struct(F.lit(k).alias("source"), v.alias("value")) for k, v in columns.items()])).alias("x"))
-    found = estimate_links(records.select("entity", "x.source", "x.value"))
-    return found.select("a", "b", "n", F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("offset"))
+# -- shared parts -----------------------------------------------------------------------------
+def results(s: SparkSession, d: str) -> DataFrame:
+    return evaluation.results(table(s, d, "eval_results"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "p7_found": p7_found,
-    "p7_sources": p7_sources,
-}
+def stated(s: SparkSession, d: str) -> DataFrame:
+    return results(s, d).filter((F.col("query_id") % STATED == 0) & F.col("question").isNotNull()).select("query_id", "question")
 
-ORACLE: dict[str, str] = {}
+
+def questions(s: SparkSession, d: str) -> DataFrame:
+    return results(s, d).filter("question IS NOT NULL").select("query_id", "question")
+
+
+def responses(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "query_responses").filter("response_id IS NOT NULL").groupBy("response_id").agg(*[F.min_by(c, "received_at").alias(c) for c in ("session_id", "original_query", "answer", "status", "cache_hit", "latency_ms", "created_at")])
+
+
+def cache(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "cache_rows").filter("cache_id IS NOT NULL").dropDuplicates(["cache_id"])
+
+
+def mentions(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "mentions").filter("mention_id IS NOT NULL").dropDuplicates(["mention_id"])
+
+
+CHUNKS = "(SELECT document, chunk_index, any_value(page) AS page, any_value(text) AS text, any_value(token_count) AS token_count, any_value(entities) AS entities, any_value(ocr_confidence) AS ocr_confidence FROM chunks WHERE document IS NOT NULL AND chunk_index IS NOT NULL GROUP BY document, chunk_index)"
+PAGES = "(SELECT document, page, any_value(raw_text) AS raw_text, any_value(ocr_confidence) AS ocr_confidence, any_value(extraction_method) AS extraction_method, any_value(blocks) AS blocks FROM pages WHERE document IS NOT NULL AND page IS NOT NULL GROUP BY document, page)"
+RESULTS = "(SELECT query_id, any_value(question) AS question, any_value(expected_document) AS expected_document, any_value(expected_page) AS expected_page, any_value(question_type) AS question_type, any_value(generated_answer) AS generated_answer, any_value(reference_answer) AS reference_answer, any_value(retrieved_top5) AS retrieved_top5, any_value(total_response_time_ms) AS total_response_time_ms FROM eval_results WHERE query_id IS NOT NULL GROUP BY query_id)"
+MENTIONS = "(SELECT mention_id, any_value(entity_id) AS entity_id, any_value(text) AS text, any_value(label) AS label, any_value(normalized) AS normalized, any_value(confidence) AS confidence, any_value(document) AS document, any_value(page) AS page, any_value(chunk_index) AS chunk_index FROM mentions WHERE mention_id IS NOT NULL GROUP BY mention_id)"
+RESPONSES = "(SELECT response_id, arg_min(session_id, received_at) AS session_id, arg_min(original_query, received_at) AS original_query, arg_min(answer, received_at) AS answer, arg_min(cache_hit, received_at) AS cache_hit, arg_min(latency_ms, received_at) AS latency_ms, arg_min(created_at, received_at) AS created_at FROM query_responses WHERE response_id IS NOT NULL GROUP BY response_id)"
+CACHE = "(SELECT cache_id, any_value(corpus_key) AS corpus_key, any_value(normalized_question) AS normalized_question, any_value(top_k) AS top_k, any_value(embedding) AS embedding, any_value(answer) AS answer, any_value(created_at) AS created_at, any_value(last_accessed_at) AS last_accessed_at FROM cache_rows WHERE cache_id IS NOT NULL GROUP BY cache_id)"
+STEM = "regexp_replace(lower({0}), '^(.{{3,}}?)(?:" + "|".join(T.SUFFIXES) + ")$', '\\1')"
+WORDS = "list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> '')"
+
+
+def stem_sql(x: str) -> str:
+    return STEM.format(x)
+
+
+def token_set_sql(x: str, stopwords: list[str] = T.EVALUATION_STOPWORDS, stemmed: bool = True) -> str:
+    stop = ", ".join(f"'{w}'" for w in stopwords)
+    kept = f"list_filter(regexp_split_to_array(regexp_replace(lower(coalesce({x}, '')), '[^\\p{{L}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+'), lambda w: w <> '' AND w NOT IN ({stop}))"
+    return f"list_sort(list_distinct(list_transform({kept}, lambda w: {stem_sql('w')})))" if stemmed else f"list_sort(list_distinct({kept}))"
+
+
+def re_sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+# -- sources and sinks --------------------------------------------------------------------------
+@query(f"SELECT DISTINCT document FROM {CHUNKS}")
+def document_list(s, d):
+    return corpus.document_list(corpus.corpus(s, d))
+
+
+@query(f"""
+    SELECT document, count(*) AS n_chunks, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, round(avg(coalesce(ocr_confidence, 1.0)), 3) AS avg_confidence,
+           CAST(len(list_distinct(flatten(list(coalesce(entities, []))))) AS INTEGER) AS n_entities FROM {CHUNKS} GROUP BY document""")
+def document_info(s, d):
+    return corpus.document_info(corpus.corpus(s, d))
+
+
+@query(f"""
+    SELECT p.document, p.pages, p.ocr_confidence, p.methods, coalesce(c.chunks, 0) AS chunks, coalesce(m.entities, 0) AS entities
+    FROM (SELECT document, count(*) AS pages, round(avg(ocr_confidence), 3) AS ocr_confidence, array_to_string(list_sort(list(DISTINCT extraction_method) FILTER (extraction_method IS NOT NULL)), '+') AS methods FROM {PAGES} GROUP BY document) p
+    LEFT JOIN (SELECT document, count(*) AS chunks FROM {CHUNKS} GROUP BY document) c USING (document)
+    LEFT JOIN (SELECT document, count(DISTINCT entity_id) AS entities FROM mentions WHERE document IS NOT NULL GROUP BY document) m USING (document)""")
+def ingest_rollup(s, d):
+    return corpus.ingest_rollup(corpus.page_table(s, d), corpus.corpus(s, d), table(s, d, "mentions"))
+
+
+@query(f"SELECT substr(sha256(array_to_string(list_sort(list(DISTINCT document)), '|') || '|chunks:' || count(*)), 1, 16) AS corpus_key, count(*) AS n_chunks FROM {CHUNKS}")
+def corpus_fingerprint(s, d):
+    return corpus.fingerprint(corpus.corpus(s, d))
+
+
+@query(f"SELECT document, page, chunk_index, length(text) AS chars FROM {CHUNKS} WHERE page = 1")
+def filtered_scan(s, d):
+    return corpus.scan(corpus.corpus(s, d), {"page": 1}).select("document", "page", "chunk_index", F.length("text").cast("bigint").alias("chars"))
+
+
+@query(f"SELECT document, page, CASE WHEN length(trim(coalesce(raw_text, ''))) >= 40 THEN 'native' ELSE 'ocr' END AS route FROM {PAGES}")
+def extraction_route(s, d):
+    return corpus.page_table(s, d).select("document", "page", corpus.extraction_route(F.col("raw_text")).alias("route"))
+
+
+@query(f"""
+    SELECT document, page, round(coalesce(list_avg(list_transform(list_filter(list_transform(blocks, lambda b: b.confidence), lambda x: x IS NOT NULL), lambda x: least(1.0, greatest(0.0, CASE WHEN x > 1 THEN x / 100 ELSE x END)))), 0.0), 6) AS confidence FROM {PAGES}""")
+def block_confidence(s, d):
+    return corpus.page_table(s, d).select("document", "page", F.round(F.coalesce(corpus.block_confidence(F.col("blocks")), F.lit(0.0)), 6).alias("confidence"))
+
+
+@query(f"SELECT document, count(*) AS n FROM {CHUNKS} WHERE document <> (SELECT min(document) FROM chunks) GROUP BY document")
+def document_delete(s, d):
+    c = corpus.corpus(s, d)
+    first = c.agg(F.min("document")).first()[0]
+    return corpus.delete_document(c, first).groupBy("document").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    SELECT document, chunk_index, length(text) AS chars FROM (
+        SELECT document, chunk_index, text FROM {CHUNKS} WHERE document NOT IN (SELECT document FROM pages WHERE page = 2 AND document IS NOT NULL)
+        UNION ALL SELECT document, page, raw_text FROM {PAGES} WHERE document IN (SELECT document FROM pages WHERE page = 2 AND document IS NOT NULL))""")
+def document_replace(s, d):
+    pages = corpus.page_table(s, d)
+    incoming = pages.join(pages.filter("page = 2").select("document"), "document", "left_semi").select("document", F.col("page").alias("chunk_index"), F.col("raw_text").alias("text"))
+    return corpus.replace_documents(corpus.corpus(s, d).select("document", "chunk_index", "text"), incoming).select("document", "chunk_index", F.length("text").cast("bigint").alias("chars"))
+
+
+@query("SELECT entity_id FROM entities WHERE entity_id IN (SELECT entity_id FROM mentions WHERE document IS DISTINCT FROM (SELECT min(document) FROM mentions))")
+def live_entities(s, d):
+    m = table(s, d, "mentions")
+    first = m.agg(F.min("document")).first()[0]
+    return corpus.live_entities(table(s, d, "entities"), m.filter(~F.col("document").eqNullSafe(F.lit(first)))).select("entity_id")
+
+
+# -- text ---------------------------------------------------------------------------------------
+def _again(x: str, pattern: str, put: str) -> str:
+    """A replacement done twice, which reaches what overlaps with a first match."""
+    once = f"regexp_replace({x}, '{pattern}', '{put}', 'g')"
+    return f"regexp_replace({once}, '{pattern}', '{put}', 'g')"
+
+
+_LINES = r"regexp_replace(raw_text, '\r\n?', chr(10), 'g')"
+_JOINED = _again(_again(_LINES, r"([\p{L}\p{N}_])-\n([\p{L}\p{N}_])", r"\1\2"), r"([^.!?:;])\n([a-z0-9(])", r"\1 \2")
+_CLEAN = rf"regexp_replace(regexp_replace(regexp_replace({_JOINED}, '[ \t]{{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"SELECT document, page, md5({_CLEAN}) AS clean FROM {PAGES}")
+def text_clean(s, d):
+    return corpus.page_table(s, d).select("document", "page", F.md5(T.clean_ocr(F.col("raw_text"))).alias("clean"))
+
+
+@query(rf"""
+    SELECT document, chunk_index, unnest(list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '([.!?])\s+([A-Z"‘’])', '\1' || chr(1) || '\2', 'g'), '\n\s*\n+', chr(10) || chr(1), 'g'), chr(1)),
+           lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) AS sentence FROM {CHUNKS} WHERE text IS NOT NULL""")
+def sentence_split(s, d):
+    return corpus.corpus(s, d).filter("text IS NOT NULL").select("document", "chunk_index", F.explode(T.sentences(F.col("text"))).alias("sentence"))
+
+
+@query(f"SELECT document, chunk_index, CAST(greatest(1, floor(length(text) / 4)) AS INTEGER) AS tokens, token_count IS DISTINCT FROM CAST(greatest(1, floor(length(text) / 4)) AS INTEGER) AS differs FROM {CHUNKS} WHERE text IS NOT NULL")
+def token_counts(s, d):
+    n = T.tokens_approx(F.col("text"))
+    return corpus.corpus(s, d).filter("text IS NOT NULL").select("document", "chunk_index", n.alias("tokens"), (~F.col("token_count").eqNullSafe(n)).alias("differs"))
+
+
+@query(rf"""
+    WITH titled AS (SELECT document, page, list_filter(list_transform(regexp_split_to_array(raw_text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 4 AND length(x) <= 140 AND regexp_matches(x, '{re_sql(T.SECTION)}'))[1] AS title FROM {PAGES})
+    SELECT document, page, last_value(title IGNORE NULLS) OVER (PARTITION BY document ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title FROM titled""")
+def section_carry(s, d):
+    w = Window.partitionBy("document").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+    return corpus.page_table(s, d).select("document", "page", F.last(T.section_title(F.col("raw_text")), ignorenulls=True).over(w).alias("section_title"))
+
+
+@query()
+def chunk_fixed(s, d):
+    return chunking.chunk_fixed(corpus.page_table(s, d))
+
+
+@query()
+def chunk_semantic(s, d):
+    return chunking.chunk_semantic(corpus.page_table(s, d))
+
+
+@query()
+def summary_parts(s, d):
+    return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(chunking.summary_parts(F.col("text"))).alias("part", "text"))
+
+
+@query(f"SELECT term, count(*) AS n FROM (SELECT {stem_sql('w')} AS term FROM (SELECT unnest({WORDS.format('text')}) AS w FROM {CHUNKS})) GROUP BY term")
+def stemmed_vocab(s, d):
+    return retrieval.terms(corpus.corpus(s, d), "text", []).groupBy("term").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT query_id, array_to_string({token_set_sql('question')}, ' ') AS tokens FROM {RESULTS}")
+def token_sets(s, d):
+    return results(s, d).select("query_id", F.array_join(T.token_set(F.col("question"), T.EVALUATION_STOPWORDS, True), " ").alias("tokens"))
+
+
+@query(rf"SELECT query_id, regexp_replace(regexp_replace(lower(regexp_replace(question, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', '', 'g') AS normalised FROM {RESULTS}")
+def question_normalise(s, d):
+    return results(s, d).select("query_id", T.normalise_question(F.col("question")).alias("normalised"))
+
+
+_LONG = r"list_filter(list_transform(string_split(regexp_replace(t, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: length(x) > 20)"
+
+
+@query(rf"""
+    SELECT doc_id, md5(CASE WHEN len(s) = 0 THEN substr(t, 1, 1200) ELSE array_to_string(s[1:2], ' ') || chr(10) || chr(10) || 'Key points:' || chr(10) || array_to_string(list_transform(CASE WHEN len(s) > 2 THEN s[3:8] ELSE s[1:6] END, lambda x: '- ' || x), chr(10)) END) AS summary
+    FROM (SELECT doc_id, t, {_LONG} AS s FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g') AS t FROM documents WHERE text IS NOT NULL))""")
+def extractive_summary(s, d):
+    return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(T.extractive_summary(F.col("text"))).alias("summary"))
+
+
+@query()
+def document_summary(s, d):
+    return chunking.summarise_documents(corpus.corpus(s, d))
+
+
+@query(f"SELECT response_id FROM {RESPONSES} WHERE length(trim(coalesce(answer, ''))) < 20 OR " + " OR ".join(f"contains(lower(answer), '{m}')" for m in T.BAD_SUMMARY_MARKERS))
+def bad_summaries(s, d):
+    return responses(s, d).filter(T.is_bad_summary(F.col("answer"))).select("response_id")
+
+
+# -- planning -----------------------------------------------------------------------------------
+@query(rf"""
+    SELECT query_id, CASE WHEN q = '' THEN q WHEN len(string_split(q, ' ')) <= 3 AND NOT ends_with(q, '?') THEN 'Find document evidence about ' || q || '.'
+        WHEN NOT regexp_matches(q, '{planner.QUESTION_START}') AND NOT ends_with(q, '?') THEN 'Find document evidence related to: ' || q
+        WHEN NOT regexp_matches(q, '{planner.DOC_HINT}') THEN q || ' Answer using the uploaded document evidence.' ELSE q END AS rewritten
+    FROM (SELECT query_id, trim(regexp_replace(question, '\s+', ' ', 'g')) AS q FROM {RESULTS})""")
+def rewrite_queries(s, d):
+    return results(s, d).select("query_id", planner.rewrite(F.col("question")).alias("rewritten"))
+
+
+_TYPES = [(planner.MULTI_HOP, "MULTI_HOP"), (planner.NUMERICAL_FILTER, "NUMERICAL_FILTER"), (planner.ENTITY_LOOKUP, "ENTITY_LOOKUP"), (None, "SEMANTIC_LOOKUP"), (planner.COUNTING, "COUNTING"), (planner.RANKING, "RANKING"), (planner.COMPARISON, "COMPARISON"), (planner.AGGREGATION, "AGGREGATION"), (planner.RELATIONSHIP, "RELATIONSHIP"), (planner.TEMPORAL, "TEMPORAL"), (planner.ANALYTICAL, "ANALYTICAL")]
+TYPE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(question, '{p}') THEN '{t}'" if p else f"WHEN regexp_matches(question, '{planner.SEMANTIC_START}') AND regexp_matches(question, '{planner.SEMANTIC_BUSINESS}') THEN '{t}'" for p, t in _TYPES) + " ELSE 'LOOKUP' END"
+_STRATEGY_ROWS = ", ".join(f"('{t}', '{x}', {k}, '{h}')" for t, (x, k, h) in planner.STRATEGY.items())
+CLASSIFIED = f"""
+    SELECT query_id, question, query_type, query_scope, strategy AS retrieval_strategy, CASE WHEN single THEN 20 ELSE k END AS top_k, CASE WHEN single THEN hints || ',find_top_1' ELSE hints END AS hints
+    FROM (SELECT query_id, question, query_type, CASE WHEN regexp_matches(question, '{planner.GLOBAL_SCOPE}') THEN 'GLOBAL' ELSE 'LOCAL' END AS query_scope,
+                 query_type = 'RANKING' AND regexp_matches(question, '{planner.SUPERLATIVE}') AND NOT regexp_matches(question, '{planner.MULTI_ITEM}') AS single
+          FROM (SELECT query_id, question, {TYPE_SQL} AS query_type FROM (SELECT query_id, regexp_replace(trim(question), '[À-ÖØ-öø-ɏ]', 'x', 'g') AS question FROM {RESULTS} WHERE question IS NOT NULL)))
+    JOIN (VALUES {_STRATEGY_ROWS}) AS strategies(query_type, strategy, k, hints) USING (query_type)"""
+
+
+@query(f"SELECT query_id, query_type, query_scope, retrieval_strategy, top_k, hints FROM ({CLASSIFIED})")
+def classify_queries(s, d):
+    return planner.classify(questions(s, d)).select("query_id", "query_type", "query_scope", "retrieval_strategy", "top_k", "hints")
+
+
+_FLAG_ROWS = ", ".join(f"('{n}', {str(a).lower()}, {str(b).lower()}, {str(c).lower()})" for n, (a, b, c) in retrieval.STRATEGIES.items())
+
+
+@query(f"""
+    SELECT query_id, use_bm25, use_dense, use_graph, CASE WHEN use_bm25 THEN greatest(20, CASE WHEN retrieval_strategy = 'exact_graph_metadata' THEN 4 ELSE 2 END * top_k) ELSE 0 END AS bm25_k,
+           CASE WHEN use_dense THEN greatest(20, CASE WHEN retrieval_strategy = 'dense_heavy' THEN 4 ELSE 2 END * top_k) ELSE 0 END AS dense_k,
+           CASE WHEN (query_scope = 'GLOBAL' AND query_type IN ('RANKING', 'AGGREGATION', 'COUNTING', 'NUMERICAL_FILTER')) OR retrieval_strategy = 'dense_heavy' THEN least(100, 4 * top_k) ELSE 20 END AS rerank_window
+    FROM ({CLASSIFIED}) JOIN (VALUES {_FLAG_ROWS}) AS flags(retrieval_strategy, use_bm25, use_dense, use_graph) USING (retrieval_strategy)""")
+def retrieval_depths(s, d):
+    return retrieval.depths(planner.classify(questions(s, d))).select("query_id", "use_bm25", "use_dense", "use_graph", "bm25_k", "dense_k", "rerank_window")
+
+
+def _keyword_sql(q: str) -> str:
+    return "coalesce(" + ", ".join(f"nullif(trim(regexp_extract({q}, '{re_sql(p)}', 1)), '')" for p in planner.KEYWORDS) + ")"
+
+
+@query(f"""
+    SELECT query_id, regexp_matches(question, '{planner.KEYWORD_PRESENCE}') AS presence, {_keyword_sql('question')} AS keyword,
+           CASE WHEN regexp_matches(question, '(?i)\\bINV-\\d+\\b') AND contains(lower(question), 'amount') OR regexp_matches(question, '\\bProject\\s+[A-Z][A-Za-z0-9_-]*') AND contains(lower(question), 'transaction') THEN 'exact_metric'
+                WHEN regexp_matches(question, '\\b[A-Z]{{1,10}}-\\d+\\b') OR regexp_matches(question, '{planner.LIST_QUERY}') THEN 'graph_fact'
+                WHEN regexp_matches(question, '{planner.KEYWORD_PRESENCE}') AND {_keyword_sql('question')} IS NOT NULL THEN 'keyword' ELSE 'semantic' END AS route
+    FROM {RESULTS} WHERE question IS NOT NULL""")
+def route_queries(s, d):
+    q = F.col("question")
+    return questions(s, d).select("query_id", planner.is_presence_question(q).alias("presence"), planner.keyword(q).alias("keyword"), planner.route(q, F.lit(False), F.lit(1)).alias("route"))
+
+
+@query(f"""
+    SELECT query_id, regexp_matches(question, '{planner.DOC_SPECIFIC}') AS doc_specific, regexp_matches(question, '{planner.FOLLOW_UP}') AS follow_up,
+           length(question) BETWEEN 5 AND 2000 AS valid, query_type NOT IN ('RANKING', 'AGGREGATION', 'COUNTING', 'COMPARISON', 'ANALYTICAL') AND NOT regexp_matches(question, '{planner.DOC_SPECIFIC}') AS general
+    FROM (SELECT query_id, question, query_type FROM ({CLASSIFIED}))""")
+def question_tests(s, d):
+    q = F.trim("question")
+    rows = planner.classify(questions(s, d))
+    return rows.select("query_id", q.rlike(planner.DOC_SPECIFIC).alias("doc_specific"), planner.is_follow_up(q, F.lit(True)).alias("follow_up"), planner.valid_request(q, F.lit(5), F.lit("s")).alias("valid"), planner.is_general(q, F.col("query_type")).alias("general"))
+
+
+@query(f"""
+    WITH asked AS (SELECT query_id, regexp_extract(question, '\\b([A-Z]+/[0-9]+/[A-Z])\\b', 1) AS keyword FROM {RESULTS} WHERE query_id % 50 = 0 AND question IS NOT NULL),
+    hits AS (SELECT query_id, document, page, chunk_index, row_number() OVER (PARTITION BY query_id, document, page ORDER BY chunk_index) AS r FROM asked JOIN {CHUNKS} c ON keyword <> '' AND contains(lower(c.text), lower(keyword))),
+    first_hits AS (SELECT query_id, document, page, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY page, chunk_index, document) AS rank FROM hits WHERE r = 1)
+    SELECT query_id, document, page, chunk_index, CAST(rank AS INTEGER) AS rank FROM first_hits WHERE rank <= 3""")
+def keyword_scan(s, d):
+    asked = stated(s, d).select("query_id", F.regexp_extract("question", r"\b([A-Z]+/[0-9]+/[A-Z])\b", 1).alias("keyword")).filter("keyword <> ''")
+    # codes are tokens of the text, so the scan is a join on the codes of the chunks, not a comparison of pairs
+    codes = corpus.corpus(s, d).select("document", "page", "chunk_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+/[0-9]+/[a-z]"), F.lit(0)))).alias("code"))
+    hits = asked.join(codes, F.lower("keyword") == F.col("code"))
+    first = hits.groupBy("query_id", "document", "page").agg(F.min("chunk_index").alias("chunk_index"))
+    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("page", "chunk_index", "document"))).filter("rank <= 3")
+
+
+# -- retrieval ------------------------------------------------------------------------------------
+TF = f"(SELECT document, chunk_index, term, count(*) AS f FROM (SELECT document, chunk_index, {stem_sql('w')} AS term FROM (SELECT document, chunk_index, unnest({WORDS.format('text')}) AS w FROM {CHUNKS})) GROUP BY ALL)"
+
+
+@query(f"SELECT term, count(*) AS chunks, CAST(sum(f) AS BIGINT) AS total FROM {TF} GROUP BY term")
+def term_stats(s, d):
+    tf, _, _ = retrieval.build_index(corpus.corpus(s, d))
+    return tf.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("f").alias("total"))
+
+
+def bm25_sql(k: int) -> str:
+    return f"""
+    WITH tf AS {TF}, dl AS (SELECT document, chunk_index, sum(f) AS len FROM tf GROUP BY ALL), st AS (SELECT count(*) AS total, avg(len) AS avgdl FROM dl),
+    df AS (SELECT term, count(*) AS n FROM tf GROUP BY term), raw AS (SELECT term, ln(total - n + 0.5) - ln(n + 0.5) AS raw FROM df, st),
+    idf AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+    qt AS (SELECT query_id, {stem_sql('w')} AS term, count(*) AS weight FROM (SELECT query_id, unnest({WORDS.format('question')}) AS w FROM {RESULTS} WHERE query_id % 50 = 0 AND question IS NOT NULL) GROUP BY ALL),
+    missing AS (SELECT query_id, term, weight FROM qt WHERE term NOT IN (SELECT term FROM df) AND length(term) > 2),
+    grown AS (SELECT query_id, "full" AS term, weight FROM (SELECT m.query_id, m.weight, d.term AS "full", row_number() OVER (PARTITION BY m.query_id, m.term ORDER BY d.term) AS r FROM missing m JOIN df d ON starts_with(d.term, m.term)) WHERE r <= 5),
+    asked AS (SELECT query_id, term, sum(weight) AS weight FROM (SELECT * FROM qt WHERE term IN (SELECT term FROM df) UNION ALL SELECT * FROM grown) GROUP BY ALL),
+    scored AS (SELECT query_id, document, chunk_index, round(sum(weight * idf * f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avgdl))), 6) AS s FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (document, chunk_index), st GROUP BY ALL),
+    ranked AS (SELECT query_id, document, chunk_index, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, document, chunk_index) AS rank, max(s) OVER (PARTITION BY query_id) AS top FROM scored)
+    SELECT query_id, document, chunk_index, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, document, chunk_index, CASE WHEN top > 0 THEN round(s / top, 4) ELSE 0 END AS score, rank FROM ranked WHERE rank <= {k}) WHERE score > 0.001"""
+
+
+@query(bm25_sql(10))
+def bm25_topk(s, d):
+    return retrieval.bm25(stated(s, d), corpus.corpus(s, d), 10)
+
+
+DENSE_SQL = """
+    SELECT query, item, score, CAST(rank AS INTEGER) AS rank FROM (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (
+        SELECT q.vec_id AS query, v.vec_id AS item, round(least(1.0, greatest(0.0, list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])))), 4) AS score
+        FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE rank <= 10"""
+
+
+@query(DENSE_SQL)
+def dense_topk(s, d):
+    v = table(s, d, "embeddings")
+    return retrieval.dense(v.filter(F.col("vec_id") % STATED == 0), v, "vec_id", "vec_id", "embedding", 10)
+
+
+_TOP5 = f"(SELECT query_id, x.document AS document, x.page AS page, min(i) AS rank FROM (SELECT query_id, unnest(retrieved_top5) AS x, generate_subscripts(retrieved_top5, 1) AS i FROM {RESULTS} WHERE query_id % 50 = 0) WHERE x.document IS NOT NULL GROUP BY ALL)"
+_PAGE_LIST = f"(SELECT query_id, document, page, row_number() OVER (PARTITION BY query_id ORDER BY best, document, page) AS rank FROM (SELECT query_id, document, page, min(rank) AS best FROM ({bm25_sql(20)}) JOIN {CHUNKS} USING (document, chunk_index) GROUP BY ALL))"
+RRF_SQL = f"""
+    SELECT query_id, document, page, round(sum(1.0 / (60 + rank)), 6) AS score, array_to_string(list_sort(list(DISTINCT source)), '+') AS sources
+    FROM (SELECT query_id, document, page, rank, 'bm25' AS source FROM {_PAGE_LIST} UNION ALL SELECT query_id, document, page, rank, 'stored' FROM {_TOP5}) GROUP BY ALL"""
+
+
+def _page_lists(s, d) -> list[tuple[str, DataFrame]]:
+    chunks = corpus.corpus(s, d)
+    found = retrieval.bm25(stated(s, d), chunks, 20).join(chunks.select("document", "chunk_index", "page"), ["document", "chunk_index"]).groupBy("query_id", "document", "page").agg(F.min("rank").alias("best"))
+    pages = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "document", "page")))
+    top = results(s, d).filter(F.col("query_id") % STATED == 0).select("query_id", F.posexplode("retrieved_top5").alias("i", "x")).filter("x.document IS NOT NULL").groupBy("query_id", "x.document", "x.page").agg((F.min("i") + 1).alias("rank"))
+    return [("bm25", pages), ("stored", top)]
+
+
+@query(f"SELECT query_id, document, page, score, sources, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, page) AS INTEGER) AS rank FROM ({RRF_SQL})")
+def rrf_fusion(s, d):
+    return retrieval.rrf(_page_lists(s, d), ["document", "page"])
+
+
+@query(f"""
+    SELECT query_id, document, page, score, retrieval_source, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, page) AS INTEGER) AS rank FROM (
+        SELECT f.query_id, f.document, f.page, CASE WHEN t.rank IS NOT NULL THEN round(least(1.0, score + 0.12), 6) ELSE score END AS score, CASE WHEN t.rank IS NOT NULL THEN 'graph_hybrid' ELSE 'hybrid' END AS retrieval_source
+        FROM (SELECT * FROM ({RRF_SQL}) WHERE score >= 0.005) f LEFT JOIN {_TOP5} t ON f.query_id = t.query_id AND f.document = t.document AND f.page IS NOT DISTINCT FROM t.page)""")
+def graph_boost(s, d):
+    lists = _page_lists(s, d)
+    return retrieval.graph_boost(retrieval.rrf(lists, ["document", "page"]).drop("sources").filter(F.col("score") >= retrieval.LEAST_SCORE), lists[1][1], ["document", "page"])
+
+
+@query(f"""
+    SELECT query_id, document, chunk_index, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, chunk_index) AS rank FROM (
+        SELECT query_id, document, chunk_index, round(1 / (1 + exp(-(4 * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / len(q) END - 2))), 4) AS score
+        FROM (SELECT query_id, document, chunk_index, {token_set_sql('question')} AS q, {token_set_sql('text')} AS c FROM ({bm25_sql(20)}) JOIN {CHUNKS} USING (document, chunk_index) JOIN (SELECT query_id, question FROM {RESULTS}) USING (query_id)))) WHERE rank <= 5""")
+def rerank_lexical(s, d):
+    chunks, q = corpus.corpus(s, d), stated(s, d)
+    found = retrieval.bm25(q, chunks, 20).select("query_id", "document", "chunk_index").join(chunks.select("document", "chunk_index", "text"), ["document", "chunk_index"]).join(q, "query_id")
+    return retrieval.lexical_rerank(found, 5).select("query_id", "document", "chunk_index", "score", "rank")
+
+
+@query()
+def hybrid_answers(s, d):
+    from foliant.api import Engine
+
+    return Engine(s, corpus.corpus(s, d), mentions(s, d), table(s, d, "entities")).answer(stated(s, d))
+
+
+@query()
+def adaptive_retrieval(s, d):
+    chunks, q = corpus.corpus(s, d), stated(s, d)
+    return retrieval.adaptive(lambda k: retrieval.bm25(q, chunks, k), lambda r: r.select("document").distinct().count(), 20)
+
+
+@query(f"""
+    WITH shallow AS (SELECT * FROM ({bm25_sql(5)})), deep AS (SELECT * FROM ({bm25_sql(10)}))
+    SELECT query_id, document, chunk_index, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, chunk_index) AS INTEGER) AS rank FROM (SELECT query_id, document, chunk_index, score FROM shallow UNION SELECT query_id, document, chunk_index, score FROM deep)""")
+def iterative_merge(s, d):
+    chunks, q = corpus.corpus(s, d), stated(s, d)
+    return retrieval.merge_new(retrieval.bm25(q, chunks, 5), retrieval.bm25(q, chunks, 10), ["document", "chunk_index"])
+
+
+# -- the graph ------------------------------------------------------------------------------------
+@query(f"""
+    SELECT entity_id, arg_max(label, mention_id) AS label, arg_max(text, mention_id) AS name, max(confidence) AS confidence, array_to_string(list_sort(list(DISTINCT text)), '|') AS spellings
+    FROM {MENTIONS} WHERE entity_id IS NOT NULL GROUP BY entity_id""")
+def entity_merge(s, d):
+    return graph.merge_entities(mentions(s, d)).drop("numeric_value")
+
+
+@query(f"SELECT mention_id FROM (SELECT mention_id, row_number() OVER (PARTITION BY entity_id, lower(text), document, page, chunk_index ORDER BY mention_id) AS r FROM {MENTIONS}) WHERE r = 1")
+def mention_dedupe(s, d):
+    return graph.unique_mentions(mentions(s, d)).select("mention_id")
+
+
+def _entity_norm_sql() -> str:
+    tidy = r"regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+    bare = rf"regexp_replace(regexp_replace({tidy}, '{T.ENTITY_PREFIX}', ''), '^\s+|\s+$', '', 'g')"
+    exact = ", ".join(f"'{x}'" for x in T.EXACT_LABELS)
+    return rf"CASE WHEN label IN ({exact}) THEN lower(replace({bare}, ',', '')) ELSE regexp_replace(regexp_replace(lower({bare}), '[^\p{{L}}\p{{N}}_\s&.-]', '', 'g'), '^\s+|\s+$', '', 'g') END"
+
+
+@query(f"SELECT mention_id, norm, lower(label) || ':' || substr(sha1(label || ':' || norm), 1, 12) AS entity_key FROM (SELECT mention_id, label, {_entity_norm_sql()} AS norm FROM {MENTIONS} WHERE text IS NOT NULL AND label IS NOT NULL)")
+def entity_normalise(s, d):
+    norm = T.normalise_entity(F.col("text"), F.col("label"))
+    return mentions(s, d).filter("text IS NOT NULL AND label IS NOT NULL").select("mention_id", norm.alias("norm"), T.entity_key(F.col("label"), norm).alias("entity_key"))
+
+
+_NUM = r"(?i)([-+]?\d[\d,]*(?:\.\d+)?)\s*(k|m|b|thousand|million|billion|trillion)?\b"
+_FACTOR = "CASE lower({0}) " + " ".join(f"WHEN '{k}' THEN {v:.1f}" for k, v in T.MULTIPLIERS.items()) + " ELSE 1.0 END"
+
+
+@query(f"""
+    SELECT mention_id, round(TRY_CAST(regexp_replace(regexp_extract(text, '{_NUM}', 1), '[^0-9.+-]', '', 'g') AS DOUBLE) * {_FACTOR.format(f"regexp_extract(text, '{_NUM}', 2)")}, 4) AS number
+    FROM {MENTIONS} WHERE label IN ({", ".join(f"'{x}'" for x in T.NUMERIC_LABELS)}) AND regexp_extract(text, '{_NUM}', 1) <> ''""")
+def entity_numbers(s, d):
+    n = T.entity_number(F.col("text"), F.col("label"))
+    return mentions(s, d).select("mention_id", F.round(n, 4).alias("number")).filter("number IS NOT NULL")
+
+
+@query(f"SELECT label, count(*) AS n FROM entities WHERE label IN ({', '.join(repr(x) for x in graph.ENTITY_TYPES)}) GROUP BY label")
+def entity_whitelist(s, d):
+    kept, _ = graph.whitelist(table(s, d, "entities"), s.createDataFrame([], "source_id string, target_id string, type string"))
+    return kept.groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT entity_id FROM entities WHERE contains(lower(name), 'engineering') OR coalesce(len(list_filter(aliases, lambda a: contains(lower(a), 'engineering'))), 0) > 0")
+def entity_search(s, d):
+    e = table(s, d, "entities")
+    return graph.search(e, "Company Engineering", 2**31 - 1).select("entity_id")
+
+
+@query(f"""
+    WITH asked AS (SELECT DISTINCT entity_id AS query_id, lower(name) AS q FROM entities WHERE label IN ('COMPANY', 'PERSON') AND length(name) >= 3),
+    names AS (SELECT entity_id, confidence, lower(unnest(list_distinct(list_filter(list_concat([name], coalesce(aliases, [])), lambda x: x IS NOT NULL)))) AS n FROM entities)
+    SELECT query_id, entity_id, CAST(rank AS INTEGER) AS rank FROM (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY confidence DESC NULLS LAST, entity_id) AS rank
+        FROM (SELECT query_id, entity_id, max(confidence) AS confidence FROM asked JOIN names ON starts_with(n, q) GROUP BY ALL)) WHERE rank <= 10""")
+def entity_search_batch(s, d):
+    e = table(s, d, "entities")
+    asked = e.filter(F.col("label").isin("COMPANY", "PERSON") & (F.length("name") >= 3)).select(F.col("entity_id").alias("query_id"), F.col("name").alias("query"))
+    # names here are whole names, so their first word is no type word to strip
+    q = asked.select("query_id", F.lower("query").alias("q")).distinct().withColumn("head", F.substring("q", 1, 3))
+    names = e.select("entity_id", "confidence", F.explode(F.array_distinct(F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull()))).alias("n")).withColumn("n", F.lower("n")).withColumn("head", F.substring("n", 1, 3))
+    hits = q.join(names, "head").filter(F.col("n").startswith(F.col("q"))).groupBy("query_id", "entity_id").agg(F.max("confidence").alias("confidence"))
+    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("confidence"), "entity_id")
+    return hits.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("query_id", "entity_id", "rank")
+
+
+EDGES = """(
+    SELECT 'customer:' || c_custkey AS source_id, 'nation:' || c_nationkey AS target_id, 'LOCATED_IN' AS type, 0.9 AS confidence FROM customer
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'LOCATED_IN', 0.8 FROM supplier
+    UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'PART_OF', 1.0 FROM nation)"""
+VERTICES = """(
+    SELECT 'customer:' || c_custkey AS entity_id, 'COMPANY' AS label, c_name AS name FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'COMPANY', s_name FROM supplier
+    UNION ALL SELECT 'nation:' || n_nationkey, 'COUNTRY', n_name FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'REGION', r_name FROM region)"""
+
+
+def edges(s: SparkSession, d: str) -> DataFrame:
+    one = lambda t, a, k, b, o, kind, c: table(s, d, t).select(F.concat(F.lit(f"{a}:"), F.col(k).cast("string")).alias("source_id"), F.concat(F.lit(f"{b}:"), F.col(o).cast("string")).alias("target_id"), F.lit(kind).alias("type"), F.lit(c).alias("confidence"))
+    return one("customer", "customer", "c_custkey", "nation", "c_nationkey", "LOCATED_IN", 0.9).union(one("supplier", "supplier", "s_suppkey", "nation", "s_nationkey", "LOCATED_IN", 0.8)).union(one("nation", "nation", "n_nationkey", "region", "n_regionkey", "PART_OF", 1.0))
+
+
+def vertices(s: SparkSession, d: str) -> DataFrame:
+    one = lambda t, a, k, label, n: table(s, d, t).select(F.concat(F.lit(f"{a}:"), F.col(k).cast("string")).alias("entity_id"), F.lit(label).alias("label"), F.col(n).alias("name"))
+    return one("customer", "customer", "c_custkey", "COMPANY", "c_name").union(one("supplier", "supplier", "s_suppkey", "COMPANY", "s_name")).union(one("nation", "nation", "n_nationkey", "COUNTRY", "n_name")).union(one("region", "region", "r_regionkey", "REGION", "r_name"))
+
+
+def _neighbours_sql(depth: int) -> str:
+    return f"""
+    WITH RECURSIVE both_ways AS (SELECT DISTINCT a, b FROM (SELECT source_id AS a, target_id AS b FROM {EDGES} UNION ALL SELECT target_id, source_id FROM {EDGES}) WHERE a <> b),
+    walk(root, entity_id, hops) AS (SELECT entity_id, entity_id, 0 FROM {VERTICES} WHERE label = 'REGION' UNION SELECT root, b, hops + 1 FROM walk JOIN both_ways ON a = entity_id WHERE hops < {depth})
+    SELECT root, entity_id, min(hops) AS hops FROM walk WHERE entity_id <> root GROUP BY ALL"""
+
+
+def _neighbours(s, d, depth):
+    return graph.neighbours(vertices(s, d).filter("label = 'REGION'"), edges(s, d), depth)
+
+
+@query(_neighbours_sql(1))
+def neighbours_1(s, d):
+    return _neighbours(s, d, 1)
+
+
+@query(_neighbours_sql(2))
+def neighbours_2(s, d):
+    return _neighbours(s, d, 2)
+
+
+@query(_neighbours_sql(3))
+def neighbours_3(s, d):
+    return _neighbours(s, d, 3)
+
+
+@query(f"SELECT DISTINCT source_id, target_id, type, a.name AS source_name, b.name AS target_name, e.confidence FROM {EDGES} e JOIN {VERTICES} a ON a.entity_id = source_id JOIN {VERTICES} b ON b.entity_id = target_id WHERE type = 'LOCATED_IN'")
+def relationship_facts(s, d):
+    return graph.facts(edges(s, d), vertices(s, d).withColumn("aliases", F.lit(None).cast("array<string>")), ["LOCATED_IN"])
+
+
+@query(f"""
+    WITH f AS (SELECT source_id AS query_id, source_id, target_id, type, a.name AS source_name, b.name AS target_name FROM {EDGES} e JOIN {VERTICES} a ON a.entity_id = source_id JOIN {VERTICES} b ON b.entity_id = target_id)
+    SELECT query_id, source_name || ' ' || lower(replace(type, '_', ' ')) || ' ' || target_name || '.' AS answer, 0.95 AS confidence FROM f""")
+def graph_fact_answers(s, d):
+    f = graph.facts(edges(s, d), vertices(s, d).withColumn("aliases", F.lit(None).cast("array<string>"))).withColumn("query_id", F.col("source_id"))
+    return graph.answer_facts(graph.facts_for(f, F.array(F.lit("locat"))))
+
+
+@query(f"""
+    WITH asked AS (SELECT label AS query_id, entity_id FROM entities WHERE label IN ('PERSON', 'COMPANY', 'PRODUCT')),
+    hits AS (SELECT query_id, document, page, chunk_index, count(DISTINCT entity_id) AS hits FROM asked JOIN mentions m USING (entity_id) WHERE document IS NOT NULL AND chunk_index IS NOT NULL GROUP BY ALL)
+    SELECT query_id, document, page, chunk_index, hits, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, document, page, chunk_index) AS rank FROM hits) WHERE rank <= 12""")
+def chunks_for_entities(s, d):
+    asked = table(s, d, "entities").filter(F.col("label").isin("PERSON", "COMPANY", "PRODUCT")).select(F.col("label").alias("query_id"), "entity_id")
+    return graph.chunks_for(asked, table(s, d, "mentions"))
+
+
+@query("SELECT count(DISTINCT entity_id) AS entities, count(DISTINCT mention_id) AS mentions, count(DISTINCT document) AS documents FROM mentions")
+def graph_counts(s, d):
+    return table(s, d, "mentions").agg(F.countDistinct("entity_id").alias("entities"), F.countDistinct("mention_id").alias("mentions"), F.countDistinct("document").alias("documents"))
+
+
+@query()
+def canonical_mentions(s, d):
+    return graph.canonical_mentions(mentions(s, d))
+
+
+def _relation_sql(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in T.RELATION_STOPWORDS)
+    stem = "CASE WHEN w LIKE '%ers' AND length(w) > 5 THEN left(w, length(w) - 3) WHEN w LIKE '%er' AND length(w) > 4 THEN left(w, length(w) - 2) WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%ing' AND length(w) > 5 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) > 4 THEN left(w, length(w) - 2) WHEN w LIKE '%es' AND length(w) > 4 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END"
+    return f"nullif(upper(array_to_string(list_transform(list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[a-z]+'), lambda w: w NOT IN ({stop})), lambda w: {stem})[1:5], '_')), '')"
+
+
+@query(f"SELECT query_id, {_relation_sql('question')} AS relation FROM {RESULTS}")
+def relation_normalise(s, d):
+    return results(s, d).select("query_id", T.relation_name(F.col("question")).alias("relation"))
+
+
+# -- numeric evidence -----------------------------------------------------------------------------
+FACTS = """(
+    SELECT 'orders' AS document, CAST(o_orderkey % 100 AS INTEGER) AS page, CAST(o_orderkey AS INTEGER) AS chunk_index, 'Invoice INV-' || o_orderkey || ' amount was $' || CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) || '. It was placed in ' || year(o_orderdate) || '.' AS text FROM orders
+    UNION ALL SELECT 'part', CAST(p_size AS INTEGER), CAST(p_partkey AS INTEGER), 'Project Alpha' || (p_partkey % 500) || ' generated revenue of ' || CAST(CAST(floor(p_retailprice) AS BIGINT) AS VARCHAR) || ' dollars. Gamma' || (p_partkey % 500) || ' earned ' || CAST(p_partkey % 90 + 1 AS VARCHAR) || ' thousand.' FROM part
+    UNION ALL SELECT 'lineitem', CAST(l_linenumber AS INTEGER), CAST(l_suppkey AS INTEGER), 'Project Beta' || l_suppkey || ' processed exactly ' || count(*) || ' transactions. Employee EMP-' || l_suppkey || ' signed Contract CX-' || (l_suppkey % 40) || '.' FROM lineitem GROUP BY l_linenumber, l_suppkey)"""
+
+
+def facts(s: SparkSession, d: str) -> DataFrame:
+    o = table(s, d, "orders").select(F.lit("orders").alias("document"), (F.col("o_orderkey") % 100).cast("int").alias("page"), F.col("o_orderkey").cast("int").alias("chunk_index"), F.concat(F.lit("Invoice INV-"), F.col("o_orderkey").cast("string"), F.lit(" amount was $"), F.floor("o_totalprice").cast("string"), F.lit(". It was placed in "), F.year("o_orderdate").cast("string"), F.lit(".")).alias("text"))
+    n = (F.col("p_partkey") % 500).cast("string")
+    p = table(s, d, "part").select(F.lit("part"), F.col("p_size").cast("int"), F.col("p_partkey").cast("int"), F.concat(F.lit("Project Alpha"), n, F.lit(" generated revenue of "), F.floor("p_retailprice").cast("string"), F.lit(" dollars. Gamma"), n, F.lit(" earned "), (F.col("p_partkey") % 90 + 1).cast("string"), F.lit(" thousand.")))
+    li = table(s, d, "lineitem").groupBy("l_linenumber", "l_suppkey").agg(F.count("*").alias("n"))
+    k = F.col("l_suppkey").cast("string")
+    li = li.select(F.lit("lineitem"), F.col("l_linenumber").cast("int"), F.col("l_suppkey").cast("int"), F.concat(F.lit("Project Beta"), k, F.lit(" processed exactly "), F.col("n").cast("string"), F.lit(" transactions. Employee EMP-"), k, F.lit(" signed Contract CX-"), (F.col("l_suppkey") % 40).cast("string"), F.lit(".")))
+    return o.union(p).union(li)
+
+
+_RECORD_SQL = f"""(
+    SELECT 'Invoice' AS kind, 'INV-' || o_orderkey AS nameless, 'INV-' || o_orderkey AS entity, 'invoice' AS entity_type, 'amount' AS metric, CAST(floor(o_totalprice) AS DOUBLE) AS value, 1.0 AS confidence FROM orders
+    UNION ALL SELECT 'Revenue', '', 'Project Alpha' || (p_partkey % 500), 'project', 'revenue', CAST(floor(p_retailprice) AS DOUBLE), 1.0 FROM part
+    UNION ALL SELECT 'Earned', '', 'Gamma' || (p_partkey % 500), 'project', 'revenue', CAST((p_partkey % 90 + 1) * 1000 AS DOUBLE), 0.85 FROM part
+    UNION ALL SELECT 'Transactions', '', 'Project Beta' || l_suppkey, 'project', 'transactions', CAST(count(*) AS DOUBLE), 1.0 FROM lineitem GROUP BY l_linenumber, l_suppkey)"""
+_DEDUPED = f"(SELECT metric, arg_max(entity, confidence) AS entity, any_value(entity_type) AS entity_type, max(value) AS value FROM {_RECORD_SQL} GROUP BY metric, lower(entity))"
+
+
+@query(f"SELECT entity, entity_type, metric, value, confidence, count(*) AS n FROM {_RECORD_SQL} GROUP BY ALL")
+def record_extraction(s, d):
+    f = facts(s, d)
+    return records.structured_records(f).unionByName(records.flexible_records(f)).groupBy("entity", "entity_type", "metric", "value", "confidence").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT metric, entity, value FROM {_DEDUPED}")
+def record_dedupe(s, d):
+    return records.metric_records(facts(s, d)).select("metric", "entity", "value")
+
+
+@query(f"SELECT metric, round(sum(value), 2) AS sum, round(avg(value), 2) AS average, min(value) AS min, max(value) AS max, count(*) AS count FROM {_DEDUPED} GROUP BY metric")
+def aggregate_metrics(s, d):
+    return records.aggregate(records.metric_records(facts(s, d)))
+
+
+def _rank_sql(order: str, limit: int) -> str:
+    return f"SELECT metric, CAST(rank AS INTEGER) AS rank, entity, value FROM (SELECT metric, entity, value, row_number() OVER (PARTITION BY metric ORDER BY value {order}, entity) AS rank FROM {_DEDUPED}) WHERE rank <= {limit}"
+
+
+@query(_rank_sql("DESC", 20))
+def rank_top20(s, d):
+    return records.rank(records.metric_records(facts(s, d)))
+
+
+@query(_rank_sql("ASC", 5))
+def rank_lowest5(s, d):
+    return records.rank(records.metric_records(facts(s, d)), 5, ascending=True)
+
+
+@query(_rank_sql("DESC", 1))
+def rank_top1(s, d):
+    return records.rank(records.metric_records(facts(s, d)), 1)
+
+
+_CONDITIONS = [
+    (1, "revenue greater than 1500", "revenue", "value > 1500"), (2, "Which invoices have an amount between $2,000 and $50,000?", "amount", "value BETWEEN 2000 AND 50000"), (3, "transactions no less than 5", "transactions", "value >= 5"),
+    (4, "revenue at most 2 thousand", "revenue", "value <= 2000"), (5, "invoice amount under 0.1 million", "amount", "value < 100000"), (6, "revenue = 1000", "revenue", "value = 1000"), (7, "projects with revenue above 50 thousand", "revenue", "value > 50000"),
+]
+
+
+@query("\n UNION ALL ".join(f"SELECT {i} AS query_id, count(*) FILTER ({c}) AS matched, count(*) FILTER (NOT ({c})) AS excluded, count(*) AS total FROM {_DEDUPED} WHERE metric = '{m}'" for i, _, m, c in _CONDITIONS))
+def numeric_filter(s, d):
+    q = s.createDataFrame([(i, t) for i, t, _, _ in _CONDITIONS], "query_id int, question string")
+    return records.numeric_filter(q, records.metric_records(facts(s, d)))
+
+
+@query(f"""
+    SELECT entity_type, count(DISTINCT entity) AS n FROM {_DEDUPED} WHERE entity_type IN ('project', 'invoice') GROUP BY entity_type
+    UNION ALL SELECT 'employee', count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'contract', count(DISTINCT l_suppkey % 40) FROM lineitem""")
+def entity_counts(s, d):
+    f = facts(s, d)
+    return records.count_entities(records.metric_records(f), f)
+
+
+@query(f"""
+    SELECT document, chunk_index, page, CAST(year AS INTEGER) AS year, CAST(row_number() OVER (PARTITION BY document ORDER BY year, page, chunk_index) AS INTEGER) AS rank
+    FROM (SELECT document, chunk_index, page, regexp_extract(text, '\\b((?:19|20)\\d{{2}})\\b', 1) AS year FROM {CHUNKS}) WHERE year <> ''""")
+def temporal_order(s, d):
+    return records.temporal_order(corpus.corpus(s, d))
+
+
+_NAMED = f"(SELECT document, page, chunk_index, unnest(list_filter(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\b', 1)), lambda n: length(n) >= 2 AND lower(n) NOT IN ('the', 'this', 'that', 'from', 'with'))) AS name FROM {CHUNKS} WHERE text IS NOT NULL)"
+
+
+@query(f"""
+    SELECT document, name, any_value(n) AS appearances, array_to_string(list(chunk_index ORDER BY r), ',') AS sources
+    FROM (SELECT *, row_number() OVER (PARTITION BY document, name ORDER BY page, chunk_index) AS r, count(*) OVER (PARTITION BY document, name) AS n FROM {_NAMED}) WHERE n >= 2 AND r <= 3 GROUP BY document, name""")
+def bridging_entities(s, d):
+    return records.bridging(corpus.corpus(s, d))
+
+
+@query(f"""
+    WITH asked AS (SELECT query_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT query_id, list_distinct(regexp_extract_all(question, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1)) AS l FROM {RESULTS} WHERE query_id % 50 = 0 AND question IS NOT NULL)),
+    hits AS (SELECT query_id, name, count(DISTINCT (document, chunk_index)) AS n FROM asked JOIN {_NAMED} USING (name) GROUP BY ALL)
+    SELECT a.query_id, least(a.name, b.name) AS first_name, greatest(a.name, b.name) AS second_name, a.n + b.n AS chunks FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.name < b.name""")
+def compare_pairs(s, d):
+    return records.compare(stated(s, d), corpus.corpus(s, d)).select("query_id", F.least("entity_a", "entity_b").alias("first_name"), F.greatest("entity_a", "entity_b").alias("second_name"), (F.col("a_chunks") + F.col("b_chunks")).alias("chunks"))
+
+
+@query(f"""
+    SELECT DISTINCT document || ':' || page || ':' || chunk_index AS query_id, unnest(CASE document WHEN 'orders' THEN ['INV-' || chunk_index] WHEN 'lineitem' THEN ['EMP-' || chunk_index, 'CX-' || (chunk_index % 40)] ELSE [] END) AS name FROM {FACTS}""")
+def query_entities(s, d):
+    q = facts(s, d).select(F.concat_ws(":", "document", F.col("page").cast("string"), F.col("chunk_index").cast("string")).alias("query_id"), F.col("text").alias("question"))
+    return graph.query_entities(q).distinct()
+
+
+@query()
+def generic_records(s, d):
+    return records.generic_records(facts(s, d))
+
+
+@query("SELECT o_orderkey AS query_id, 'The amount of invoice INV-' || o_orderkey || ' is ' || format('{:,}', CAST(floor(o_totalprice) AS BIGINT)) || '.' AS answer FROM orders WHERE o_orderkey % 50 = 0")
+def exact_metric(s, d):
+    q = table(s, d, "orders").filter(F.col("o_orderkey") % STATED == 0).select(F.col("o_orderkey").alias("query_id"), F.concat(F.lit("What is the amount of inv-"), F.col("o_orderkey").cast("string"), F.lit("?")).alias("question"))
+    return records.exact_metric(q, facts(s, d))
+
+
+@query(f"""
+    SELECT metric, 'Ranked results from extracted document evidence:' || chr(10) || array_to_string(list(rank || '. ' || entity || ': ' || format('{{:,}}', CAST(value AS BIGINT)) || ' ' || metric ORDER BY rank), chr(10)) AS answer
+    FROM ({_rank_sql("DESC", 5)}) GROUP BY metric""")
+def ranked_answers(s, d):
+    return records.ranked_answer(records.rank(records.metric_records(facts(s, d)), 5))
+
+
+@query()
+def fallback_answers(s, d):
+    chunks = corpus.corpus(s, d)
+    hits = retrieval.bm25(stated(s, d), chunks, 3).join(chunks.select("document", "chunk_index", "page", "text"), ["document", "chunk_index"])
+    return records.fallback_answer(hits)
+
+
+@query(f"""
+    SELECT query_id, CASE WHEN query_type IN ('LOOKUP', 'ENTITY_LOOKUP', 'SEMANTIC_LOOKUP') THEN top >= 0.3 WHEN query_type IN ('AGGREGATION', 'COUNTING', 'NUMERICAL_FILTER', 'RANKING') THEN n > 0
+        WHEN query_type IN ('COMPARISON', 'RELATIONSHIP') THEN n >= 2 WHEN query_type = 'MULTI_HOP' THEN n >= 2 AND top >= 0.2 ELSE top >= 0.2 END AS sufficient
+    FROM (SELECT query_id, query_type FROM ({CLASSIFIED})) JOIN (SELECT query_id, coalesce(list_max(list_transform(retrieved_top5, lambda x: x.relevance_score)), 0.0) AS top, coalesce(len(retrieved_top5), 0) AS n FROM {RESULTS}) USING (query_id)""")
+def evidence_sufficient(s, d):
+    top = results(s, d).select("query_id", F.coalesce(F.array_max(F.transform("retrieved_top5", lambda x: x["relevance_score"])), F.lit(0.0)).alias("top"), F.coalesce(F.size("retrieved_top5"), F.lit(0)).alias("n"))
+    n = F.greatest(F.col("n"), F.lit(0))
+    return planner.classify(questions(s, d)).join(top, "query_id").select("query_id", records.sufficient(F.col("query_type"), F.col("top"), n, n, n).alias("sufficient"))
+
+
+# -- state ------------------------------------------------------------------------------------------
+NOW = "(SELECT max(created_at) FROM cache_rows)"
+
+
+def _now(s, d):
+    return table(s, d, "cache_rows").agg(F.max("created_at").alias("now"))
+
+
+@query(f"SELECT cache_id FROM {CACHE} WHERE epoch_us(created_at) >= epoch_us({NOW}) - 86400000000")
+def cache_live(s, d):
+    rows = cache(s, d).crossJoin(F.broadcast(_now(s, d)))  # one row
+    return state.live(rows, F.col("now"), 86_400).select("cache_id")
+
+
+@query(f"SELECT cache_id FROM (SELECT cache_id, row_number() OVER (PARTITION BY corpus_key ORDER BY last_accessed_at DESC, cache_id) AS r FROM {CACHE}) WHERE r <= 512")
+def cache_survivors(s, d):
+    return state.survivors(cache(s, d), ["corpus_key"]).select("cache_id")
+
+
+@query(f"""
+    SELECT query_id, cache_id FROM (SELECT cache_id AS query_id, corpus_key, top_k, normalized_question AS q FROM {CACHE})
+    JOIN (SELECT cache_id, corpus_key, top_k, normalized_question FROM (SELECT *, row_number() OVER (PARTITION BY corpus_key, top_k, normalized_question ORDER BY created_at DESC, cache_id) AS r FROM {CACHE}) WHERE r = 1) USING (corpus_key, top_k)
+    WHERE regexp_replace(regexp_replace(lower(regexp_replace(q, '^\\s+|\\s+$', '', 'g')), '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g') = normalized_question""")
+def cache_exact(s, d):
+    rows = cache(s, d)
+    asked = rows.select(F.col("cache_id").alias("query_id"), "corpus_key", "top_k", F.col("normalized_question").alias("question"))
+    return state.exact(asked, rows)
+
+
+@query(f"""
+    WITH fit AS (SELECT cache_id, corpus_key, CAST(embedding AS DOUBLE[]) AS e FROM {CACHE} WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    asked AS (SELECT cache_id AS query_id, corpus_key, e FROM fit WHERE CAST(epoch_us((SELECT any_value(created_at) FROM cache_rows c WHERE c.cache_id = fit.cache_id)) // 1000000 AS BIGINT) % 50 = 0)
+    SELECT query_id, arg_min(cache_id, (-similarity, cache_id)) AS cache_id, max(similarity) AS similarity
+    FROM (SELECT query_id, c.cache_id, round(list_cosine_similarity(a.e, c.e), 6) AS similarity FROM asked a JOIN fit c USING (corpus_key)) WHERE similarity >= 0.92 AND query_id <> cache_id GROUP BY query_id""")
+def cache_semantic(s, d):
+    rows = cache(s, d)
+    asked = rows.filter(F.floor(F.unix_micros("created_at") / 1_000_000) % STATED == 0).select(F.col("cache_id").alias("query_id"), "corpus_key", "embedding")
+    return state.semantic(asked, rows)
+
+
+@query(f"SELECT count(*) FILTER (cache_hit) AS hits, count(*) - count(*) FILTER (cache_hit) AS misses, round(count(*) FILTER (cache_hit) / count(*), 4) AS hit_rate FROM {RESPONSES}")
+def cache_stats(s, d):
+    return state.cache_stats(responses(s, d))
+
+
+@query(f"SELECT corpus_key, round(least(100.0, count(*) * 100.0 / 512), 2) AS load_percent FROM {CACHE} GROUP BY corpus_key")
+def cache_load(s, d):
+    return state.load_percent(cache(s, d))
+
+
+@query(f"""
+    SELECT cache_id, CASE WHEN length(normalized_question) > 150 THEN substr(normalized_question, 1, 150) || '...' ELSE normalized_question END AS preview, t AS seconds_left,
+           CASE WHEN t < 60 THEN t || 's' WHEN t < 3600 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE (t // 3600) || 'h ' || (t % 3600 // 60) || 'm' END AS ttl
+    FROM (SELECT cache_id, normalized_question, CAST(floor(864000 - (epoch_us({NOW}) - epoch_us(created_at)) / 1e6) AS BIGINT) AS t FROM {CACHE} WHERE epoch_us(created_at) >= epoch_us({NOW}) - 864000000000)""")
+def cache_entries(s, d):
+    return state.entries(cache(s, d).crossJoin(F.broadcast(_now(s, d))), F.col("now"), 864_000)
+
+
+_TURNS = f"(SELECT session_id, original_query, answer, row_number() OVER (PARTITION BY session_id ORDER BY created_at, response_id) AS n FROM {RESPONSES} WHERE session_id IS NOT NULL)"
+
+
+@query(f"""
+    SELECT session_id, turn, role, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r FROM (
+        SELECT session_id, 2 * n - 1 AS turn, 'user' AS role, original_query AS content FROM {_TURNS} UNION ALL SELECT session_id, 2 * n, 'assistant', answer FROM {_TURNS}) WHERE trim(session_id) <> '') WHERE r <= 8""")
+def chat_window(s, d):
+    return state.history(state.turns_of(responses(s, d))).select("session_id", F.col("turn").cast("bigint").alias("turn"), "role", "content")
+
+
+# -- evaluation ---------------------------------------------------------------------------------------
+RANKS = f"""(
+    SELECT query_id, question_type, rank, CASE WHEN rank > 0 THEN round(1.0 / rank, 6) ELSE 0.0 END AS reciprocal_rank, CAST(rank BETWEEN 1 AND 1 AS INTEGER) AS hit_1, CAST(rank BETWEEN 1 AND 3 AS INTEGER) AS hit_3, CAST(rank BETWEEN 1 AND 5 AS INTEGER) AS hit_5
+    FROM (SELECT query_id, question_type, CAST(coalesce(list_min(list_filter(list_transform(retrieved_top5, lambda x, i: CASE WHEN lower(x.document) = lower(expected_document) AND abs(x.page - expected_page) <= 1 THEN i END), lambda i: i IS NOT NULL)), 0) AS INTEGER) AS rank FROM {RESULTS}))"""
+_REPORT = "count(*) AS n, " + ", ".join(f"round(avg(hit_{k}), 4) AS recall_at_{k}" for k in (1, 3, 5)) + ", " + ", ".join(f"round(avg(hit_{k} / {k}), 4) AS precision_at_{k}" for k in (1, 3, 5)) + ", round(avg(reciprocal_rank), 4) AS mrr"
+
+
+@query(f"SELECT * FROM {RANKS}")
+def eval_ranks(s, d):
+    return evaluation.ranks(results(s, d))
+
+
+@query(f"SELECT {_REPORT} FROM {RANKS}")
+def eval_report(s, d):
+    return evaluation.report(evaluation.ranks(results(s, d)))
+
+
+@query(f"SELECT question_type, {_REPORT} FROM {RANKS} GROUP BY question_type")
+def eval_by_type(s, d):
+    return evaluation.report(evaluation.ranks(results(s, d)), ["question_type"])
+
+
+_SETS = f"(SELECT query_id, {token_set_sql('generated_answer')} AS a, {token_set_sql('reference_answer')} AS r FROM {RESULTS})"
+
+
+@query(f"SELECT query_id, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, r)) / len(a) END, 4) AS faithfulness FROM {_SETS}")
+def faithfulness(s, d):
+    return results(s, d).select("query_id", evaluation.faithfulness(F.col("generated_answer"), F.col("reference_answer")).alias("faithfulness"))
+
+
+@query(f"SELECT query_id, CASE WHEN trim(coalesce(reference_answer, '')) = '' THEN 0.0 ELSE round(CASE WHEN least(len(a), len(r)) > 0 THEN len(list_intersect(a, r)) / least(len(a), len(r)) ELSE 0.0 END, 4) END AS similarity FROM {_SETS} JOIN (SELECT query_id, reference_answer FROM {RESULTS}) USING (query_id)")
+def answer_similarity(s, d):
+    return results(s, d).select("query_id", evaluation.answer_similarity(F.col("generated_answer"), F.col("reference_answer")).alias("similarity"))
+
+
+@query(f"""
+    WITH said AS (SELECT query_id, list_filter(list_transform(regexp_split_to_array(coalesce(generated_answer, ''), '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 10) AS s, {token_set_sql('reference_answer')} AS c FROM {RESULTS})
+    SELECT query_id, CASE WHEN len(s) = 0 THEN 1.0 ELSE round(len(list_filter(s, lambda x: len(list_intersect({token_set_sql('x')}, c)) >= 3)) / len(s), 4) END AS coverage FROM said""")
+def evidence_coverage(s, d):
+    return results(s, d).select("query_id", evaluation.coverage(F.col("generated_answer"), F.array("reference_answer")).alias("coverage"))
+
+
+@query(f"SELECT response_id, regexp_matches(answer, '{evaluation.SPECULATIVE}') AS speculative FROM {RESPONSES} WHERE answer IS NOT NULL")
+def speculative(s, d):
+    return responses(s, d).filter("answer IS NOT NULL").select("response_id", evaluation.is_speculative(F.col("answer"), F.lit(True)).alias("speculative"))
+
+
+@query(f"SELECT question_type, count(*) AS n, round(avg(total_response_time_ms), 3) AS mean, quantile_disc(total_response_time_ms, 0.95) AS p95, min(total_response_time_ms) AS fastest, max(total_response_time_ms) AS slowest FROM {RESULTS} WHERE total_response_time_ms IS NOT NULL GROUP BY question_type")
+def latency_by_type(s, d):
+    return evaluation.latency(results(s, d), "total_response_time_ms", ["question_type"])
+
+
+@query(f"SELECT document, chunk_index, next_index FROM (SELECT document, chunk_index, lead(chunk_index) OVER (PARTITION BY document ORDER BY chunk_index) AS next_index, row_number() OVER (PARTITION BY document ORDER BY chunk_index) AS r FROM {CHUNKS}) WHERE next_index IS NOT NULL AND r <= 3")
+def adjacent_chunks(s, d):
+    return evaluation.adjacent(corpus.corpus(s, d))
+
+
+@query(rf"""
+    SELECT document, page, chunk_index, 'What information is stated in ' || document || ' on page ' || page || ', chunk ' || chunk_index || '?' AS question,
+           CASE WHEN length(o) > 220 THEN regexp_replace(regexp_replace(substr(o, 1, 220), ' [^ ]*$', ''), '[ ,;:]+$', '') || '...' WHEN o = '' THEN 'See the referenced document chunk.' ELSE o END AS answer
+    FROM (SELECT document, page, chunk_index, trim(regexp_replace(coalesce(list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')[1], ''), '\s+', ' ', 'g')) AS o FROM {CHUNKS})""")
+def fallback_pool(s, d):
+    return evaluation.fallback_questions(corpus.corpus(s, d))
+
+
+@query()
+def question_pool(s, d):
+    q = results(s, d).filter("question IS NOT NULL")
+    return evaluation.distinct_questions(q.select(F.col("expected_document").alias("block"), F.col("query_id").alias("question_id"), "question"))
+
+
+@query(f"SELECT query_id, round(least(1.0, 1.6 * (0.6 * top + 0.4 * f)), 3) AS confidence FROM (SELECT query_id, coalesce(list_max(list_transform(retrieved_top5, lambda x: x.relevance_score)), 0.0) AS top, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, r)) / len(a) END AS f FROM (SELECT query_id, retrieved_top5, {token_set_sql('generated_answer', T.CONFIDENCE_STOPWORDS, False)} AS a, {token_set_sql('reference_answer', T.CONFIDENCE_STOPWORDS, False)} AS r FROM {RESULTS}))")
+def answer_confidence(s, d):
+    top = F.coalesce(F.array_max(F.transform("retrieved_top5", lambda x: x["relevance_score"])), F.lit(0.0))
+    words = [T.token_set(F.col(c), T.CONFIDENCE_STOPWORDS, False) for c in ("generated_answer", "reference_answer")]
+    return results(s, d).select("query_id", T.confidence(top, T.recall(*words)).alias("confidence"))
+
+
+# -- events ---------------------------------------------------------------------------------------------
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def tumbling_counts(s, d):
+    return events.tumbling(table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+    WITH e AS (SELECT date_trunc('hour', ts) + CASE WHEN minute(ts) >= 30 THEN INTERVAL 30 MINUTE ELSE INTERVAL 0 MINUTE END AS slot FROM events)
+    SELECT start, count(*) AS n FROM (SELECT slot AS start FROM e UNION ALL SELECT slot - INTERVAL 30 MINUTE FROM e) GROUP BY start""")
+def sliding_counts(s, d):
+    return events.sliding(table(s, d, "events")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("""
+    WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
+    r AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM m)
+    SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM r GROUP BY user_id, run""")
+def session_counts(s, d):
+    e = events.sessions(table(s, d, "events"))
+    return e.withColumn("start", F.col("start").cast("timestamp_ntz")).withColumn("finish", F.col("finish").cast("timestamp_ntz"))
+
+
+# -- quantities -------------------------------------------------------------------------------------------
+@query()
+def p7_found(s, d):
+    return units.common_quantities(table(s, d, "mentions"), table(s, d, "entities"), table(s, d, "common_units"))
+
+
+@query()
+def p7_sources(s, d):
+    """Each pair of sources of the numbers of one entity, with its estimated conversion."""
+    e = table(s, d, "entities")
+    columns = {"numeric_value": F.col("numeric_value"), "metadata": F.expr("try_cast(metadata['numeric_value'] AS double)"), "name": F.expr("try_cast(name AS double)")}
+    found = e.select(F.col("entity_id").alias("entity"), F.explode(F.array(*[F.struct(F.lit(k).alias("source"), v.alias("value")) for k, v in columns.items()])).alias("x"))
+    estimates = units.estimate_links(found.select("entity", "x.source", "x.value"))
+    return estimates.select("a", "b", "n", F.round("scale", 6).alias("scale"), F.round("offset", 6).alias("offset"))
