@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", app: str = "foliant") -> SparkSession:
@@ -66,3 +67,9 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/foliant-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows; for stored tables of narrow
+    rows, whose count is read from their footers. Beyond it the planner joins as it sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -41,9 +41,11 @@ def unique(events: DataFrame, late: str = "1 hour") -> DataFrame:
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def cache_replay(accesses: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
+def cache_replay(accesses: DataFrame, ttl_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
     """(key, hits, misses, ts) of a stream of accesses (key, ts): an access hits if the entry made
-    by the last miss is no older than the time to live. State of a key expires with it."""
+    by the last miss is no older than the time to live. A key's state goes once the watermark
+    has passed its entry's time; timeouts follow event time, as those of processing time would
+    keep a run over what is available from ever ending."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -57,15 +59,15 @@ def cache_replay(accesses: DataFrame, ttl_seconds: int = 3600) -> DataFrame:
             else:
                 created, misses = at, misses + 1
             last = t
-        if created is not None:
-            state.update((created, hits, misses))
-            state.setTimeoutDuration(ttl_seconds * 1000)
-        elif state.hasTimedOut:
+        if state.hasTimedOut:
             state.remove()
+        elif created is not None:
+            state.update((created, hits, misses))
+            state.setTimeoutTimestamp(max(int((created + ttl_seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         if last is not None:
             yield pd.DataFrame([(key[0], hits, misses, last)], columns=["key", "hits", "misses", "ts"])
 
-    return accesses.groupBy("key").applyInPandasWithState(run, "key string, hits bigint, misses bigint, ts timestamp", "created double, hits bigint, misses bigint", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return accesses.withWatermark("ts", late).groupBy("key").applyInPandasWithState(run, "key string, hits bigint, misses bigint, ts timestamp", "created double, hits bigint, misses bigint", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def file_stream(spark: SparkSession, folder: str, schema: str = EVENT_SCHEMA, files_per_batch: int = 1) -> DataFrame:
