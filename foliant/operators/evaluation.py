@@ -99,6 +99,25 @@ def fallback_questions(chunks: DataFrame) -> DataFrame:
     return chunks.select("document", "page", "chunk_index", question.alias("question"), answer.alias("answer"))
 
 
+def question_pool(chunks: DataFrame, needed: int = 10) -> DataFrame:
+    """(document, question, answer, kind): for each document, questions about neighbouring chunks
+    and, up to ``needed``, what single chunks state; no model is asked."""
+    both = adjacent(chunks).select("document", F.concat(F.lit("How do chunks "), F.col("chunk_index").cast("string"), F.lit(" and "), F.col("next_index").cast("string"), F.lit(" of "), "document", F.lit(" differ?")).alias("question"), F.lit("").alias("answer"), F.lit("comparative").alias("kind"), F.col("chunk_index"))
+    single = fallback_questions(chunks).select("document", "question", "answer", F.lit("fallback").alias("kind"), "chunk_index")
+    w = Window.partitionBy("document").orderBy("kind", "chunk_index")
+    return both.unionByName(single).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= needed).select("document", "question", "answer", "kind")
+
+
+def stage_latency(stages: Column, defaults: list[str]) -> Column:
+    """A map of stage times with 0 for stages that did not run and their total."""
+    zero = F.map_from_arrays(F.array(*[F.lit(x) for x in defaults]), F.array(*[F.lit(0.0) for _ in defaults]))
+    given = F.map_filter(F.coalesce(stages, F.create_map().cast("map<string,double>")), lambda k, v: v.isNotNull())
+    kept = F.map_filter(zero, lambda k, v: ~F.map_contains_key(given, k))
+    merged = F.map_concat(kept, F.transform_values(given, lambda k, v: F.round(v, 3)))
+    total = F.aggregate(F.map_values(given), F.lit(0.0), lambda s, v: s + v)
+    return F.map_concat(merged, F.create_map(F.lit("total"), F.round(total, 3)))
+
+
 def distinct_questions(pool: DataFrame, overlap: float = OVERLAP) -> DataFrame:
     """(block, question_id, question) kept when no earlier kept question of its block overlaps
     it by ``overlap`` of the smaller word set. Greedy, so a block is taken in order."""

@@ -717,6 +717,28 @@ def evidence_sufficient(s, d):
     return planner.classify(questions(s, d)).join(top, "query_id").select("query_id", records.sufficient(F.col("query_type"), F.col("top"), n, n, n).alias("sufficient"))
 
 
+@query(f"""
+    SELECT query_id, CASE query_type WHEN 'AGGREGATION' THEN 'aggregate' WHEN 'NUMERICAL_FILTER' THEN 'numeric_filter' WHEN 'COUNTING' THEN 'count' WHEN 'RANKING' THEN 'rank' WHEN 'COMPARISON' THEN 'compare'
+        WHEN 'RELATIONSHIP' THEN 'relationships' WHEN 'TEMPORAL' THEN 'temporal' WHEN 'MULTI_HOP' THEN 'multi_hop' ELSE 'none' END AS branch FROM ({CLASSIFIED})""")
+def reasoning_branch(s, d):
+    return planner.classify(questions(s, d)).select("query_id", records.branch(F.col("query_type"), F.col("hints")).alias("branch"))
+
+
+@query(f"""
+    SELECT metric, any_value(n) || ' ' || metric || ' records: ' || string_agg(entity, ', ' ORDER BY r) || CASE WHEN any_value(sure) < 0.75 THEN ' (low confidence)' ELSE '' END AS summary
+    FROM (SELECT metric, entity, row_number() OVER (PARTITION BY metric ORDER BY value DESC, entity) AS r, count(*) OVER (PARTITION BY metric) AS n, 0.85 AS sure FROM {_DEDUPED}) WHERE r <= 10 GROUP BY metric""")
+def reasoning_summary(s, d):
+    return records.summary_line(records.metric_records(facts(s, d)))
+
+
+@query(f"""
+    SELECT query_id, query_type NOT IN ('RANKING', 'AGGREGATION', 'COUNTING') AND top < 0.15 AND query_type NOT IN ('COMPARISON', 'ANALYTICAL') AND NOT regexp_matches(question, '{planner.DOC_SPECIFIC}') AS general
+    FROM (SELECT query_id, question, query_type FROM ({CLASSIFIED})) JOIN (SELECT query_id, coalesce(list_max(list_transform(retrieved_top5, lambda x: x.relevance_score)), 0.0) AS top FROM {RESULTS}) USING (query_id)""")
+def general_fallback(s, d):
+    top = results(s, d).select("query_id", F.array_max(F.transform("retrieved_top5", lambda x: x["relevance_score"])).alias("top"))
+    return planner.classify(questions(s, d)).join(top, "query_id").select("query_id", planner.wants_general_answer(F.col("question"), F.col("query_type"), F.col("top")).alias("general"))
+
+
 # -- state ------------------------------------------------------------------------------------------
 NOW = "(SELECT max(created_at) FROM cache_rows)"
 
@@ -863,6 +885,48 @@ def answer_confidence(s, d):
     return results(s, d).select("query_id", T.confidence(top, T.recall(*words)).alias("confidence"))
 
 
+@query(f"""
+    SELECT document, question, answer, kind FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY kind, chunk_index) AS r FROM (
+        SELECT document, chunk_index, 'How do chunks ' || chunk_index || ' and ' || next_index || ' of ' || document || ' differ?' AS question, '' AS answer, 'comparative' AS kind FROM ({ORACLE['adjacent_chunks']})
+        UNION ALL SELECT document, chunk_index, question, answer, 'fallback' FROM ({ORACLE['fallback_pool']}))) WHERE r <= 10""")
+def evaluation_pool(s, d):
+    return evaluation.question_pool(corpus.corpus(s, d))
+
+
+@query(f"SELECT response_id, coalesce(round(latency_ms, 3), 0.0) AS answer_ms, 0.0 AS embed_ms, round(coalesce(latency_ms, 0.0), 3) AS total_ms FROM {RESPONSES}")
+def stage_latency(s, d):
+    m = evaluation.stage_latency(F.create_map(F.lit("answer"), F.col("latency_ms")), ["answer", "embed"])
+    return responses(s, d).select("response_id", m.alias("m")).select("response_id", F.col("m")["answer"].alias("answer_ms"), F.col("m")["embed"].alias("embed_ms"), F.col("m")["total"].alias("total_ms"))
+
+
+@query("SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm FROM embeddings")
+def vector_norms(s, d):
+    return table(s, d, "embeddings").select("vec_id", F.round(F.sqrt(T.dot(F.col("embedding"), F.col("embedding"))), 6).alias("norm"))
+
+
+@query(f"SELECT corpus_key, count(*) AS n FROM {CACHE} GROUP BY corpus_key")
+def cache_snapshot(s, d):
+    return corpus.snapshot(cache(s, d), "cache").groupBy("corpus_key").agg(F.count("*").alias("n"))
+
+
+@query()
+def graph_retrieval(s, d):
+    asked = table(s, d, "entities").filter(F.col("label").isin("PERSON", "COMPANY")).select(F.col("entity_id").alias("query_id"), "entity_id")
+    # entities met in one chunk are neighbours; a chunk's mentions are few
+    m = mentions(s, d).filter("document IS NOT NULL AND chunk_index IS NOT NULL AND label IN ('PERSON', 'COMPANY', 'EXECUTIVE')")
+    at = ["document", "page", "chunk_index"]
+    first = m.groupBy(*at).agg(F.min("entity_id").alias("target_id"))
+    met = m.join(first, at).select(F.col("entity_id").alias("source_id"), "target_id").filter("source_id <> target_id").distinct()
+    return graph.graph_retrieve(asked, met, m, depth=1).select("query_id", *at, "hits", "rank")
+
+
+@query()
+def sample_corpus(s, d):
+    from foliant.sources.sample import sample_pages
+
+    return chunking.chunk_fixed(sample_pages(s))
+
+
 # -- events ---------------------------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_counts(s, d):
