@@ -483,9 +483,9 @@ def entity_search_batch(s, d):
 
 
 EDGES = """(
-    SELECT 'customer:' || c_custkey AS source_id, 'nation:' || c_nationkey AS target_id, 'LOCATED_IN' AS type, 0.9 AS confidence FROM customer
-    UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'LOCATED_IN', 0.8 FROM supplier
-    UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'PART_OF', 1.0 FROM nation)"""
+    SELECT 'customer:' || c_custkey AS source_id, 'nation:' || c_nationkey AS target_id, 'LOCATED_IN' AS type, CAST(0.9 AS DOUBLE) AS confidence FROM customer
+    UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'LOCATED_IN', CAST(0.8 AS DOUBLE) FROM supplier
+    UNION ALL SELECT 'nation:' || n_nationkey, 'region:' || n_regionkey, 'PART_OF', CAST(1.0 AS DOUBLE) FROM nation)"""
 VERTICES = """(
     SELECT 'customer:' || c_custkey AS entity_id, 'COMPANY' AS label, c_name AS name FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'COMPANY', s_name FROM supplier
     UNION ALL SELECT 'nation:' || n_nationkey, 'COUNTRY', n_name FROM nation UNION ALL SELECT 'region:' || r_regionkey, 'REGION', r_name FROM region)"""
@@ -534,7 +534,7 @@ def relationship_facts(s, d):
 
 @query(f"""
     WITH f AS (SELECT source_id AS query_id, source_id, target_id, type, a.name AS source_name, b.name AS target_name FROM {EDGES} e JOIN {VERTICES} a ON a.entity_id = source_id JOIN {VERTICES} b ON b.entity_id = target_id)
-    SELECT query_id, source_name || ' ' || lower(replace(type, '_', ' ')) || ' ' || target_name || '.' AS answer, 0.95 AS confidence FROM f""")
+    SELECT query_id, source_name || ' ' || lower(replace(type, '_', ' ')) || ' ' || target_name || '.' AS answer, CAST(0.95 AS DOUBLE) AS confidence FROM f""")
 def graph_fact_answers(s, d):
     f = graph.facts(edges(s, d), vertices(s, d).withColumn("aliases", F.lit(None).cast("array<string>"))).withColumn("query_id", F.col("source_id"))
     return graph.answer_facts(graph.facts_for(f, F.array(F.lit("locat"))))
@@ -588,7 +588,7 @@ def facts(s: SparkSession, d: str) -> DataFrame:
 
 
 _RECORD_SQL = f"""(
-    SELECT 'Invoice' AS kind, 'INV-' || o_orderkey AS nameless, 'INV-' || o_orderkey AS entity, 'invoice' AS entity_type, 'amount' AS metric, CAST(floor(o_totalprice) AS DOUBLE) AS value, 1.0 AS confidence FROM orders
+    SELECT 'Invoice' AS kind, 'INV-' || o_orderkey AS nameless, 'INV-' || o_orderkey AS entity, 'invoice' AS entity_type, 'amount' AS metric, CAST(floor(o_totalprice) AS DOUBLE) AS value, CAST(1.0 AS DOUBLE) AS confidence FROM orders
     UNION ALL SELECT 'Revenue', '', 'Project Alpha' || (p_partkey % 500), 'project', 'revenue', CAST(floor(p_retailprice) AS DOUBLE), 1.0 FROM part
     UNION ALL SELECT 'Earned', '', 'Gamma' || (p_partkey % 500), 'project', 'revenue', CAST((p_partkey % 90 + 1) * 1000 AS DOUBLE), 0.85 FROM part
     UNION ALL SELECT 'Transactions', '', 'Project Beta' || l_suppkey, 'project', 'transactions', CAST(count(*) AS DOUBLE), 1.0 FROM lineitem GROUP BY l_linenumber, l_suppkey)"""
@@ -893,7 +893,7 @@ def evaluation_pool(s, d):
     return evaluation.question_pool(corpus.corpus(s, d))
 
 
-@query(f"SELECT response_id, coalesce(round(latency_ms, 3), 0.0) AS answer_ms, 0.0 AS embed_ms, round(coalesce(latency_ms, 0.0), 3) AS total_ms FROM {RESPONSES}")
+@query(f"SELECT response_id, coalesce(round(latency_ms, 3), 0.0) AS answer_ms, CAST(0.0 AS DOUBLE) AS embed_ms, round(coalesce(latency_ms, 0.0), 3) AS total_ms FROM {RESPONSES}")
 def stage_latency(s, d):
     m = evaluation.stage_latency(F.create_map(F.lit("answer"), F.col("latency_ms")), ["answer", "embed"])
     return responses(s, d).select("response_id", m.alias("m")).select("response_id", F.col("m")["answer"].alias("answer_ms"), F.col("m")["embed"].alias("embed_ms"), F.col("m")["total"].alias("total_ms"))
