@@ -65,6 +65,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that
     outlive any executor, and nothing upstream runs twice."""
     path = f"{shared_dir(df.sparkSession)}/foliant-{name}-{uuid.uuid4().hex}"
+    sc = df.sparkSession.sparkContext
+    sc._foliant_written = [*getattr(sc, "_foliant_written", []), path]
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -73,3 +75,14 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``rows`` rows; for stored tables of narrow
     rows, whose count is read from their footers. Beyond it the planner joins as it sees fit."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def sweep(spark: SparkSession) -> int:
+    """Delete the tables this application has cut so far; results built on them must have been
+    written or collected. Returns how many there were."""
+    sc = spark.sparkContext
+    paths, sc._foliant_written = getattr(sc, "_foliant_written", []), []
+    for path in paths:
+        at = sc._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)

@@ -267,6 +267,14 @@ def test_distinct_questions_twice_is_once(spark):
 
 
 # -- sources, plug-ins, API
+def test_cut_and_sweep(spark):
+    from foliant.session import cut, small, sweep
+
+    df = cut(spark.createDataFrame([(1, None), (2, "x")], "a int, b string"), "test")
+    assert df.count() == 2 and small(df).count() == 2 and small(df, 1).count() == 2
+    assert sweep(spark) >= 1 and sweep(spark) == 0
+
+
 def test_sources(spark, tmp_path):
     for name, content in (("a.pdf", b"one"), ("b.txt", b"two"), ("c.PNG", b"three")):
         (tmp_path / name).write_bytes(content)
