@@ -157,10 +157,41 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_passages": p10_passages,
 }
 
+_NORMALISED = """
+    texts AS (SELECT DISTINCT src, id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS norm FROM (
+        SELECT 'question' AS src, query_id AS id, question AS text FROM eval_results UNION ALL SELECT 'chunk', chunk_id, text FROM chunks) WHERE id IS NOT NULL AND text IS NOT NULL),
+    kept AS (SELECT src, id, norm, min(id) OVER (PARTITION BY src, norm) AS class FROM texts WHERE norm <> ''),
+    grams AS (SELECT src, class, unnest(list_distinct(CASE WHEN length(norm) <= 4 THEN [norm] ELSE list_transform(range(1, length(norm) - 2), lambda i: substr(norm, i, 4)) END)) AS g FROM kept WHERE id = class),
+    sizes AS (SELECT src, class, count(*) AS n FROM grams GROUP BY ALL),
+    common AS (SELECT a.src, a.class AS a, b.class AS b, count(*) AS c FROM grams a JOIN grams b ON a.src = b.src AND a.g = b.g AND a.class < b.class GROUP BY ALL),
+    alike AS (SELECT c.src, c.a, c.b FROM common c JOIN sizes x ON x.src = c.src AND x.class = c.a JOIN sizes y ON y.src = c.src AND y.class = c.b WHERE c.c / (x.n + y.n - c.c) >= 0.7)"""
+
 ORACLE: dict[str, str] = {
     "p2_found": """
         SELECT DISTINCT 'page' AS src, document, page AS idx FROM pages WHERE floor(length(raw_text) / 4) > 512
         UNION ALL
         SELECT DISTINCT 'chunk', document, chunk_index FROM chunks WHERE floor(length(text) / 4) > 512
     """,
+    "p3_found": f"""
+        WITH {_NORMALISED}
+        SELECT s.src, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM alike s JOIN kept x ON x.src = s.src AND x.class = s.a JOIN kept y ON y.src = s.src AND y.class = s.b
+        UNION ALL SELECT x.src, x.id, y.id FROM kept x JOIN kept y ON x.src = y.src AND x.class = y.class AND x.id < y.id
+    """,
+    "p3_classes": f"""
+        WITH {_NORMALISED}
+        SELECT k.src, k.id, k.class AS class_id, count(*) OVER (PARTITION BY k.src, k.class) AS copies, coalesce(l.links, 0) AS links
+        FROM kept k LEFT JOIN (SELECT src, class, count(*) AS links FROM (SELECT src, a AS class FROM alike UNION ALL SELECT src, b FROM alike) GROUP BY ALL) l ON l.src = k.src AND l.class = k.class
+    """,
+    "p6_found": """
+        WITH points AS (SELECT cache_id, CAST(any_value(embedding) AS DOUBLE[]) AS e FROM cache_rows WHERE cache_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY cache_id),
+        near AS (SELECT a.cache_id AS a, b.cache_id AS b, list_cosine_similarity(a.e, b.e) AS c FROM points a JOIN points b ON a.cache_id <> b.cache_id),
+        top AS (SELECT a, b, c, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS r FROM near)
+        SELECT DISTINCT least(a, b) AS cache_a, greatest(a, b) AS cache_b FROM top WHERE r <= 5 AND c >= 0.85
+    """,
+    "p10_found": """
+        WITH windows AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+        shared AS (SELECT h FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        starts AS (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next_i FROM windows SEMI JOIN shared USING (h))
+        SELECT doc_id, CAST(sum(least(200, coalesce(next_i - i, 200))) AS BIGINT) AS shared_chars FROM starts GROUP BY doc_id
+    """,
 }
