@@ -90,7 +90,7 @@ def document_list(s, d):
 
 
 @query(f"""
-    SELECT document, count(*) AS n_chunks, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, round(avg(coalesce(ocr_confidence, 1.0)), 3) AS avg_confidence,
+    SELECT document, count(*) AS n_chunks, array_to_string(list_sort(list(DISTINCT page)), ',') AS pages, floor((2 * sum(CAST(round(coalesce(ocr_confidence, 1.0) * 1000000) AS BIGINT)) + 1000 * count(*)) / (2000 * count(*))) / 1000.0 AS avg_confidence,
            CAST(len(list_distinct(flatten(list(coalesce(entities, []))))) AS INTEGER) AS n_entities FROM {CHUNKS} GROUP BY document""")
 def document_info(s, d):
     return corpus.document_info(corpus.corpus(s, d))
@@ -98,7 +98,7 @@ def document_info(s, d):
 
 @query(f"""
     SELECT p.document, p.pages, p.ocr_confidence, p.methods, coalesce(c.chunks, 0) AS chunks, coalesce(m.entities, 0) AS entities
-    FROM (SELECT document, count(*) AS pages, round(avg(ocr_confidence), 3) AS ocr_confidence, array_to_string(list_sort(list(DISTINCT extraction_method) FILTER (extraction_method IS NOT NULL)), '+') AS methods FROM {PAGES} GROUP BY document) p
+    FROM (SELECT document, count(*) AS pages, CASE WHEN count(ocr_confidence) > 0 THEN floor((2 * sum(CAST(round(ocr_confidence * 1000000) AS BIGINT)) + 1000 * count(ocr_confidence)) / (2000 * count(ocr_confidence))) / 1000.0 END AS ocr_confidence, array_to_string(list_sort(list(DISTINCT extraction_method) FILTER (extraction_method IS NOT NULL)), '+') AS methods FROM {PAGES} GROUP BY document) p
     LEFT JOIN (SELECT document, count(*) AS chunks FROM {CHUNKS} GROUP BY document) c USING (document)
     LEFT JOIN (SELECT document, count(DISTINCT entity_id) AS entities FROM mentions WHERE document IS NOT NULL GROUP BY document) m USING (document)""")
 def ingest_rollup(s, d):

@@ -87,19 +87,26 @@ def document_list(chunks: DataFrame) -> DataFrame:
     return chunks.select("document").distinct().orderBy("document")
 
 
+def mean_3(x: Column) -> Column:
+    """Mean to three places, halves up: summed in whole millionths, so that it does not depend
+    on the order of the rows."""
+    total, n = F.sum(F.round(x * 1_000_000).cast("bigint")), F.count(x)
+    return F.when(n > 0, F.floor((2 * total + 1000 * n) / (2000 * n)) / 1000.0)
+
+
 def document_info(chunks: DataFrame) -> DataFrame:
     """Rollup of each document: chunks, pages, mean confidence (unknown counts 1), entities."""
     return chunks.groupBy("document").agg(
         F.count("*").alias("n_chunks"),
         F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("pages"),
-        F.round(F.avg(F.coalesce("ocr_confidence", F.lit(1.0))), 3).alias("avg_confidence"),
+        mean_3(F.coalesce("ocr_confidence", F.lit(1.0))).alias("avg_confidence"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.coalesce("entities", F.array().cast("array<string>")))))).alias("n_entities"),
     )
 
 
 def ingest_rollup(pages: DataFrame, chunks: DataFrame, mentions: DataFrame) -> DataFrame:
     """What an ingest reports for each document."""
-    p = pages.groupBy("document").agg(F.count("*").alias("pages"), F.round(F.avg("ocr_confidence"), 3).alias("ocr_confidence"), F.array_join(F.sort_array(F.collect_set("extraction_method")), "+").alias("methods"))
+    p = pages.groupBy("document").agg(F.count("*").alias("pages"), mean_3(F.col("ocr_confidence")).alias("ocr_confidence"), F.array_join(F.sort_array(F.collect_set("extraction_method")), "+").alias("methods"))
     c = chunks.groupBy("document").agg(F.count("*").alias("chunks"))
     m = mentions.filter("document IS NOT NULL").groupBy("document").agg(F.countDistinct("entity_id").alias("entities"))
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
