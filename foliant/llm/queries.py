@@ -127,16 +127,16 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    from foliant.llm.spans import passages, shared_chars
+    from foliant.llm.spans import pieces, shared_chars
 
-    return shared_chars(passages(table(spark, d, "documents")))
+    return shared_chars(pieces(table(spark, d, "documents")))
 
 
 def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     from foliant.llm.spans import passages
 
     found = passages(table(spark, d, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), F.col("partner").alias("partner_id"), "start", "end", "partner_start", "partner_end", "verbatim_chars", "gaps")
+    return found.select(F.col("doc").alias("doc_id"), F.col("partner").alias("partner_id"), "start", "end", "partner_start", "partner_end", "verbatim_chars", "gaps", F.col("class").alias("class_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

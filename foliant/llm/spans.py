@@ -4,7 +4,8 @@
    windows keep the same k-mer at the same place, so two records that share a span of SPAN
    characters share a seed; about one position in 80 is a seed.
 2. Join. Seeds of more than one record keep a context: just the characters of the windows
-   they are the least k-mer of. In a group of equal seeds, windows are compared by hash, so
+   they are the least k-mer of. For passages, every two records of a group of equal seeds
+   are compared around the seed, equal texts once. For coverage, windows are compared by hash, so
    each occurrence gets the maximal runs of windows found in another record without any pair
    of occurrences being formed. A group of very many occurrences is not gathered: its
    windows are aggregated by their own hash, with partial aggregation before the shuffle.
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import cut
+from foliant.session import cut, small
 
 SPAN = 200
 K = 40
@@ -253,6 +254,99 @@ def matches(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     return cold.unionByName(warm)
 
 
+def _occurrences(batches: Iterator[pa.RecordBatch], span: int) -> Iterator[pa.RecordBatch]:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
+    for batch in batches:
+        out: tuple[list, ...] = tuple([] for _ in kinds)
+        for d, t, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for s in at:
+                for column, value in zip(out, (s["seed"], d, s["lo"], s["pos"] - s["lo"], t[s["lo"] : s["hi"] + span], s["parts"])):
+                    column.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, kinds)], names=["seed", "doc", "lo", "off", "context", "parts"])
+
+
+def _extent(p: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many characters, at most ``most``, agree after (way 1) or before (-1) a and b."""
+    low, high = np.zeros(len(a), dtype=np.int64), most.copy()
+    while (low < high).any():
+        m = (low + high + 1) // 2
+        x, z = (a, b) if way > 0 else (a - m, b - m)
+        same = (p[x + m] - p[x]) * down[x] == (p[z + m] - p[z]) * down[z]
+        low, high = np.where(same, m, low), np.where(same, high, m - 1)
+    return low
+
+
+def _pairs_of(rows: pa.Table, span: int, k: int, powers: _Powers, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs shared by two records of whole groups (seed, part), least record first. Windows of
+    a seed have it at the same place, so two occurrences share one run around it. An occurrence
+    whose context its record had before only meets those that are the first of theirs."""
+    seed, part, doc, lo, off = (rows[c].to_numpy().astype(np.int64) for c in ("seed", "part", "doc", "lo", "off"))
+    order = np.lexsort((lo, doc, part, seed))
+    kept = order[np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in (seed, part, doc, lo)], axis=0)])]
+    seed, part, doc, lo, off = (v[kept] for v in (seed, part, doc, lo, off))
+    parts = rows["parts"].to_numpy()[kept]
+    contexts = rows["context"].take(pa.array(kept)).to_pylist()
+    length = np.fromiter(map(len, contexts), dtype=np.int64, count=len(contexts))
+    at = np.cumsum(length) - length
+    p, down = _prefix(_codes(contexts), powers)
+    whole = _mix((p[at + length] - p[at]) * down[at]) ^ _mix((length * (1 << 20) + off).astype(np.uint64))
+    group = np.cumsum(np.concatenate([[True], (seed[1:] != seed[:-1]) | (part[1:] != part[:-1])])) - 1
+    begin = np.flatnonzero(np.diff(group, prepend=-1))
+    n = np.bincount(group)
+    order = np.lexsort((lo, whole, doc, group))
+    first = np.zeros(len(doc), dtype=bool)
+    first[order[np.concatenate([[True], np.any([v[order][1:] != v[order][:-1] for v in (group, doc, whole)], axis=0)])]] = True
+    mine = np.flatnonzero(first & ((np.arange(len(doc)) - begin[group]) % parts == part))
+    size = n[group[mine]]
+    block = np.cumsum(size) // most
+    for own in np.split(mine, np.flatnonzero(np.diff(block)) + 1):
+        size = n[group[own]]
+        i = np.repeat(own, size)
+        j = np.repeat(begin[group[own]], size) + np.arange(len(i)) - np.repeat(np.cumsum(size) - size, size)
+        met = (doc[i] != doc[j]) & ~(first[j] & (doc[j] < doc[i]))
+        i, j = i[met], j[met]
+        i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
+        before = _extent(p, down, at[i] + off[i], at[j] + off[j], np.minimum(off[i], off[j]), -1)
+        after = _extent(p, down, at[i] + off[i] + k, at[j] + off[j] + k, np.minimum((length - off)[i], (length - off)[j]) - k, 1)
+        same = (before + after + k >= span) & (_extent(p, down, at[i] + off[i], at[j] + off[j], np.full(len(i), k), 1) == k)
+        i, j, before, after = i[same], j[same], before[same], after[same]
+        start = lo[i] + off[i] - before
+        yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(start.astype(np.int32)), pa.array((start + before + k + after).astype(np.int32)), pa.array(doc[j]), pa.array((lo[j] + off[j] - before).astype(np.int32))], names=["doc", "start", "end", "partner", "partner_start"])
+
+
+def _pairs(batches: Iterator[pa.RecordBatch], span: int, k: int, chars: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches come sorted by seed and part; whole groups are taken."""
+    powers, held, size = _Powers(), [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size > chars:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            seed, part = rows["seed"].to_numpy(), rows["part"].to_numpy()
+            ends = np.flatnonzero((seed[1:] != seed[:-1]) | (part[1:] != part[:-1]))
+            at = int(ends[-1]) + 1 if len(ends) else 0
+            if at:
+                yield from _pairs_of(rows.slice(0, at), span, k, powers)
+            held, size = rows.slice(at).to_batches(), 0
+    if held and sum(b.num_rows for b in held):
+        yield from _pairs_of(pa.Table.from_batches(held).combine_chunks(), span, k, powers)
+
+
+def pair_runs(texts: DataFrame, span: int = SPAN, k: int = K, hot: int = HOT) -> DataFrame:
+    """(doc, start, end, partner, partner_start), doc < partner: the runs of ``span`` or more
+    characters of every two of the records (doc, h, t). A seed of more than ``hot`` / 10
+    occurrences is dealt to several parts; each has them all and takes its share of them as
+    one side of the pairs."""
+    found = cut(seeds(texts, "doc", "t", span, k), "seeds")
+    counted = found.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.ceil(F.count("*") / max(1, hot // 10)).cast("int").alias("parts"))
+    shared = found.join(counted.filter("a < b").select("seed", "parts"), "seed")
+    of_doc = shared.groupBy("doc").agg(F.collect_list(F.struct("seed", "pos", "lo", "hi", "parts")).alias("at"))  # bounded by the text's length
+    context = of_doc.join(texts.select("doc", "t").dropDuplicates(["doc"]), "doc").select("doc", "t", "at").mapInArrow(lambda it: _occurrences(it, span), "seed bigint, doc bigint, lo int, off int, context string, parts int")
+    context = context.select("seed", "doc", "lo", "off", "context", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return context.repartition(n, "seed", "part").sortWithinPartitions("seed", "part").mapInArrow(lambda it: _pairs(it, span, k), _MATCH)
+
+
 class Fenwick:
     """Prefix maxima of (value, item)."""
 
@@ -323,33 +417,115 @@ def _union(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(s, e) for s, e in out]
 
 
+def _merged(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs (start, end, partner_start) on one diagonal that touch are one match."""
+    merged: list[tuple[int, int, int]] = []
+    for s, e, y in sorted(hits, key=lambda h: (h[2] - h[0], h[0])):
+        if merged and y - s == merged[-1][2] - merged[-1][0] and s <= merged[-1][1]:
+            merged[-1] = (merged[-1][0], max(e, merged[-1][1]), merged[-1][2])
+        else:
+            merged.append((s, e, y))
+    return merged
+
+
+def _passage(doc: int, partner: int, own: list[tuple[int, int, int]]) -> tuple:
+    pieces = _union([(s, e) for s, e, _ in own])
+    return doc, partner, own[0][0], max(e for _, e, _ in own), own[0][2], max(y + e - s for s, e, y in own), sum(e - s for s, e in pieces), len(own) - 1, [{"start": s, "end": e} for s, e in pieces]
+
+
+_COLUMNS = [c.split()[0] for c in _PASSAGE.split(", ")]
+
+
 def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = [c.split()[0] for c in _PASSAGE.split(", ")]
     for batch in batches:
         out = []
         for doc, partner, hits in zip(batch["doc"], batch["partner"], batch["hits"]):
-            triples = sorted((int(h["start"]), int(h["end"]), int(h["partner_start"])) for h in hits)
-            merged: list[tuple[int, int, int]] = []  # runs on one diagonal that touch are one match
-            for s, e, y in triples:
-                if merged and y - s == merged[-1][2] - merged[-1][0] and s <= merged[-1][1]:
-                    merged[-1] = (merged[-1][0], max(e, merged[-1][1]), merged[-1][2])
-                else:
-                    merged.append((s, e, y))
-            for members in chain(merged):
-                own = [merged[i] for i in members]
-                pieces = _union([(s, e) for s, e, _ in own])
-                out.append((doc, partner, own[0][0], max(e for _, e, _ in own), own[0][2], max(y + e - s for s, e, y in own), sum(e - s for s, e in pieces), len(own) - 1, [{"start": s, "end": e} for s, e in pieces]))
-        yield pd.DataFrame(out, columns=columns)
+            merged = _merged([(int(h["start"]), int(h["end"]), int(h["partner_start"])) for h in hits])
+            out += [_passage(doc, partner, [merged[i] for i in members]) for members in chain(merged)]
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
+def _both_ways(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Passages of either record of each pair; whole pairs, sorted by pair, diagonal and start."""
+    d, q, s, e, y = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "partner", "start", "end", "partner_start"))
+    pair = np.concatenate([[True], (d[1:] != d[:-1]) | (q[1:] != q[:-1])])
+    new = np.concatenate([[True], pair[1:] | (y[1:] - s[1:] != y[:-1] - s[:-1]) | (s[1:] > e[:-1])])  # runs of one diagonal have ends in the order of their starts
+    head = np.flatnonzero(new)
+    tail = np.concatenate([head[1:], [len(d)]]) - 1
+    of = (np.cumsum(pair) - 1)[head]
+    d, q, s, e, y = d[head], q[head], s[head], e[tail], y[head]
+    alone = np.bincount(of)[of] == 1
+    n = e - s
+    pack = lambda a, b, x, x_end, z: pa.RecordBatch.from_arrays(
+        [pa.array(a), pa.array(b), *(pa.array(v.astype(np.int32)) for v in (x, x_end, z, z + x_end - x, x_end - x, np.zeros(len(x)))), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(x_end.astype(np.int32))], ["start", "end"]))],
+        names=_COLUMNS,
+    )
+    i = np.flatnonzero(alone)
+    if len(i):
+        yield pack(d[i], q[i], s[i], e[i], y[i])
+        yield pack(q[i], d[i], y[i], (y + n)[i], s[i])
+    out, rest = [], np.flatnonzero(~alone)
+    for own in np.split(rest, np.flatnonzero(np.diff(of[rest])) + 1) if len(rest) else []:
+        merged = list(zip(s[own].tolist(), e[own].tolist(), y[own].tolist()))
+        a, b = int(d[own[0]]), int(q[own[0]])
+        for members in chain(merged):
+            run = [merged[m] for m in members]
+            out += [_passage(a, b, run), _passage(b, a, [(z, z + end - x, x) for x, end, z in run])]
+    if out:
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_COLUMNS)
+
+
+def _chained_pairs(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size > rows:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            d, q = whole["doc"].to_numpy(), whole["partner"].to_numpy()
+            ends = np.flatnonzero((d[1:] != d[:-1]) | (q[1:] != q[:-1]))
+            at = int(ends[-1]) + 1 if len(ends) else 0
+            if at:
+                yield from _both_ways(whole.slice(0, at))
+            held = whole.slice(at).to_batches()
+            size = whole.num_rows - at if at else 0
+    if held and sum(b.num_rows for b in held):
+        yield from _both_ways(pa.Table.from_batches(held).combine_chunks())
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, hot: int = HOT) -> DataFrame:
-    """Passages of a record that occur in a partner: chains of verbatim matches of ``span``
-    characters or more, with what stands between them if they are fuzzy.
+    """Passages of a record that occur in a partner, for every partner: chains of verbatim
+    matches of ``span`` characters or more, with what stands between them if they are fuzzy.
+
+    Records of equal texts are a class, named by its least key in ``class``. Classes meet by
+    that record, either way; the others of a class have a passage to it and it to them, over
+    the whole text. So two records share a span if they are of one class, or the records
+    their classes are named by have a passage. Each window of a record meets each partner, a
+    window that is repeated in both at the first place in one of them.
 
     Records are told apart by ``key``; rows with a null key and texts that are null, empty or
     shorter than ``span`` have no passages; of rows that repeat a key one text is taken. An
     empty table gives no rows. ``text`` and ``key`` may be any columns; others are not read.
     """
+    hashed = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("t")).filter(F.col("doc").isNotNull() & (F.length("t") >= span)).withColumn("h", F.xxhash64("t"))
+    rows = cut(hashed.select("doc", "h", F.length("t").alias("n")).distinct(), "texts")
+    one = rows.groupBy("doc").agg(F.min(F.struct("h", "n")).alias("x")).select("doc", "x.h", "x.n")
+    named = one.groupBy("h").agg(F.min("doc").alias("class"), F.count("*").alias("copies"))
+    copies = cut(one.join(named.filter("copies > 1").select("h", "class"), "h").filter("doc <> class"), "copies")
+    aside = cut(rows.join(one, ["doc", "h"], "left_anti").select("doc", "h").union(copies.select("doc", "h")), "aside")
+    texts = hashed.join(small(aside), ["doc", "h"], "left_anti")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = pair_runs(texts, span, k, hot).repartition(parts, "doc", "partner").sortWithinPartitions("doc", "partner", F.col("partner_start") - F.col("start"), "start")
+    found = runs.mapInArrow(_chained_pairs, _PASSAGE).withColumn("class", F.col("doc"))
+    zero, n = F.lit(0), F.col("n")
+    whole = [zero.alias("start"), n.alias("end"), zero.alias("partner_start"), n.alias("partner_end"), n.alias("verbatim_chars"), zero.alias("gaps"), F.array(F.struct(zero.alias("start"), n.alias("end"))).alias("pieces")]
+    same = copies.select("doc", F.col("class").alias("partner"), *whole, "class").union(copies.select(F.col("class").alias("doc"), F.col("doc").alias("partner"), *whole, "class"))
+    return found.unionByName(same)
+
+
+def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, hot: int = HOT) -> DataFrame:
+    """Passages as above, but with one partner for each run: all that shared_chars needs."""
     found = matches(docs, key, text, span, k, hot)
     grouped = found.groupBy("doc", "partner").agg(F.collect_list(F.struct("start", "end", "partner_start")).alias("hits"))  # bounded by the text's length
     return grouped.mapInPandas(_chained, _PASSAGE)

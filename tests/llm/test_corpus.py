@@ -108,6 +108,27 @@ def test_shared_spans(spark, hot):
     assert spans.passages(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 20])
+def test_all_partners(spark, hot):
+    rng = random.Random(2)
+    make = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
+    clauses = [make(320) for _ in range(3)]
+    texts = {i: make(40) + clauses[i % 3] + make(30) + (clauses[(i + 1) % 3][:260] if i % 4 == 0 else "") for i in range(24)}
+    texts |= {30: texts[4], 31: texts[4], 32: clauses[0] + make(5) + clauses[0], 33: "a" * 300, 34: "a" * 260 + "b"}
+    found = spans.passages(spark.createDataFrame([(d, t, None, None) for d, t in texts.items()], SCHEMA), hot=hot).collect()
+    windows = {d: {t[i : i + 200] for i in range(len(t) - 199)} for d, t in texts.items()}
+    want = {(a, b) for a in texts for b in texts if a != b and windows[a] & windows[b]}
+    classes = {d: min(x for x in texts if texts[x] == texts[d]) for d in texts}
+    pairs = {(r.doc, r.partner) for r in found}
+    assert all(r["class"] == classes[r.doc] for r in found)
+    assert {(a, b) for a in texts for b in texts if a != b and (classes[a] == classes[b] or (classes[a], classes[b]) in pairs)} == want and pairs <= want
+    held = defaultdict(set)
+    for r in found:
+        held[r.doc, r.partner].update(x for p in r.pieces for x in range(p.start, p.end))
+    for a, b in pairs:
+        assert held[a, b] == {x for i in range(len(texts[a]) - 199) if texts[a][i : i + 200] in windows[b] for x in range(i, i + 200)}
+
+
 def test_long_text_sections(monkeypatch):
     monkeypatch.setattr(spans, "_BITS", 10)
     text = "".join(random.Random(1).choice("abcd ") for _ in range(5000))
