@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.session import cut
 
 UNSUPPORTED, OVERLAP = 0.30, 0.60
 #: Fixed value
@@ -118,25 +120,74 @@ def stage_latency(stages: Column, defaults: list[str]) -> Column:
     return F.map_concat(merged, F.create_map(F.lit("total"), F.round(total, 3)))
 
 
-def distinct_questions(pool: DataFrame, overlap: float = OVERLAP) -> DataFrame:
-    """(block, question_id, question) kept when no earlier kept question of its block overlaps
-    it by ``overlap`` of the smaller word set. Greedy, so a block is taken in order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept = None, []
-        for f in batches:
-            out = []
-            for block, qid, question, words in zip(f["block"], f["question_id"], f["question"], f["words"]):
-                if block != key:
-                    key, kept = block, []
-                own = set(words)
-                if any(own and k and len(own & k) / min(len(own), len(k)) >= overlap for k in kept):
-                    continue
-                kept.append(own)
-                out.append((block, qid, question))
-            yield pd.DataFrame(out, columns=["block", "question_id", "question"])
+def _overlaps(index: list[np.ndarray], probes: list[np.ndarray], overlap: float, rows: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers (probe, index) of sets that overlap by ``overlap`` of the smaller one: frequent
+    words are counted by a dense product, the rest by their postings."""
+    sizes, own = (np.fromiter(map(len, x), dtype=np.int64, count=len(x)) for x in (index, probes))
+    words, code = np.unique(np.concatenate(index), return_inverse=True)
+    owner = np.repeat(np.arange(len(index)), sizes)
+    df = np.bincount(code, minlength=len(words))
+    often = np.flatnonzero(df * 64 >= len(index))
+    column = np.full(len(words), -1)
+    column[often] = np.arange(len(often))
+    dense = np.zeros((len(index), len(often)), dtype=np.float32)
+    hit = column[code] >= 0
+    dense[owner[hit], column[code[hit]]] = 1
+    posting = owner[np.argsort(code, kind="stable")]
+    begin = np.cumsum(df) - df
+    for r in range(0, len(probes), rows):
+        some = probes[r : r + rows]
+        who, w = np.repeat(np.arange(len(some)), own[r : r + rows]), np.concatenate(some)
+        at = np.minimum(np.searchsorted(words, w), len(words) - 1)
+        known = words[at] == w
+        who, at = who[known], at[known]
+        mine = np.zeros((len(some), len(often)), dtype=np.float32)
+        hit = column[at] >= 0
+        mine[who[hit], column[at[hit]]] = 1
+        both = mine @ dense.T
+        who, at = who[~hit], at[~hit]
+        n = df[at]
+        where = np.repeat(begin[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        cell, times = np.unique(np.repeat(who, n) * len(index) + posting[where], return_counts=True)
+        both.reshape(-1)[cell] += times.astype(np.float32)
+        i, j = np.nonzero(both >= np.float32(overlap * min(own[r : r + rows].min(), sizes.min()) - 0.01))
+        good = both[i, j].astype(np.float64) / np.minimum(own[r + i], sizes[j]) >= overlap
+        yield r + i[good], j[good]
+
+
+def distinct_questions(pool: DataFrame, overlap: float = OVERLAP, whole: bool = False, most: int = 8192) -> DataFrame:
+    """(block, question_id, question) kept when no earlier kept question of its block, or of the
+    ``whole`` pool, overlaps it by ``overlap`` of the smaller word set. Ids are unique in a block.
+
+    Equal word sets are compared once. Sets are dealt to slots of about ``most`` and each two
+    slots compared in a task, which finds all pairs that overlap (up to 64-bit hashes of
+    words). The greedy pass goes over these pairs: what no earlier question overlaps stays,
+    what it overlaps goes, and so on until no pair is left."""
+    key = F.lit(0).cast("bigint") if whole else F.xxhash64("block")
+    words = T.token_set(F.col("question"), T.EVALUATION_STOPWORDS, True)
+    rows = cut(pool.select("block", "question_id", "question", key.alias("b"), F.array_sort(F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(w))).alias("words")), "questions")
+    sets = cut(rows.filter(F.size("words") > 0).groupBy("b", "words").agg(F.min("question_id").alias("id")), "sets")
+    slots = sets.groupBy("b").agg(F.ceil(F.count("*") / most).cast("int").alias("slots"))
+    dealt = sets.join(slots, "b").withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
+    dealt = dealt.select("b", "id", "words", "slot", F.least("slot", "other").alias("x"), F.greatest("slot", "other").alias("y"))
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        left, right = f[f["slot"] == f["x"]], f[f["slot"] == f["y"]]
+        ids = (left["id"].to_numpy(), right["id"].to_numpy())
+        found: list[tuple] = []
+        if len(left) and len(right):
+            for i, j in _overlaps(list(left["words"]), list(right["words"]), overlap):
+                found += [(min(p, q), max(p, q)) for p, q in zip(ids[1][i], ids[0][j]) if p < q or (p != q and f["x"].iloc[0] != f["y"].iloc[0])]
+        return pd.DataFrame({"b": f["b"].iloc[0], "early": [p for p, _ in found], "late": [q for _, q in found]})
 
     parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pool.select("block", "question_id", "question", T.token_set(F.col("question"), T.EVALUATION_STOPWORDS, True).alias("words"))
-    kind = rows.schema["block"].dataType.simpleString(), rows.schema["question_id"].dataType.simpleString()
-    return rows.repartition(parts, "block").sortWithinPartitions("block", "question_id").mapInPandas(run, f"block {kind[0]}, question_id {kind[1]}, question string")
+    kind = rows.schema["question_id"].dataType.simpleString()
+    pairs = cut(dealt.repartition(parts, "b", "x", "y").groupBy("b", "x", "y").applyInPandas(run, f"b bigint, early {kind}, late {kind}"), "overlaps")
+    kept = sets.select("b", F.col("id").alias("question_id"))
+    while not pairs.isEmpty():
+        first = pairs.select("b", "early").join(pairs.select("b", F.col("late").alias("early")), ["b", "early"], "left_anti").distinct()
+        gone = cut(pairs.join(first, ["b", "early"], "left_semi").select("b", "late").distinct(), "gone")
+        kept = kept.join(gone.withColumnRenamed("late", "question_id"), ["b", "question_id"], "left_anti")
+        pairs = cut(pairs.join(gone, ["b", "late"], "left_anti").join(gone.withColumnRenamed("late", "early"), ["b", "early"], "left_anti"), "overlaps")
+    out = rows.filter(F.size("words") > 0).join(kept, ["b", "question_id"], "left_semi").unionByName(rows.filter(F.size("words") == 0))
+    return out.select("block", "question_id", "question")

@@ -875,7 +875,7 @@ def fallback_pool(s, d):
 @query()
 def question_pool(s, d):
     q = results(s, d).filter("question IS NOT NULL")
-    return evaluation.distinct_questions(q.select(F.col("expected_document").alias("block"), F.col("query_id").alias("question_id"), "question"))
+    return evaluation.distinct_questions(q.select(F.col("expected_document").alias("block"), F.col("query_id").alias("question_id"), "question"), whole=True)
 
 
 @query(f"SELECT query_id, round(least(1.0, 1.6 * (0.6 * top + 0.4 * f)), 3) AS confidence FROM (SELECT query_id, coalesce(list_max(list_transform(retrieved_top5, lambda x: x.relevance_score)), 0.0) AS top, CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, r)) / len(a) END AS f FROM (SELECT query_id, retrieved_top5, {token_set_sql('generated_answer', T.CONFIDENCE_STOPWORDS, False)} AS a, {token_set_sql('reference_answer', T.CONFIDENCE_STOPWORDS, False)} AS r FROM {RESULTS}))")

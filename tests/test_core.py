@@ -266,6 +266,22 @@ def test_distinct_questions_twice_is_once(spark):
     assert {r.question_id for r in once.collect()} == {1, 3, 4} == {r.question_id for r in evaluation.distinct_questions(once).collect()}
 
 
+@pytest.mark.parametrize("most", [8192, 20])
+def test_distinct_questions_of_the_whole_pool(spark, most):
+    rng = random.Random(6)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}x" for i in range(90)]
+    rows = [(rng.choice(["a", "b", None]), i, " ".join(rng.sample(words[: rng.choice([30, 90])], rng.randrange(3, 9)))) for i in range(150)] + [(None, 500, ""), ("a", 501, "?")]
+    sets = {i: set(x) for i, x in spark.createDataFrame(rows, "block string, i int, q string").select("i", T.token_set(F.col("q"), T.EVALUATION_STOPWORDS, True)).collect()}
+    kept = []
+    for _, i, _ in rows:
+        if not any(sets[i] and sets[k] and len(sets[i] & sets[k]) / min(len(sets[i]), len(sets[k])) >= 0.6 for k in kept):
+            kept.append(i)
+    pool = spark.createDataFrame(rows, "block string, question_id int, question string")
+    got = evaluation.distinct_questions(pool, whole=True, most=most).collect()
+    assert sorted(r.question_id for r in got) == kept and len(kept) < 150
+    assert all((r.block, r.question_id, r.question) in rows for r in got)
+
+
 # -- sources, plug-ins, API
 def test_cut_and_sweep(spark):
     from foliant.session import cut, small, sweep
