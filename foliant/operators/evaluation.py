@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as T
+from foliant.operators.records import passed_over
 from foliant.session import cut
 
 UNSUPPORTED, OVERLAP = 0.30, 0.60
@@ -161,8 +162,7 @@ def distinct_questions(pool: DataFrame, overlap: float = OVERLAP, whole: bool =
 
     Equal word sets are compared once. Sets are dealt to slots of about ``most`` and each two
     slots compared in a task, which finds all pairs that overlap (up to 64-bit hashes of
-    words). The greedy pass goes over these pairs: what no earlier question overlaps stays,
-    what it overlaps goes, and so on until no pair is left."""
+    words). The greedy pass goes over these pairs."""
     key = F.lit(0).cast("bigint") if whole else F.xxhash64("block")
     words = T.token_set(F.col("question"), T.EVALUATION_STOPWORDS, True)
     rows = cut(pool.select("block", "question_id", "question", key.alias("b"), F.array_sort(F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.xxhash64(w))).alias("words")), "questions")
@@ -178,16 +178,12 @@ def distinct_questions(pool: DataFrame, overlap: float = OVERLAP, whole: bool =
         if len(left) and len(right):
             for i, j in _overlaps(list(left["words"]), list(right["words"]), overlap):
                 found += [(min(p, q), max(p, q)) for p, q in zip(ids[1][i], ids[0][j]) if p < q or (p != q and f["x"].iloc[0] != f["y"].iloc[0])]
-        return pd.DataFrame({"b": f["b"].iloc[0], "early": [p for p, _ in found], "late": [q for _, q in found]})
+        return pd.DataFrame({"b": f["b"].iloc[0], "early": pd.Series([p for p, _ in found], dtype=object), "late": pd.Series([q for _, q in found], dtype=object)})
 
     parts = int(pool.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema["question_id"].dataType.simpleString()
     pairs = cut(dealt.repartition(parts, "b", "x", "y").groupBy("b", "x", "y").applyInPandas(run, f"b bigint, early {kind}, late {kind}"), "overlaps")
     kept = sets.select("b", F.col("id").alias("question_id"))
-    while not pairs.isEmpty():
-        first = pairs.select("b", "early").join(pairs.select("b", F.col("late").alias("early")), ["b", "early"], "left_anti").distinct()
-        gone = cut(pairs.join(first, ["b", "early"], "left_semi").select("b", "late").distinct(), "gone")
-        kept = kept.join(gone.withColumnRenamed("late", "question_id"), ["b", "question_id"], "left_anti")
-        pairs = cut(pairs.join(gone, ["b", "late"], "left_anti").join(gone.withColumnRenamed("late", "early"), ["b", "early"], "left_anti"), "overlaps")
+    kept = kept.join(passed_over(pairs).withColumnRenamed("late", "question_id"), ["b", "question_id"], "left_anti")
     out = rows.filter(F.size("words") > 0).join(kept, ["b", "question_id"], "left_semi").unionByName(rows.filter(F.size("words") == 0))
     return out.select("block", "question_id", "question")

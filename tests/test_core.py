@@ -211,6 +211,29 @@ def test_canonical(spark):
     assert got["COMPANY", "acme holdings"] == "acme holding" and got["DATE", "2020-01-02"] == "2020-01-02" and len(got) == 6
 
 
+@pytest.mark.parametrize("most", [4096, 12])
+def test_canonical_in_any_place(spark, most):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    names = {"benjamin okonkwo", "adv. benjamin okonkwo", "ebnjamin okonkwo", "okonkwo benjamin", "anna", "a"}
+    for base in ("marlowe capital partners", "jujukedi textiles", "vedovoge holdings ltd", "é. zola"):
+        for _ in range(12):
+            x = list(base)
+            for _ in range(rng.randrange(0, 4)):
+                x[rng.randrange(len(x))] = rng.choice(["", "x", "y", "z "])
+            names.add("".join(x))
+    want, kept = {}, []
+    for n in sorted(names):
+        want[n] = next((c for c in kept if SequenceMatcher(None, n, c).ratio() >= 0.88), n)
+        if want[n] == n:
+            kept.append(n)
+    m = spark.createDataFrame([(label, n) for label in ("PERSON", None) for n in names], "label string, normalized string")
+    got = graph.canonical_mentions(m, most=most).collect()
+    assert len(got) == 2 * len(names) and all(r.canonical == want[r.normalized] for r in got)
+    assert any(n[:2] != c[:2] for n, c in want.items())
+
+
 # -- evidence
 def test_constraints(spark):
     c = lambda q: one(spark, F.to_json(records.constraint(F.col("q"))), q=q)
