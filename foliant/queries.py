@@ -912,12 +912,9 @@ def cache_snapshot(s, d):
 @query()
 def graph_retrieval(s, d):
     asked = table(s, d, "entities").filter(F.col("label").isin("PERSON", "COMPANY")).select(F.col("entity_id").alias("query_id"), "entity_id")
-    # entities met in one chunk are neighbours; a chunk's mentions are few
-    m = mentions(s, d).filter("document IS NOT NULL AND chunk_index IS NOT NULL AND label IN ('PERSON', 'COMPANY', 'EXECUTIVE')")
-    at = ["document", "page", "chunk_index"]
-    first = m.groupBy(*at).agg(F.min("entity_id").alias("target_id"))
-    met = m.join(first, at).select(F.col("entity_id").alias("source_id"), "target_id").filter("source_id <> target_id").distinct()
-    return graph.graph_retrieve(asked, met, m, depth=1).select("query_id", *at, "hits", "rank")
+    # entities met in one chunk are neighbours
+    m = mentions(s, d).filter("label IN ('PERSON', 'COMPANY', 'EXECUTIVE')")
+    return graph.chunk_retrieve(asked, m).select("query_id", "document", "page", "chunk_index", "hits", "rank")
 
 
 @query()

@@ -199,6 +199,14 @@ def test_neighbours(spark):
     assert got(1) == {("a", "b", 1), ("a", "c", 1)} and got(2) == got(1) | {("a", "d", 2)} and got(9) == got(3) == got(2) | {("a", "e", 3)}
 
 
+def test_all_met_in_a_chunk_are_neighbours(spark):
+    rows = [("a", "d", 1, 0), ("b", "d", 1, 0), ("c", "d", 1, 0), ("c", "d", 1, 0), ("b", "d", 2, 1), ("c", "d", 2, 1), ("x", "d", 2, 2), ("c", "e", None, 4), ("x", None, 1, 1), ("c", None, 1, 1)]
+    m = spark.createDataFrame(rows, "entity_id string, document string, page int, chunk_index int")
+    asked = spark.createDataFrame([("q", "b"), ("r", "x"), ("s", "none")], "query_id string, entity_id string")
+    got = {(r.query_id, r.document, r.page, r.chunk_index): r.hits for r in graph.chunk_retrieve(asked, m).collect()}
+    assert got == {("q", "d", 1, 0): 3, ("q", "d", 2, 1): 2, ("q", "e", None, 4): 1, ("r", "d", 2, 2): 1}
+
+
 def test_relations(spark):
     m = spark.createDataFrame([(1, "e1", "Acme", "acme", "d", 1, 0), (2, "e2", "Bolt Ltd", "bolt ltd", "d", 1, 0), (3, "e3", "acme", "acme", "d", 1, 0)], "mention_id int, entity_id string, text string, normalized string, document string, page int, chunk_index int")
     r = spark.createDataFrame([("d", 1, 0, 1, "ACME", "OWNS", "Bolt Ltd"), ("d", 1, 0, 2, "acme", "OWNS", "bolt ltd"), ("d", 1, 0, 3, "Nobody", "OWNS", "Acme")], "document string, page int, chunk_index int, seq int, source string, type string, target string")
