@@ -1,18 +1,25 @@
 """The k most similar vectors of every vector, by cross-polytope hashing.
 
 Unit vectors are turned by fast pseudo-rotations (random signs and a Walsh-Hadamard
-transform, three times) and hashed to the nearest signed axis; DIGITS rotations make one
-bucket number, TABLES independent ones make the index. A vector is stored in one bucket of a
-table and looked up in that and in its PROBES next best buckets, those whose axes it misses
-by least. Candidates are reranked by their exact cosine within the bucket, so only the best k
-of each bucket are passed on, never its pairs.
-
-Equal vectors are one point of the index. A bucket of more than TILE points is split: its
-lookups are dealt to several tasks, each of which sees all stored points tile by tile.
+transform, three times) and hashed to the nearest signed axis; several rotations make one
+bucket number, the last of which may look at a part of the axes only, so that a bucket holds
+about FILL vectors however many there are. Independent ones make the tables of the index; as
+the chance of meeting in a table falls with a small power of the number of vectors, tables
+are added with that power. A vector is stored in one bucket of a table and looked up in that
+and in its PROBES next best buckets, those whose axes it misses by least.
+
+Buckets hold numbers and sketches (signs along random directions), not vectors. In a bucket
+the sketches rule out what is too far away and give each lookup its best candidates; these
+are reranked by their exact cosine, for which each vector is joined to the pairs once.
+
+Equal vectors are one point of the index. A bucket of more than TILE points is split into a
+grid: stored points and lookups are dealt to shares, and every share of the one meets every
+share of the other in a group of its own.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,12 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.session import cut
+from foliant.session import cut, small
 
 TABLES = 12
-DIGITS = 2
+FILL = 4
+FILL_FAR = 16  # where neighbours of any cosine are asked for, which meet less often
 PROBES = 3
 TILE = 4096
+WORDS = 2  # of 64 signs, in a sketch
+SPARE = 8  # candidates a lookup passes on, for each neighbour asked for
 SEED = 20240611
 
 
@@ -40,35 +50,49 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt(d)
 
 
+def rotation(rounds: np.ndarray) -> np.ndarray:
+    """The pseudo-rotation of some rounds of signs as a matrix, for short vectors: one product
+    with it takes less time than the passes of the transform over memory."""
+    y = np.eye(rounds.shape[1])
+    for s in rounds:
+        y = hadamard(y * s)
+    return y.astype(np.float32)
+
+
+def plan(n: int, d: int, fill: int = FILL, tables: int = TABLES) -> tuple[int, list[int]]:
+    """(tables, axes of each digit) for ``n`` vectors: about n / fill buckets a table."""
+    bits = max(1, round(math.log2(max(2.0, n / fill))))
+    whole = int(math.log2(2 * d))
+    digits = [d] * (bits // whole) + ([2 ** (bits % whole - 1)] if bits % whole else [])
+    return math.ceil(tables * max(1.0, n / 65_536) ** 0.1), digits
+
+
 def signs(tables: int, digits: int, d: int, seed: int = SEED) -> np.ndarray:
     return np.random.default_rng(seed).choice([-1.0, 1.0], size=(tables, digits, 3, d))
 
 
-def buckets(x: np.ndarray, turn: np.ndarray, probes: int) -> np.ndarray:
+def buckets(x: np.ndarray, turns: list[np.ndarray], axes: list[int], probes: int) -> np.ndarray:
     """Bucket numbers of the rows of ``x`` in one table: the own bucket, then probes."""
-    d = x.shape[1]
-    own, costs, others = np.zeros(len(x), dtype=np.int64), [], []
-    for k, rounds in enumerate(turn):
-        y = x
-        for s in rounds:
-            y = hadamard(y * s)
-        axis = np.argsort(-np.abs(y), axis=1)[:, :3]
+    own, costs, others, scale = np.zeros(len(x), dtype=np.int64), [], [], 1
+    for turn, m in zip(turns, axes):
+        y = x @ turn[:, :m]
+        size = np.abs(y)
+        axis = np.argpartition(-size, min(2, m - 1), axis=1)[:, : min(3, m)] if m > 3 else np.broadcast_to(np.arange(m), y.shape)
         value = np.take_along_axis(y, axis, 1)
+        order = np.argsort(-np.abs(value), axis=1, kind="stable")
+        axis, value = np.take_along_axis(axis, order, 1), np.take_along_axis(value, order, 1)
         digit = axis * 2 + (value < 0)
-        scale = (2 * d) ** (len(turn) - 1 - k)
         own += digit[:, 0] * scale
-        for a in (1, 2):
+        for a in range(1, axis.shape[1]):
             costs.append((np.abs(value[:, 0]) - np.abs(value[:, a])) ** 2)
             others.append((digit[:, a] - digit[:, 0]) * scale)
+        scale *= 2 * m
+    if not costs:
+        return own[:, None]
     order = np.argsort(np.array(costs).T, axis=1, kind="stable")[:, :probes]
     return np.concatenate([own[:, None], own[:, None] + np.take_along_axis(np.array(others).T, order, 1)], axis=1)
 
 
-def _unit(blobs: list, d: int) -> np.ndarray:
-    x = np.frombuffer(b"".join(blobs), dtype="<f4").reshape(-1, d).astype(np.float64)
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     """(id, v): one row for each key whose vector has ``dim`` finite numbers, not all zero.
     Of rows that repeat a key one is taken."""
@@ -79,93 +103,91 @@ def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
     return fit.select(F.col(key).alias("id"), F.transform(v, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v")).dropDuplicates(["id"])
 
 
-def _rows(batches: Iterator[pa.RecordBatch], d: int, tables: int, digits: int, probes: int) -> Iterator[pa.RecordBatch]:
-    turns = signs(tables, digits, d)
+def _vectors(column: pa.Array, d: int) -> np.ndarray:
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+_WORDS = [f"w{i}" for i in range(WORDS)]
+_ROW = "bucket bigint, node bigint, " + ", ".join(f"{w} bigint" for w in _WORDS)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], d: int, tables: int, axes: list[int], probes: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, node, sketch) of vectors (n, v). A node is twice the number, plus one if the
+    vector is stored in the bucket and not only looked up there."""
+    pad = 1 << (d - 1).bit_length()
+    turns = [[rotation(r) for r in table] for table in signs(tables, len(axes), pad)]
+    look = np.concatenate([rotation(r) for r in signs(-(-64 * WORDS // pad), 1, pad, SEED + 1)[:, 0]], axis=1)[:, : 64 * WORDS]
     for batch in batches:
-        n = batch.num_rows
-        if not n:
+        if not batch.num_rows:
             continue
-        x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype("<f4").reshape(n, d)
-        wide = x.astype(np.float64)
-        unit = wide / np.linalg.norm(wide, axis=1, keepdims=True)
-        blobs = pa.array([r.tobytes() for r in x], pa.binary())
+        x = np.zeros((batch.num_rows, pad), dtype=np.float32)
+        x[:, :d] = _vectors(batch.column(1), d)
+        sketch = np.packbits(x @ look > 0, axis=1, bitorder="little").view("<i8")
+        node = batch.column(0).to_numpy() * 2
         for t in range(tables):
-            b = buckets(unit, turns[t], probes)
-            take = pa.array(np.repeat(np.arange(n), probes + 1))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(b.reshape(-1) * tables + t), batch.column(0).take(take), blobs.take(take), pa.array(np.tile(np.arange(probes + 1) == 0, n))],
-                names=["bucket", "id", "v", "stored"],
-            )
-
-
-def _best(q_id, q, m_id, m, k: int, floor: float) -> tuple[list, list, list]:
-    """For each lookup of a bucket the best k stored points, tile by tile."""
-    a_out, b_out, c_out = [], [], []
-    for s in range(0, len(q), 1024):
-        ids = score = None
-        for t in range(0, len(m), TILE):
-            c = q[s : s + 1024] @ m[t : t + TILE].T
-            c[q_id[s : s + 1024, None] == m_id[None, t : t + TILE]] = -2.0
-            col = np.broadcast_to(np.arange(t, t + c.shape[1]), c.shape)
-            if score is not None:
-                c, col = np.concatenate([score, c], axis=1), np.concatenate([ids, col], axis=1)
-            if c.shape[1] > k:
-                keep = np.argpartition(-c, k - 1, axis=1)[:, :k]
-                c, col = np.take_along_axis(c, keep, 1), np.take_along_axis(col, keep, 1)
-            score, ids = c, col
-        i, j = np.nonzero(score >= floor)
-        a_out.append(i + s)
-        b_out.append(ids[i, j])
-        c_out.append(score[i, j])
-    return np.concatenate(a_out), np.concatenate(b_out), np.concatenate(c_out)
-
-
-_SCORED = "a string, b string, cosine double"
-
-
-def _rerank(batches: Iterator[pa.RecordBatch], d: int, k: int, floor: float, rows: int = 40_000) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (bucket, share); whole groups are taken, many at a time."""
+            b = buckets(x, turns[t], axes, probes)
+            each = b.shape[1]
+            stored = np.tile(np.arange(each) == 0, len(x))
+            words = [pa.array(np.repeat(sketch[:, i], each)) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([pa.array(b.reshape(-1) * tables + t), pa.array(np.repeat(node, each) + stored), *words], names=["bucket", "node", *_WORDS])
+
+
+def _nearest_sketches(q: np.ndarray, m: np.ndarray, differ: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Of candidates (lookup i, stored j) those that differ least, ``most`` for each lookup."""
+    order = np.lexsort((m[j], differ, i))
+    i, j, differ = i[order], j[order], differ[order]
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.empty(0, dtype=int)
+    rank = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+    keep = rank < most
+    return q[i[keep]], m[j[keep]], differ[keep]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], reach: int, most: int, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """(a, b, differ), a < b, of rows sorted by (bucket, side, share); whole groups are taken,
+    many at a time. A row asks if ``asks`` and is there to be found if its node is stored."""
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        group = table["bucket"].to_numpy() * 4096 + table["share"].to_numpy()
-        x = _unit(table["v"].to_pylist(), d)
-        stored = table["stored"].to_numpy(zero_copy_only=False)
-        asks = table["asks"].to_numpy(zero_copy_only=False)
-        ids = np.array(table["id"].to_pylist(), dtype=object)
-        codes = np.unique(ids.astype(str), return_inverse=True)[1]
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]]))
+        bucket, node, asks = (table[c].to_numpy() for c in ("bucket", "node", "asks"))
+        asks, number = asks.astype(bool), node >> 1
+        there = (node & 1).astype(bool) & table["found"].to_numpy().astype(bool)
+        words = np.stack([table[w].to_numpy().view(np.uint64) for w in _WORDS])
+        group = table["share"].to_numpy()
+        cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1]), [True]]))
         sizes = np.diff(cuts)
-        a, b, c = [], [], []
+        out = []
+
+        def judge(i: np.ndarray, j: np.ndarray) -> None:
+            ok = asks[i] & there[j] & (number[i] != number[j])
+            i, j = i[ok], j[ok]
+            differ = np.zeros(len(i), dtype=np.int16)
+            for w in words:
+                differ += np.bitwise_count(w[i] ^ w[j])
+            ok = differ <= reach
+            out.append(_nearest_sketches(number, number, differ[ok], i[ok], j[ok], most))
+
         # small groups: all their lookups against all their points in one go
-        small = np.flatnonzero((sizes > 1) & (sizes <= 64))
-        for s in range(0, len(small), 2000):
-            part = small[s : s + 2000]
+        few = np.flatnonzero((sizes > 1) & (sizes <= 256))
+        for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(sizes[few].astype(np.int64) ** 2) // 2_000_000)) + 1):
             n = sizes[part]
             first = np.repeat(cuts[part], n)
             own = first + np.arange(len(first)) - np.repeat(np.cumsum(n) - n, n)
             per = np.repeat(n, n)
             i = np.repeat(own, per)
-            j = np.repeat(first, per) + np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per)
-            ok = asks[i] & stored[j] & (codes[i] != codes[j])
-            i, j = i[ok], j[ok]
-            score = np.einsum("ij,ij->i", x[i], x[j])
-            ok = score >= floor
-            a.append(i[ok])
-            b.append(j[ok])
-            c.append(score[ok])
-        for g in np.flatnonzero(sizes > 64):
+            judge(i, np.repeat(first, per) + np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per))
+        for g in np.flatnonzero(sizes > 256):
             lo, hi = cuts[g], cuts[g + 1]
-            q, m = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(stored[lo:hi])
-            if len(q) and len(m):
-                i, j, score = _best(codes[q], x[q], codes[m], x[m], k, floor)
-                a.append(q[i])
-                b.append(m[j])
-                c.append(score)
-        i, j, score = (np.concatenate(v) if v else np.empty(0, dtype=int) for v in (a, b, c))
-        pair = codes[i].astype(np.int64) * (int(codes.max(initial=0)) + 1) + codes[j]
-        _, keep = np.unique(pair, return_index=True)  # a pair met in several tables of this batch is passed on once
-        i, j, score = i[keep], j[keep], score[keep]
-        return pa.RecordBatch.from_arrays([pa.array(ids[i], pa.string()), pa.array(ids[j], pa.string()), pa.array(score.astype(np.float64))], names=["a", "b", "cosine"])
+            q, m = lo + np.flatnonzero(asks[lo:hi]), lo + np.flatnonzero(there[lo:hi])
+            step = max(1, 4_000_000 // max(1, len(m)))
+            for s in range(0, len(q), step):
+                i = np.repeat(q[s : s + step], len(m))
+                judge(i, np.tile(m, len(i) // len(m)) if len(m) else i[:0])
+        a, b, differ = (np.concatenate(v) for v in zip(*out)) if out else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int16))
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        order = np.lexsort((b, a))
+        a, b, differ = a[order], b[order], differ[order]
+        new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.empty(0, dtype=bool)
+        return pa.RecordBatch.from_arrays([pa.array(a[new], pa.int64()), pa.array(b[new], pa.int64()), pa.array(differ[new].astype(np.int16))], names=["a", "b", "differ"])
 
     held, size = [], 0
     for batch in batches:
@@ -180,10 +202,30 @@ def _rerank(batches: Iterator[pa.RecordBatch], d: int, k: int, floor: float, row
                 table = table.slice(int(same[-1]) + 1)
             held, size = table.to_batches(), table.num_rows if len(same) else size
     if size:
-        yield done(pa.Table.from_batches(held))
+        yield done(pa.Table.from_batches(held).combine_chunks())
 
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, floor: float = 0.0, tables: int = TABLES, digits: int = DIGITS, probes: int = PROBES, tile: int = TILE) -> DataFrame:
+def _cosines(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        score = np.einsum("ij,ij->i", _vectors(batch.column(2), d), _vectors(batch.column(3), d))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["a", "b", "cosine"])
+
+
+def _grid(rows: DataFrame, tile: int) -> DataFrame:
+    """Rows (bucket, node, sketch) with ``share``, the group of the bucket they are compared
+    in, and whether they ask or are there to be found in it: one group for most buckets, a grid
+    of groups for those of more than ``tile`` rows."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("node") % 2).alias("m")).filter((F.col("n") > tile) & (F.col("m") > 0))
+    full = small(cut(sizes.select("bucket", F.ceil(F.col("m") / tile).cast("int").alias("across"), F.ceil(F.col("n") / tile).cast("int").alias("down")), "full-buckets"))
+    plain = rows.join(full, "bucket", "left_anti").select("*", F.lit(0).alias("share"), F.lit(1).alias("asks"), F.lit(1).alias("found"))
+    hot = rows.join(full, "bucket")
+    home = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    asking = hot.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).withColumn("share", F.col("i") * F.col("down") + home("down")).select(*rows.columns, "share", F.lit(1).alias("asks"), F.lit(0).alias("found"))
+    stored = hot.filter(F.col("node") % 2 == 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).withColumn("share", home("across") * F.col("down") + F.col("i")).select(*rows.columns, "share", F.lit(0).alias("asks"), F.lit(1).alias("found"))
+    return plain.union(asking).union(stored)
+
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, floor: float = 0.0, tables: int = TABLES, fill: int | None = None, probes: int = PROBES, tile: int = TILE, spare: int = SPARE) -> DataFrame:
     """(a, b, cosine, rank): for every usable vector a its k most similar others of cosine
     ``floor`` or more, as far as the index finds them.
 
@@ -191,26 +233,38 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, flo
     left out, as are null keys; a repeated key counts once. Ties go to the smaller key. Equal
     vectors are neighbours of each other with cosine 1 whatever their number. An empty table
     gives no rows. Other columns are not read.
+
+    What the sketches rule out: more signs apart than the angle of ``floor`` makes likely (five
+    deviations more), and in a bucket all but the ``spare * k`` nearest sketches of a lookup.
     """
     points = cut(usable(df, key, vector, dim), "vectors")
     by_id = Window.partitionBy("v").orderBy("id")
     heads = points.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)  # cut to k + 1 before the shuffle
-    classes = cut(heads.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0]), "vector-classes")
-    rows = classes.select(F.col("id").cast("string"), "v").mapInArrow(lambda it: _rows(it, dim, tables, digits, probes), "bucket bigint, id string, v binary, stored boolean")
-    # lookups of an overfull bucket are dealt to shares; stored points go to every share
-    sizes = cut(rows.select("bucket", "stored").groupBy("bucket").agg(F.count("*").alias("n"), F.count_if("stored").alias("m")).filter((F.col("n") > tile) & (F.col("m") > 0)), "full-buckets")
-    share = F.when(F.col("n").isNull(), 1).otherwise(F.least(F.lit(4000), F.ceil(F.col("n") / tile))).cast("int")
-    spread = rows.join(sizes, "bucket", "left").withColumn("shares", share).withColumn("home", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int"))
-    dealt = spread.withColumn("share", F.explode(F.when(F.col("stored"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array("home"))))
-    dealt = dealt.select("bucket", "share", "id", "v", "stored", (F.col("share") == F.col("home")).alias("asks"))
+    classes = heads.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0])
+    classes = cut(classes.withColumn("n", F.monotonically_increasing_id()), "vector-classes")
+    count, axes = plan(classes.count(), 1 << (dim - 1).bit_length(), fill or (FILL if floor > 0 else FILL_FAR), tables)
+    rows = classes.select("n", "v").mapInArrow(lambda it: _rows(it, dim, count, axes, probes), _ROW)
+    share = math.acos(max(-1.0, min(1.0, floor))) / math.pi
+    bits = 64 * WORDS
+    reach = bits if floor <= 0 else min(bits, math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)) + 1))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    scored = dealt.repartition(parts, "bucket", "share").sortWithinPartitions("bucket", "share").mapInArrow(lambda it: _rerank(it, dim, k, floor), _SCORED)
-    top = Window.partitionBy("a").orderBy(F.desc("cosine"), "b")
-    near = scored.groupBy("a", "b").agg(F.max("cosine").alias("cosine")).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k).drop("r")
+    met = _grid(rows, tile).repartition(parts, "bucket", "share").sortWithinPartitions("bucket", "share").mapInArrow(lambda it: _candidates(it, reach, spare * k), "a bigint, b bigint, differ smallint")
+    pairs = met.groupBy("a", "b").agg(F.min("differ").alias("differ"))
+    if floor <= 0:  # a vector's best candidates over all tables
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), "a", "b", "differ"), F.struct(F.col("b").alias("x"), "a", "b", "differ"))).alias("e")).select("e.*")
+        nearer = Window.partitionBy("x").orderBy("differ", "a", "b")
+        pairs = ends.withColumn("r", F.row_number().over(nearer)).filter(F.col("r") <= 2 * spare * k).select("a", "b").distinct()
+    v = classes.select("n", "v")
+    both = pairs.select("a", "b").join(v.withColumnsRenamed({"n": "a", "v": "va"}), "a").join(v.withColumnsRenamed({"n": "b", "v": "vb"}), "b").select("a", "b", "va", "vb")
+    scored = cut(both.mapInArrow(lambda it: _cosines(it, dim), "a bigint, b bigint, cosine double").filter(F.col("cosine") >= floor), "near-pairs")
+    names = classes.select("n", F.col("id").alias("name"))
+    ways = scored.select("a", "b", "cosine").union(scored.select("b", "a", "cosine"))
+    top = Window.partitionBy("a").orderBy(F.desc("cosine"), "name")
+    near = ways.join(names, ways["b"] == names["n"]).withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k).select("a", "b", "cosine")
     # from classes back to keys: a class stands for its first k + 1 keys
-    kin = classes.select(F.col("id").alias("b"), F.slice("ids", 1, k).alias("others"))
+    kin = classes.select(F.col("n").alias("b"), F.slice("ids", 1, k).alias("others"))
     lists = near.join(kin, "b").groupBy("a").agg(F.collect_list(F.struct("cosine", "others")).alias("near"))  # k at most
-    own = points.join(classes.select("v", F.col("id").alias("a"), "ids"), "v").select(F.col("id").cast("string").alias("key"), "a", F.transform("ids", lambda x: x.cast("string")).alias("ids"))
+    own = points.join(classes.select("v", F.col("n").alias("a"), "ids"), "v").select(F.col("id").cast("string").alias("key"), "a", F.transform("ids", lambda x: x.cast("string")).alias("ids"))
     every = own.join(lists, "a", "left")
     twins = F.transform(F.array_except("ids", F.array("key")), lambda b: F.struct((-F.lit(1.0)).alias("c"), b.alias("b")))
     others = F.flatten(F.transform(F.coalesce("near", F.array()), lambda x: F.transform(x["others"], lambda b: F.struct((-x["cosine"]).alias("c"), b.cast("string").alias("b")))))
