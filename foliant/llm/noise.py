@@ -1,10 +1,14 @@
 """Repairing text of scanned pages.
 
-Lines that are page furniture are taken out, the others are run together into one character
-stream, and what is not plain words of the corpus is decoded: a shortest path over the
-stream's characters whose edges are words of the lexicon. An edge may run over a line break
-(with or without a hyphen), over a blank, or stop inside a token, and it may read characters
-that a scanner confuses. Paragraph boundaries are another shortest path, over lines.
+Lines that are page furniture are taken out; furniture is what recurs at the edges of a
+document's pages, or has a form that recurs so in several documents. The other lines are cut
+into paragraphs by dynamic programming, and each paragraph is run together into one character
+stream, which is decoded: a shortest path over its characters whose edges are words of the
+lexicon. An edge may run over a line break (with or without a hyphen), over a blank, or stop
+inside a token, and it may read characters that a scanner confuses. Tokens that are words, and
+whose neighbours neither need decoding nor make a likelier word with them, are edges of their
+own, so only the stretches between such tokens are searched character by character. Edges are
+followed along the strokes of the lexicon's words and end where no word goes on so.
 
 Confusions are found through strokes: each glyph is written as the strokes it looks like (m
 as three, n, u and w as two, rn as three, cl and d as a bow and a stroke), so that a word and
@@ -19,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from uuid import uuid4
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -55,7 +60,6 @@ _PLAIN = r"^[(\[\"'“]?(\p{Ll}+(?:[-'’]\p{Ll}+)*)[)\]\"'”.,;:?!]*$"
 _HEADING = re.compile(r"^(?:\d+(?:\.\d+)+\.?|\(?[a-z\d]{1,3}[.)]|[IVX]+\.|#+)\s")
 _NUMBER = re.compile(r"(?:page|pg\.?|p\.|seite|folio)?\s*[-~–—\[(|]?\s*(\d{1,5}|[ivxlc]{1,7}|[IVXLC]{1,7})\s*(?:(?:of|/|von)\s*(\d{1,5}))?\s*[-~–—\])|]?", re.I)
 _ROMAN = re.compile(r"[ivx]{2,6}")
-_CODE = re.compile(r"\b[A-Z][A-Z0]{1,3}/[\dOIl]+(?:/[A-Z])?\b")
 
 
 def strokes(word: str) -> str:
@@ -69,7 +73,7 @@ class Lexicon:
         by: dict[str, list[str]] = {}
         for w in counts:
             by.setdefault(strokes(w), []).append(w)
-        self.by, self.cost, self.longest = {}, {}, 0
+        self.by, self.cost, self.begun = {}, {}, set()
         total = sum(counts.values()) + 1
         for s, group in by.items():
             top = max(counts[w] for w in group)
@@ -79,7 +83,7 @@ class Lexicon:
             self.by[s] = sorted(kept, key=lambda w: (-counts[w], w))
             for w in kept:
                 self.cost[w] = -math.log(counts[w] / total)
-            self.longest = max(self.longest, len(s))
+            self.begun.update(s[:i] for i in range(1, len(s) + 1))
 
     @staticmethod
     def reading(seen: str, meant: str) -> float | None:
@@ -137,34 +141,55 @@ def header_key(line: str, page: int | None) -> str | None:
     """What the same header or footer has on every page: strokes, with the page's number left
     out. None for lines that are text, headings, cells or numbers."""
     text = " ".join(line.split())
-    if "\t" in line.strip() or text[:1].islower() or not 4 <= len(text) <= 90 or _HEADING.match(text) or re.search(r"[.,;:]\Z", text) or not re.search(r"[^\W\d_]{4}|[A-Z]+/\d", text):
+    if "\t" in line.strip() or text[:1].islower() or _HEADING.match(text) or re.search(r"[.,;:]\Z", text) or not re.search(r"[^\W\d_]{4}|[A-Z]+/\d", text):
         return None
     if page is not None:
         text = re.sub(rf"\b{page}\b(?!/)(?!.*\b{page}\b)", "#", text)
     return strokes(text.lower())
 
 
-def form_of(line: str) -> str | None:
-    """The shape of a header or footer: code, case and last word."""
-    text = _CODE.sub("C", " ".join(line.split()))
-    words = re.findall(r"[^\W\d_]+", text)
-    if not words or len(words) > 9 or not words[0][0].isupper():
+def form_of(line: str) -> tuple[str, int] | None:
+    """(form, words) of a header or footer, of capitalised words and codes. Each run of words is
+    written by its case and last word, or as it stands if it is one word; a code (letters and
+    figures between slashes) as C, a number as 9. None for a line that is none of this."""
+    parts, run, n = [], [], 0
+
+    def end() -> None:
+        if run:
+            letters = "".join(run)
+            parts.append(run[0].lower() if len(run) == 1 else f"{'U' if letters.isupper() else 'T'}:{run[-1].lower()}")
+            run.clear()
+
+    for t in line.split():
+        word = t.strip(".,;:()[]&")
+        if re.search(r"\w/\w", word) and any(c.isdigit() for c in word):
+            end()
+            parts.append("C")
+        elif word and all(c.isdigit() or c in "OIl" for c in word):
+            end()
+            parts.append("9")
+        elif any(c.isalpha() for c in word):
+            if not n and not run and not parts and not word[0].isupper():
+                return None
+            run.append(word)
+            n += 1
+            if run[-1][0].islower() and len(parts) and parts[-1] == "C" and len(run) == 1 and len(word) > 2:
+                return None
+        else:
+            end()
+            if word:
+                parts.append(word)
+    if run and len(run) > 1 and not run[-1][0].isupper():
         return None
-    letters = "".join(words)
-    if words == ["Ref", "C"]:
-        return "Ref C"
-    last = words[-1]
-    if not last[0].isupper() and "C p" not in text:
-        return None
-    case = "upper" if letters.isupper() else "title"
-    return f"{case} {'C p' if re.search(r'C p[.] *[0-9#]+$', text) else last.lower()}"
+    end()
+    return (" ".join(parts), n) if n else None
 
 
 def split_lines(text: str) -> list[str]:
     return _LINE.split(text)
 
 
-def furniture(lines: list[str], page: int | None, keys: set[str], forms: set[str], whole_page: bool) -> list[int]:
+def furniture(lines: list[str], page: int | None, keys: set[str], forms: dict[str, int], whole_page: bool) -> list[int]:
     """Numbers of the lines that are furniture. On a page they stand at its edges; a chunk may
     hold the edges of pages anywhere."""
     filled = [i for i, line in enumerate(lines) if line.strip()]
@@ -174,7 +199,7 @@ def furniture(lines: list[str], page: int | None, keys: set[str], forms: set[str
     out = []
     for i in filled:
         line = lines[i]
-        if i not in edge or len(line) > 100:
+        if i not in edge:
             continue
         if is_page_number(line, page):
             out.append(i)
@@ -183,7 +208,7 @@ def furniture(lines: list[str], page: int | None, keys: set[str], forms: set[str
         if key is None:
             continue
         form = form_of(line)
-        if key in keys or any(abs(len(k) - len(key)) <= 2 and _near(k, key) for k in keys) or (form is not None and (form in forms or any(_same_form(f, form) for f in forms))):
+        if key in keys or any(abs(len(k) - len(key)) <= 2 and _near(k, key) for k in keys) or (form is not None and _known_form(form, forms)):
             out.append(i)
     return out
 
@@ -201,9 +226,13 @@ def _near(a: str, b: str, most: int = 3) -> bool:
     return max(len(a), len(b)) - i - j <= most
 
 
-def _same_form(known: str, form: str) -> bool:
-    a, b = known.split(" ", 1), form.split(" ", 1)
-    return a[0] == b[0] and len(a[1]) >= 4 and (strokes(a[1]) == strokes(b[1]) or (len(a[1]) == len(b[1]) and sum(x != y for x, y in zip(a[1], b[1])) <= 1))
+def _known_form(form: tuple[str, int], forms: dict[str, int]) -> bool:
+    """Whether a line has one of the forms, read as a scanner may misread it, in no more words
+    than lines of that form have where they recur."""
+    name, words = form
+    if name in forms:
+        return words <= forms[name]
+    return len(name) >= 4 and any(words <= n and (strokes(f) == strokes(name) or (len(f) == len(name) and sum(x != y for x, y in zip(f, name)) <= 1)) for f, n in forms.items() if abs(len(f) - len(name)) <= 2)
 
 
 class Word:
@@ -218,132 +247,169 @@ class Word:
 OOV, OOV_CHAR, CONFUSED, MERGED, SPLIT, LINE_JOIN = 9.0, 1.1, 3.0, 5.0, 6.0, 4.0
 
 
-def decode_span(span: list[tuple[str, str]], lexicon: Lexicon) -> list[Word]:
-    """Best reading of tokens [(token, what follows)]; what follows is a blank, a line break
-    ("\\n") or a hyphen at a line's end ("-\\n").
+class Token:
+    """A token of a stretch to decode: its core between punctuation, and what follows it: a
+    blank, a line break ("\\n") or a hyphen at a line's end ("-\\n")."""
+
+    __slots__ = ("lead", "core", "tail", "after")
+
+    def __init__(self, text: str, core: str, after: str) -> None:
+        at = text.find(core)
+        self.lead, self.core, self.tail, self.after = text[:at], core, text[at + len(core) :], after
+
+
+def _lower_first(core: str) -> str:
+    return core[:1].lower() + core[1:] if core[:1].isupper() else core
+
+
+def decode_span(span: list[Token], lexicon: Lexicon) -> list[Word]:
+    """Best reading of tokens that have cores.
 
     A shortest path over the span's characters: an edge is a stretch of characters, read as a
-    word of the lexicon of the same strokes, or as it stands. Over a separator inside it, and
-    for a start or end inside a token, an edge pays."""
+    word of the lexicon of the same strokes, or a token as it stands. Over a separator inside
+    it, and for an end inside a token, an edge pays; over punctuation there is none."""
     chars: list[str] = []
-    sep: dict[int, str] = {0: ""}  # position -> separator before it
-    for token, after in span:
-        chars.extend(token)
-        sep[len(chars)] = after
+    starts: dict[int, Token] = {}
+    ends: dict[int, Token] = {}
+    for t in span:
+        starts[len(chars)] = t
+        chars.extend(t.core)
+        ends[len(chars)] = t
     n, text = len(chars), "".join(chars)
     best: list[tuple[float, int, Word | None]] = [(0.0, -1, None)] + [(math.inf, -1, None)] * n
-    stops = sorted(sep)
     for i in range(n):
         base = best[i][0]
         if base == math.inf:
             continue
+        lead = starts[i].lead if i in starts else ""
+        capital = chars[i].isupper()
+
+        def put(j: int, cost: float, w: str, broken: bool, misread: bool) -> None:
+            total = base + cost + (0.0 if j in ends else SPLIT)
+            if total < best[j][0]:
+                end = ends.get(j)
+                best[j] = (total, i, Word(lead + w + (end.tail if end else ""), broken, misread, end.after if end else " "))
+
         cross, broken, hyphen = 0.0, False, -1
-        for j in range(i + 1, min(n, i + 34) + 1):
-            if j - 1 in sep and j - 1 > i:
-                s = sep[j - 1]
+        run, joined = "", None  # strokes so far, and with a hyphen that stood at a line's end
+        for j in range(i + 1, n + 1):
+            if j - 1 > i and j - 1 in ends:
+                if ends[j - 1].tail or starts[j - 1].lead:
+                    break
+                s = ends[j - 1].after
                 cross += MERGED if s == " " else 0.0 if s == "-\n" else LINE_JOIN
                 broken = broken or s != " "
-                hyphen = j - 1 if s == "-\n" else hyphen
+                if s == "-\n":
+                    hyphen, joined = j - 1, run + "-"
                 if cross > 2 * MERGED:
                     break
-            own = text[i:j]
-            inside = (0.0 if j in sep else SPLIT) + (0.0 if i in sep else 0.0)
-            after = sep.get(j, " ")
-            options = []
-            core = own.rstrip(_TRIM) if j in sep else own
-            lead = core[: len(core) - len(core.lstrip(_TRIM))]
-            core = core[len(lead) :]
-            tail = own[len(lead) + len(core) :]
-            if core:
-                low = core if core[1:] == core[1:].lower() and not core[:1].isupper() else None
-                known = lexicon.best(core if low is not None or not core[:1].isupper() else core[:1].lower() + core[1:])
+            c = chars[j - 1].lower() if capital and j - 1 == i else chars[j - 1]
+            stroke = STROKES.get(c, c)
+            run += stroke
+            joined = joined + stroke if joined is not None else None
+            if run in lexicon.by:
+                known = lexicon.best(_lower_first(text[i:j]))
                 if known:
                     w, c = known
-                    if core[:1].isupper():
+                    if capital:
                         if c == 0:
-                            options.append((lexicon.cost[w], w[:1].upper() + w[1:], False))
-                    else:
-                        options.append((lexicon.cost[w] + CONFUSED * c, w, c > 0))
-                if hyphen > i:
-                    k = hyphen - i - len(lead)
-                    if 0 < k < len(core):
-                        compound = core[:k] + "-" + core[k:]
-                        known = lexicon.best(compound) if not core[:1].isupper() else None
-                        if known:
-                            options.append((lexicon.cost[known[0]] + CONFUSED * known[1] - 0.5, known[0], known[1] > 0))
-                if j in sep and i in sep and (cross == 0 or broken and hyphen > i and cross == 0):
-                    options.append((OOV + OOV_CHAR * len(core), core, False))
-            elif j in sep and i in sep:
-                options.append((1.0, "", False))
-            for cost, w, misread in options:
-                total = base + cross + inside + cost
-                if total < best[j][0]:
-                    best[j] = (total, i, Word(lead + w + tail, broken, misread, after))
-    del stops
+                            put(j, cross + lexicon.cost[w], w[:1].upper() + w[1:], broken, False)
+                    elif c == 0 or any("a" <= x <= "z" for x in chars[i:j]):
+                        put(j, cross + lexicon.cost[w] + CONFUSED * c, w, broken, c > 0)
+            if joined is not None and joined in lexicon.by and not capital:
+                known = lexicon.best(text[i:hyphen] + "-" + text[hyphen:j])
+                if known:
+                    put(j, cross + lexicon.cost[known[0]] + CONFUSED * known[1] - 0.5, known[0], broken, known[1] > 0)
+            if run not in lexicon.begun and (joined is None or joined not in lexicon.begun):
+                break
+        # as it stands: a token, with what a hyphen joins to it
+        j, t = i, starts.get(i)
+        while t is not None:
+            j += len(t.core)
+            put(j, OOV + OOV_CHAR * (j - i), text[i:j], t is not starts[i], False)
+            t = starts.get(j) if t.after == "-\n" and not t.tail and j in starts and not starts[j].lead else None
     words, j = [], n
     while j > 0:
         _, i, w = best[j]
-        if w is None:  # nothing reads this: as it stands
-            w, i = Word(text[:j], False, False, sep.get(j, " ")), 0
         words.append(w)
         j = i
     return words[::-1]
 
 
-def tokens_of(lines: list[str]) -> list[tuple[str, str]]:
-    """The de-lined stream: [(token, what follows)]. A hyphen that ends a line is taken off."""
-    out: list[tuple[str, str]] = []
+def tokens_of(lines: list[str]) -> tuple[list[str], dict[int, str]]:
+    """The de-lined stream: tokens, and what follows them where it is no blank. A hyphen that
+    ends a line is taken off."""
+    out: list[str] = []
+    after: dict[int, str] = {}
     for line in lines:
         parts = line.split()
-        for k, t in enumerate(parts):
-            if k < len(parts) - 1:
-                out.append((t, " "))
-            elif len(t) > 1 and t[-1] in HYPHENS and (t[-2].isalpha() or t[-2] in STROKES):
-                out.append((t[:-1], "-\n"))
+        if parts:
+            out += parts
+            t = parts[-1]
+            if len(t) > 1 and t[-1] in HYPHENS and (t[-2].isalpha() or t[-2] in STROKES):
+                out[-1] = t[:-1]
+                after[len(out) - 1] = "-\n"
             else:
-                out.append((t, "\n"))
-    return out
+                after[len(out) - 1] = "\n"
+    return out, after
 
 
-def _plain(token: str, lexicon: Lexicon) -> bool:
-    """A token that needs no decoding: a known word, or nothing that is a lower-case word."""
-    core = token.strip(_TRIM)
-    if core in lexicon.cost or _ROMAN.fullmatch(core):
-        return True
-    return not core or core[0].isupper() or not any("a" <= c <= "z" for c in core) or len(core) > 60
+_LOWER = re.compile("[a-z]")
 
 
-def decode(lines: list[str], lexicon: Lexicon) -> list[Word]:
-    """Words of the lines' stream. Plain words stand; a stretch from before the first doubtful
-    token to behind the last is decoded as one."""
-    stream, out, i = tokens_of(lines), [], 0
-    n = len(stream)
-    doubt = [after == "-\n" or not _plain(t, lexicon) for t, after in stream]
-    while i < n:
-        if not doubt[i]:
-            out.append(Word(stream[i][0], after=stream[i][1]))
-            i += 1
+def _likelier(a: str, b: str, after: str, lexicon: Lexicon) -> bool:
+    """Whether two cores make one word that is likelier than both by themselves."""
+    joined = lexicon.cost.get(_lower_first(a + b))
+    if joined is None or b[:1].isupper():
+        return False
+    alone = lambda x: lexicon.cost.get(_lower_first(x), OOV + OOV_CHAR * len(x))
+    return joined + (MERGED if after == " " else LINE_JOIN) < alone(a) + alone(b)
+
+
+def decode(lines: list[str], lexicon: Lexicon, whole: bool = True) -> list[Word]:
+    """Words of the lines' stream, or without ``whole`` just those of the stretches that were
+    searched. A token is plain if it is a word or nothing that is a lower-case word; plain
+    tokens stand, unless a neighbour is doubtful or makes a likelier word with them, and what
+    lies between two that stand is decoded as one."""
+    stream, after = tokens_of(lines)
+    out: list[Word] = []
+    n, known = len(stream), lexicon.cost
+    cores = [t if t in known else t.strip(_TRIM) for t in stream]
+    open_ = set()
+    for k, core in enumerate(cores):
+        if core and (after.get(k) == "-\n" or not (core in known or core[0].isupper() or not _LOWER.search(core) or _ROMAN.fullmatch(core))):
+            open_.add(k)
+    doubt = frozenset(open_)
+    for k in range(n - 1):
+        a, b = cores[k], cores[k + 1]
+        if a and b and (k in doubt or k + 1 in doubt or a + b in known or (a[0].isupper() and _lower_first(a + b) in known)):
+            if stream[k].endswith(a) and stream[k + 1].startswith(b) and (k in doubt or k + 1 in doubt or _likelier(a, b, after.get(k, " "), lexicon)):
+                open_.update((k, k + 1))
+    i = 0
+    for k in sorted(open_):
+        if k < i:
             continue
-        j = i
-        while j < n and j - i < 6 and (doubt[j] or (j > 0 and stream[j - 1][1] == "-\n")):
-            j += 1
-        # a token that ends a line without a hyphen may go on in the next
-        if j < n and j - i < 6 and stream[j - 1][1] == "\n" and not stream[j][0][:1].isupper() and not stream[j - 1][0].endswith((".", ",", ";", ":")):
-            j += 1
-        out += decode_span(stream[i:j], lexicon)
-        i = j
+        if whole:
+            out += [Word(stream[x], after=after.get(x, " ")) for x in range(i, k)]
+        i = k + 1
+        while i in open_ and stream[i - 1].endswith(cores[i - 1]) and stream[i].startswith(cores[i]):
+            i += 1
+        out += decode_span([Token(stream[x], cores[x], after.get(x, " ")) for x in range(k, i)], lexicon)
+    if whole:
+        out += [Word(stream[x], after=after.get(x, " ")) for x in range(i, n)]
     return out
 
 
-def cases(text: str | None, page: int | None, keys: set[str], forms: set[str], lexicon: Lexicon, whole_page: bool) -> set[tuple[str, str]]:
+def cases(text: str | None, page: int | None, keys: set[str], forms: dict[str, int], lexicon: Lexicon, whole_page: bool) -> set[tuple[str, str]]:
     """(kind, fixed) of a text: furniture lines, broken words, misread words."""
     if not text or not text.strip():
         return set()
     lines = split_lines(text)
     gone = set(furniture(lines, page, keys, forms, whole_page))
     out = {("furniture", lines[i].strip()) for i in gone}
-    for part in [[line for i, line in enumerate(lines) if i not in gone], *([lines[i]] for i in gone if not is_page_number(lines[i], page))]:
-        for w in decode(part, lexicon):
+    kept = [line for i, line in enumerate(lines) if i not in gone]
+    for part in [*(kept[a:b] for a, b in paragraphs(kept)), *([lines[i]] for i in gone if not is_page_number(lines[i], page))]:
+        for w in decode(part, lexicon, whole=False):
             if not (w.broken or w.misread):
                 continue
             fixed = w.text.strip(_TRIM + "!").lower()
@@ -354,50 +420,51 @@ def cases(text: str | None, page: int | None, keys: set[str], forms: set[str], l
     return out
 
 
-SHORT_LINE, KEEP, BREAK = 0.75, 1.0, 1.0
+SHORT_LINE = 0.75
+#: Costs of a paragraph: each, for its excess length, for short lines, headings and blank lines inside
+#: it, for how it begins and ends, and what words that recur in it are worth.
+EACH, USUAL_CHARS, EXCESS, SHORT_INSIDE, HEADING_INSIDE, BLANK_INSIDE, LOWER_START, OPEN_END, HYPHEN_END, FULL_END, COHESION = 2.0, 1500, 1.0, 3.0, 5.0, 6.0, 4.0, 3.0, 6.0, 0.5, 1.0
+_CONTENT = re.compile(r"[^\W\d_]{6,}")
 
 
-def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
-    """Ranges of lines that are a paragraph each, by the cheapest path over the lines: a
-    boundary is cheap at a blank line, at a heading and behind a short line that ends a
-    sentence, and dear where the next line goes on in lower case."""
+def _is_heading(line: str) -> bool:
+    return bool(_HEADING.match(line)) and not line.endswith((".", ","))
+
+
+def _segment(lines: list[str], blank: list[bool], width: int) -> list[tuple[int, int]]:
+    """Paragraphs of the lines that are not blank, as ranges, by the least sum of costs;
+    ``blank`` says which have a blank line before them."""
     n = len(lines)
-    widths = sorted(len(line.strip()) for line in lines if line.strip())
-    width = widths[int(0.8 * (len(widths) - 1))] if widths else 1
-
-    def joint(i: int) -> float:
-        """Cost of a boundary before line i, less that of none."""
-        a, b = lines[i - 1].strip(), lines[i].strip()
-        if not a or not b:
-            return -6.0
-        cost = 2.0
-        ends = a[-1] in ".!?:।\"”"
-        cost += -1.5 if ends else 2.0
-        cost += 3.0 if b[0].islower() else -0.5
-        if len(a) < SHORT_LINE * width and ends:
-            cost -= 2.5
-        if _HEADING.match(b) and len(b) < SHORT_LINE * 90 and not b.endswith((".", ",")):
-            cost -= 4.0
-        if _HEADING.match(a) and len(a) < SHORT_LINE * 90 and not ends and not b[0].islower():
-            cost -= 4.0
-        if a[-1] in HYPHENS:
-            cost += 4.0
-        return cost
-
-    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
-    inside = [0.0] * (n + 1)  # costs of not breaking, summed
-    for i in range(1, n):
-        inside[i + 1] = inside[i] - min(0.0, joint(i))
-    if n:
-        inside[1] = 0.0
-    # a paragraph i..j-1 pays for the boundary before it and for the boundaries it passes over
-    low, at = math.inf, 0
+    size = [len(line) for line in lines]
+    ends = [line[-1] in ".!?:।\"”" for line in lines]
+    heading = [_is_heading(line) and size[i] < width for i, line in enumerate(lines)]
+    words = [_CONTENT.findall(line.lower()) for line in lines] if n > 1 else [[]]
+    start = [LOWER_START if i and lines[i][0].islower() else 0.0 for i in range(n)]
+    end = [(0.0 if ends[i] or i == n - 1 or heading[i] else OPEN_END) + (HYPHEN_END if lines[i][-1] in HYPHENS and i < n - 1 else 0.0) + (FULL_END if size[i] >= 0.95 * width and i < n - 1 else 0.0) for i in range(n)]
+    # what it costs if the paragraph goes on behind a line
+    inside = [(SHORT_INSIDE if ends[i] and size[i] < SHORT_LINE * width else 0.0) + (HEADING_INSIDE if heading[i] and not lines[i + 1][0].islower() else 0.0) + (HEADING_INSIDE if heading[i + 1] else 0.0) + (BLANK_INSIDE if blank[i + 1] else 0.0) for i in range(n - 1)]
+    best, back, least = [0.0] + [math.inf] * n, [0] * (n + 1), [0.0] * (n + 1)
     for j in range(1, n + 1):
-        i = j - 1
-        start = best[i] + (max(0.0, joint(i)) if i else 0.0) - inside[j]
-        if start < low:
-            low, at = start, i
-        best[j], back[j] = low + inside[j], at
+        chars, within, seen, again, total = 0, 0.0, set(), 0, 0
+        low, at, tail = math.inf, 0, EACH + end[j - 1]
+        for i in range(j - 1, -1, -1):
+            chars += size[i] + 1
+            if i < j - 1:
+                within += inside[i]
+            own = words[i]
+            before = len(seen)
+            seen.update(own)
+            total += len(own)
+            again += len(own) - len(seen) + before
+            excess = EXCESS * (chars / USUAL_CHARS - 1) ** 2 if chars > USUAL_CHARS else 0.0
+            cost = best[i] + start[i] + within + tail + excess - (COHESION * again / total if total else 0.0)
+            if cost < low:
+                low, at = cost, i
+            # longer ones cost no less than this, and what comes before them no less than the least so far
+            if tail + within + excess - COHESION + least[i] > low:
+                break
+        best[j], back[j] = low, at
+        least[j] = min(least[j - 1], low)
     out, j = [], n
     while j > 0:
         out.append((back[j], j))
@@ -405,7 +472,24 @@ def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def repair(text: str | None, page: int | None, keys: set[str], forms: set[str], lexicon: Lexicon, whole_page: bool) -> list[str]:
+def paragraphs(lines: list[str]) -> list[tuple[int, int]]:
+    """Ranges of lines that are a paragraph each, chosen for the least sum of costs, where the
+    cost of a paragraph depends on all its lines: its length, its short and blank lines, how it
+    begins and ends, and how many of its words recur in it. Blank lines between paragraphs
+    belong to the next."""
+    bare = [line.strip() for line in lines]
+    filled = [i for i, line in enumerate(bare) if line]
+    if not filled:
+        return [(0, len(lines))] if lines else []
+    widths = sorted(len(bare[i]) for i in filled)
+    width = widths[int(0.8 * (len(widths) - 1))]
+    found = _segment([bare[i] for i in filled], [bool(k) and filled[k] - filled[k - 1] > 1 for k in range(len(filled))], width)
+    ends = [filled[b - 1] + 1 for _, b in found]
+    ends[-1] = len(lines)
+    return list(zip([0, *ends[:-1]], ends))
+
+
+def repair(text: str | None, page: int | None, keys: set[str], forms: dict[str, int], lexicon: Lexicon, whole_page: bool) -> list[str]:
     """The paragraphs of a text, words repaired and furniture left out."""
     if not text or not text.strip():
         return []
@@ -436,36 +520,43 @@ def _edges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for line in {*filled[:EDGE_LINES], *filled[-EDGE_LINES:]}:
                 key = header_key(line, None if pd.isna(page) else int(page))
                 if key:
-                    out.append((document, page, key, form_of(line)))
-        yield pd.DataFrame(out, columns=["document", "page", "key", "form"])
+                    out.append((document, page, key, *(form_of(line) or (None, 0))))
+        yield pd.DataFrame(out, columns=["document", "page", "key", "form", "words"])
 
 
-def running_lines(pages: DataFrame) -> tuple[DataFrame, list[str]]:
+def running_lines(pages: DataFrame) -> tuple[DataFrame, dict[str, int]]:
     """(document, keys) of the lines at page edges that recur on pages of a document, and the
-    forms such lines have in at least a share of the documents (at most 1 / share of them)."""
-    seen = cut(pages.filter("document IS NOT NULL AND text IS NOT NULL").mapInPandas(_edges, "document string, page int, key string, form string"), "page-edges")
-    recurring = seen.groupBy("document", "key").agg(F.countDistinct("page").alias("n"), F.min("form").alias("form")).filter("n > 1")
+    forms such lines have in at least a share of the documents (at most 1 / share of them),
+    with the most words they have there."""
+    seen = cut(pages.filter("document IS NOT NULL AND text IS NOT NULL").mapInPandas(_edges, "document string, page int, key string, form string, words int"), "page-edges")
+    recurring = seen.groupBy("document", "key").agg(F.countDistinct("page").alias("n"), F.min("form").alias("form"), F.min("words").alias("words")).filter("n > 1")
     recurring = cut(recurring, "running-lines")
     documents = recurring.select("document").distinct().count()
-    forms = recurring.filter("form IS NOT NULL").groupBy("form").agg(F.countDistinct("document").alias("n")).filter(F.col("n") >= max(FORM_DOCUMENTS, FORM_SHARE * documents))
-    return recurring.groupBy("document").agg(F.collect_list("key").alias("keys")), [r["form"] for r in forms.select("form").collect()]
+    forms = recurring.filter("form IS NOT NULL").groupBy("form").agg(F.countDistinct("document").alias("n"), F.max("words").alias("words")).filter(F.col("n") >= max(FORM_DOCUMENTS, FORM_SHARE * documents))
+    return recurring.groupBy("document").agg(F.collect_list("key").alias("keys")), {r["form"]: r["words"] for r in forms.select("form", "words").collect()}
 
 
-def _prepared(texts: DataFrame) -> tuple[DataFrame, dict[str, int], list[str]]:
+def _prepared(texts: DataFrame) -> tuple[DataFrame, dict[str, int], dict[str, int]]:
     """Texts (src, document, idx, page, text) with the running lines of their documents."""
     texts = texts.filter("text IS NOT NULL").distinct()
     keys, forms = running_lines(texts.filter("src = 'page'").select("document", "page", "text"))
     return texts.join(keys, "document", "left"), lexicon_counts(texts.select("text")), forms
 
 
+_LEXICONS: dict[str, Lexicon] = {}
+
+
 def _each(texts: DataFrame, work, schema: str) -> DataFrame:
     prepared, counts, forms = _prepared(texts)
     spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast((counts, forms))  # bounded by the shares
+    shared, name = spark.sparkContext.broadcast((counts, forms)), uuid4().hex  # bounded by the shares
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, forms = shared.value
-        lexicon, known = Lexicon(counts), set(forms)
+        counts, known = shared.value
+        if name not in _LEXICONS:  # built once in a worker
+            _LEXICONS.clear()
+            _LEXICONS[name] = Lexicon(counts)
+        lexicon = _LEXICONS[name]
         for f in batches:
             out = []
             for row in f.itertuples(index=False):

@@ -32,6 +32,14 @@ def test_decoding():
     assert read("the agree", "ment of the") == [("agreement", True, False)]
     assert read("the tenant", "shall review") == [] and read("x -", "the lender") == []
     assert read("of thc Ien", "the 1ender, (wbile)") == [("the", False, True), ("lender,", False, True), ("(while)", False, True)]
+    counts = {**COUNTS, "pay": 900, "payment": 800, "form": 300, "inform": 250}
+    lex = noise.Lexicon(counts)
+    again = lambda *lines: [w.text for w in noise.decode(list(lines), lex)]
+    assert again("the pay ment of it") == again("the pay", "ment of it") == again("the pay-", "ment of it") == ["the", "payment", "of", "it"]
+    assert again("in form of it") == ["in", "form", "of", "it"] and again("shall pay", "the tenant") == ["shall", "pay", "the", "tenant"]
+    seven = "tbe 1ender sha|l rewew tbe pavable tenarit agreem ent (uncler tbe 1ien) x"
+    assert again(seven) == "the lender shall review the payable tenant agreement (under the lien) x".split()
+    assert again("x" * 500, "agree", "ment") == ["x" * 500, "agreement"]
     assert [w.text for w in noise.decode(["the len der shallreview it"], LEX) if w.text] == ["the", "lender", "shall", "review", "it"]
 
 
@@ -47,6 +55,13 @@ def test_paragraphs():
     body = ["The lender shall review the deposit of the tenant", "and maintain it without a lien."]
     lines = ["1.4 Deposit", *body, "", *body, *body]
     assert noise.paragraphs(lines)[0] == (0, 1) and (1, 3) in noise.paragraphs(lines)
+    # what a boundary costs depends on the whole paragraph: short lines inside a long one are cut, in a short one kept
+    long = [*["The lender shall review the deposit of the tenant and so on."] * 4, "It is so.", "The tenant shall pay the lender for the deposit and so on."]
+    assert noise.paragraphs(long) == [(0, 5), (5, 6)]
+    assert noise.paragraphs(["the tenant shall pay the depo-", "", "sit of the lender"]) == [(0, 3)]
+    lines_ = [f"Sentence number {i} of a paragraph without an end that runs over very many lines." for i in range(300)]
+    found = noise.paragraphs(lines_)
+    assert 5 < len(found) < 60 and [b for _, b in found] == [a for a, _ in found][1:] + [300]
     assert noise.paragraphs([]) == [] and noise.paragraphs(["a"]) == [(0, 1)]
     assert [b for _, b in noise.paragraphs(lines)] == [a for a, _ in noise.paragraphs(lines)][1:] + [len(lines)]
 
