@@ -36,6 +36,7 @@ PROBES = 3
 TILE = 4096
 WORDS = 2  # of 64 signs, in a sketch
 SPARE = 8  # candidates a lookup passes on, for each neighbour asked for
+DEVIATIONS = 3.5  # of the signs that differ: a pair right at the floor is missed with a chance of 0.0002
 SEED = 20240611
 
 
@@ -94,13 +95,14 @@ def buckets(x: np.ndarray, turns: list[np.ndarray], axes: list[int], probes: int
 
 
 def usable(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
-    """(id, v): one row for each key whose vector has ``dim`` finite numbers, not all zero.
-    Of rows that repeat a key one is taken."""
+    """(id, v, h): the rows whose vector has ``dim`` finite numbers, not all zero; equal vectors
+    have the same h, 128 bits of hash."""
     v = F.col(vector)
     # of each number: present and finite (NaN and the infinities fail the comparison with the largest float)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) <= F.lit(3.4028234663852886e38)))
     fit = df.filter(F.col(key).isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0))
-    return fit.select(F.col(key).alias("id"), F.transform(v, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v")).dropDuplicates(["id"])
+    plain = fit.select(F.col(key).alias("id"), F.transform(v, lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("v"))
+    return plain.withColumn("h", F.struct(F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")))
 
 
 def _vectors(column: pa.Array, d: int) -> np.ndarray:
@@ -144,15 +146,15 @@ def _nearest_sketches(q: np.ndarray, m: np.ndarray, differ: np.ndarray, i: np.nd
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], reach: int, most: int, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
-    """(a, b, differ), a < b, of rows sorted by (bucket, side, share); whole groups are taken,
-    many at a time. A row asks if ``asks`` and is there to be found if its node is stored."""
+    """(a, b, differ), a < b, of rows sorted by (bucket, cell); whole groups are taken, many at
+    a time. A cell is four times the share, plus two if the row asks, plus one if it may be
+    found, which takes a node that is stored."""
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        bucket, node, asks = (table[c].to_numpy() for c in ("bucket", "node", "asks"))
-        asks, number = asks.astype(bool), node >> 1
-        there = (node & 1).astype(bool) & table["found"].to_numpy().astype(bool)
+        bucket, node, cell = (table[c].to_numpy() for c in ("bucket", "node", "cell"))
+        asks, number, there = (cell & 2).astype(bool), node >> 1, (node & cell & 1).astype(bool)
         words = np.stack([table[w].to_numpy().view(np.uint64) for w in _WORDS])
-        group = table["share"].to_numpy()
+        group = cell >> 2
         cuts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (group[1:] != group[:-1]), [True]]))
         sizes = np.diff(cuts)
         out = []
@@ -195,7 +197,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], reach: int, most: int, rows:
         size += batch.num_rows
         if size > rows:
             table = pa.Table.from_batches(held).combine_chunks()
-            b, s = table["bucket"].to_numpy(), table["share"].to_numpy()
+            b, s = table["bucket"].to_numpy(), table["cell"].to_numpy() >> 2
             same = np.flatnonzero((b != b[-1]) | (s != s[-1]))
             if len(same):
                 yield done(table.slice(0, int(same[-1]) + 1))
@@ -212,16 +214,17 @@ def _cosines(batches: Iterator[pa.RecordBatch], d: int) -> Iterator[pa.RecordBat
 
 
 def _grid(rows: DataFrame, tile: int) -> DataFrame:
-    """Rows (bucket, node, sketch) with ``share``, the group of the bucket they are compared
-    in, and whether they ask or are there to be found in it: one group for most buckets, a grid
-    of groups for those of more than ``tile`` rows."""
+    """Rows (bucket, node, sketch) with their ``cell``, which says in which group of the bucket
+    they are compared, and whether they ask or may be found there: one group for most buckets,
+    a grid of groups for those of more than ``tile`` rows."""
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("node") % 2).alias("m")).filter((F.col("n") > tile) & (F.col("m") > 0))
-    full = small(cut(sizes.select("bucket", F.ceil(F.col("m") / tile).cast("int").alias("across"), F.ceil(F.col("n") / tile).cast("int").alias("down")), "full-buckets"))
-    plain = rows.join(full, "bucket", "left_anti").select("*", F.lit(0).alias("share"), F.lit(1).alias("asks"), F.lit(1).alias("found"))
+    full = small(cut(sizes.select("bucket", F.ceil(F.col("m") / tile).alias("across"), F.ceil(F.col("n") / tile).alias("down")), "full-buckets"))
+    plain = rows.join(full, "bucket", "left_anti").select("*", F.lit(3).cast("bigint").alias("cell"))
     hot = rows.join(full, "bucket")
-    home = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    asking = hot.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("across") - 1))).withColumn("share", F.col("i") * F.col("down") + home("down")).select(*rows.columns, "share", F.lit(1).alias("asks"), F.lit(0).alias("found"))
-    stored = hot.filter(F.col("node") % 2 == 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("down") - 1))).withColumn("share", home("across") * F.col("down") + F.col("i")).select(*rows.columns, "share", F.lit(0).alias("asks"), F.lit(1).alias("found"))
+    home = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    asking = hot.withColumn("i", each("across")).select(*rows.columns, (4 * (F.col("i") * F.col("down") + home("down")) + 2).alias("cell"))
+    stored = hot.filter(F.col("node") % 2 == 1).withColumn("i", each("down")).select(*rows.columns, (4 * (home("across") * F.col("down") + F.col("i")) + 1).alias("cell"))
     return plain.union(asking).union(stored)
 
 
@@ -234,21 +237,23 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, flo
     vectors are neighbours of each other with cosine 1 whatever their number. An empty table
     gives no rows. Other columns are not read.
 
-    What the sketches rule out: more signs apart than the angle of ``floor`` makes likely (five
-    deviations more), and in a bucket all but the ``spare * k`` nearest sketches of a lookup.
+    What the sketches rule out: more signs apart than the angle of ``floor`` makes likely
+    (DEVIATIONS), and in a bucket all but the ``spare * k`` nearest sketches of a lookup.
     """
-    points = cut(usable(df, key, vector, dim), "vectors")
-    by_id = Window.partitionBy("v").orderBy("id")
-    heads = points.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)  # cut to k + 1 before the shuffle
-    classes = heads.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0])
+    rows = usable(df, key, vector, dim)
+    points = cut(rows.groupBy("id").agg(F.min("h").alias("h")).select("id", "h.*"), "vector-keys")
+    by_id = Window.partitionBy("h1", "h2").orderBy("id")
+    heads = points.withColumn("r", F.row_number().over(by_id)).filter(F.col("r") <= k + 1).groupBy("h1", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    vectors = rows.select("h.*", "v").groupBy("h1", "h2").agg(F.first("v").alias("v"))
+    classes = heads.join(vectors, ["h1", "h2"]).select("h1", "h2", "ids", F.col("ids")[0].alias("id"), "v")
     classes = cut(classes.withColumn("n", F.monotonically_increasing_id()), "vector-classes")
     count, axes = plan(classes.count(), 1 << (dim - 1).bit_length(), fill or (FILL if floor > 0 else FILL_FAR), tables)
-    rows = classes.select("n", "v").mapInArrow(lambda it: _rows(it, dim, count, axes, probes), _ROW)
+    hashed = classes.select("n", "v").mapInArrow(lambda it: _rows(it, dim, count, axes, probes), _ROW)
     share = math.acos(max(-1.0, min(1.0, floor))) / math.pi
     bits = 64 * WORDS
-    reach = bits if floor <= 0 else min(bits, math.ceil(bits * share + 5 * math.sqrt(bits * share * (1 - share)) + 1))
+    reach = bits if floor <= 0 else min(bits, math.ceil(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share))))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = _grid(rows, tile).repartition(parts, "bucket", "share").sortWithinPartitions("bucket", "share").mapInArrow(lambda it: _candidates(it, reach, spare * k), "a bigint, b bigint, differ smallint")
+    met = _grid(hashed, tile).repartition(parts, "bucket", F.shiftright("cell", 2)).sortWithinPartitions("bucket", "cell").mapInArrow(lambda it: _candidates(it, reach, spare * k), "a bigint, b bigint, differ smallint")
     pairs = met.groupBy("a", "b").agg(F.min("differ").alias("differ"))
     if floor <= 0:  # a vector's best candidates over all tables
         ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("x"), "a", "b", "differ"), F.struct(F.col("b").alias("x"), "a", "b", "differ"))).alias("e")).select("e.*")
@@ -264,7 +269,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dim: int = 64, flo
     # from classes back to keys: a class stands for its first k + 1 keys
     kin = classes.select(F.col("n").alias("b"), F.slice("ids", 1, k).alias("others"))
     lists = near.join(kin, "b").groupBy("a").agg(F.collect_list(F.struct("cosine", "others")).alias("near"))  # k at most
-    own = points.join(classes.select("v", F.col("n").alias("a"), "ids"), "v").select(F.col("id").cast("string").alias("key"), "a", F.transform("ids", lambda x: x.cast("string")).alias("ids"))
+    own = points.join(classes.select("h1", "h2", F.col("n").alias("a"), "ids"), ["h1", "h2"]).select(F.col("id").cast("string").alias("key"), "a", F.transform("ids", lambda x: x.cast("string")).alias("ids"))
     every = own.join(lists, "a", "left")
     twins = F.transform(F.array_except("ids", F.array("key")), lambda b: F.struct((-F.lit(1.0)).alias("c"), b.alias("b")))
     others = F.flatten(F.transform(F.coalesce("near", F.array()), lambda x: F.transform(x["others"], lambda b: F.struct((-x["cosine"]).alias("c"), b.cast("string").alias("b")))))
