@@ -77,6 +77,51 @@ def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+HOT_ROWS = 10_000
+
+
+def join_hot(left: DataFrame, groups: DataFrame, keys: list[str], hot: int = HOT_ROWS) -> DataFrame:
+    """``left`` with the row of its group from ``groups``, an aggregate of it that has a count n.
+    Groups of more than ``hot`` rows, of which there are at most one for each ``hot`` rows of
+    ``left``, are joined by broadcast, so that none of them is one task's."""
+    known = cut(groups, "groups")
+    big = known.filter(F.col("n") > hot)
+    few = big.count()
+    if not few or few > 1_000_000:  # none, or so many that none can be a large share
+        return left.join(known, keys)
+    rest = left.join(F.broadcast(big.select(*keys)), keys, "left_anti").join(known.filter(F.col("n") <= hot), keys)
+    return left.join(F.broadcast(big), keys).unionByName(rest)
+
+
+def deal(members: DataFrame, hot: int = 2000) -> DataFrame:
+    """(id, group, shares, own): members (id, group) dealt to shares of their group, about one
+    for each ``hot`` members."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / hot).cast("int"))
+    return cut(join_hot(members, sizes, ["group"]).select("id", "group", "shares", F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("own")), "members")
+
+
+def _each(n: str):
+    return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+
+def pairs_within(dealt: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of dealt members of a group. Every share of a group meets every
+    other in a cell of its own, so a large group is many tasks' work."""
+    left = dealt.select(F.col("id").alias("a"), "group", F.col("own").alias("x"), _each("shares").alias("y"))
+    right = dealt.select(F.col("id").alias("b"), "group", F.col("own").alias("y"), _each("shares").alias("x"))
+    return left.join(right, ["group", "x", "y"]).filter("a < b").select("a", "b")
+
+
+def pairs_across(dealt: DataFrame, links: DataFrame) -> DataFrame:
+    """(a, b): dealt members of group_a with those of group_b, for each link (group_a, group_b),
+    by shares as above."""
+    sizes = dealt.groupBy("group").agg(F.first("shares").alias("shares"))
+    sized = links.join(sizes.withColumnsRenamed({"group": "group_a", "shares": "down"}), "group_a").join(sizes.withColumnsRenamed({"group": "group_b", "shares": "across"}), "group_b")
+    cells = sized.withColumn("x", _each("down")).withColumn("y", _each("across")).select("group_a", "group_b", "x", "y")
+    first = cells.join(dealt.select(F.col("id").alias("a"), F.col("group").alias("group_a"), F.col("own").alias("x")), ["group_a", "x"])
+    return first.join(dealt.select(F.col("id").alias("b"), F.col("group").alias("group_b"), F.col("own").alias("y")), ["group_b", "y"]).select("a", "b")
+
+
 def sweep(spark: SparkSession) -> int:
     """Delete the tables this application has cut so far; results built on them must have been
     written or collected. Returns how many there were."""

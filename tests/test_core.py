@@ -403,3 +403,19 @@ def test_incremental_ingest(spark, tmp_path):
     go()
     assert {(r.document, r.text) for r in spark.read.parquet(target).collect()} == {("a", "new"), ("b", "z")}
     assert re.fullmatch(r"[\w.-]+", "ok")
+
+
+def test_pairs_of_dealt_groups(spark):
+    from foliant.session import deal, join_hot, pairs_across, pairs_within
+
+    rows = [(i, i % 3 if i < 40 else 7) for i in range(60)] + [(99, 8)]
+    members = spark.createDataFrame(rows, "id int, group int")
+    for hot in (5, 2000):
+        dealt = deal(members, hot)
+        assert sorted(map(tuple, pairs_within(dealt).collect())) == sorted((a, b) for a, g in rows for b, h in rows if g == h and a < b)
+        links = spark.createDataFrame([(0, 7), (8, 1)], "group_a int, group_b int")
+        assert sorted(map(tuple, pairs_across(dealt, links).collect())) == sorted((a, b) for a, g in rows for b, h in rows if (g, h) in ((0, 7), (8, 1)))
+    sizes = members.groupBy("group").count().withColumnRenamed("count", "n")
+    for hot in (13, 10_000):
+        assert sorted(r.n for r in join_hot(members, sizes, ["group"], hot).collect()) == sorted(sum(h == g for _, h in rows) for _, g in rows)
+    assert pairs_within(deal(members.limit(0))).count() == 0
