@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.session import cut
+from foliant.session import cut, deal, pairs_within
 
 PERSON_LABELS = ("PERSON", "EXECUTIVE", "BOARD_MEMBER")
 ORGANISATION_LABELS = ("COMPANY", "SUBSIDIARY", "CORPORATION")
@@ -360,5 +360,5 @@ def resolve(spellings: DataFrame, forms: DataFrame) -> DataFrame:
 
 def pairs(groups: DataFrame) -> DataFrame:
     """(entity_a, entity_b), entity_a < entity_b: all pairs of a group."""
-    a, b = groups.select(F.col("entity_id").alias("entity_a"), "root"), groups.select(F.col("entity_id").alias("entity_b"), "root")
-    return a.join(b, "root").filter("entity_a < entity_b").select("entity_a", "entity_b")
+    found = pairs_within(deal(groups.select(F.col("entity_id").alias("id"), F.col("root").alias("group"))))
+    return found.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))

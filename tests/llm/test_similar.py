@@ -83,13 +83,15 @@ def test_blocks_cover_all_sizes():
     rng = random.Random(2)
     for rows in (5, 50, 5000):
         h = [(n, rng.randrange(1, 60)) for n in rng.sample(range(1, 900), 200)]
-        spread, pairs = near.blocks_of(h, 0.7, rows, 1)
+        spread, reach = near.blocks_of(h, 0.7, rows, 1)
         where = {n: set(range(b, b + k)) for n, b, k in spread}
-        pairs = set(pairs)
+        span = {b: range(x, y + 1) for b, x, y in reach}
+        assert sorted(span) == list(range(len(span))) == sorted({b for s in where.values() for b in s})
+        assert all(a in span[b] for a in span for b in span[a])
         for n in where:
             for m in where:
                 if n <= m and n >= 0.7 * m:
-                    assert all((min(a, b), max(a, b)) in pairs for a in where[n] for b in where[m])
+                    assert all(b in span[a] for a in where[n] for b in where[m])
 
 
 def test_nearest(spark):
