@@ -5,13 +5,15 @@ Each answer is read once against its question:
 * ``copied``: the answer is traversed in the suffix automaton of the question, which gives
   the longest stretch of the question that ends at each character. Nothing but a few
   characters outside such stretches, and most of the question inside them: a copy.
-* ``refusal``: an automaton of refusals in the first person, over what is not quoted.
+* ``refusal``: an automaton of refusals in the first person, over what is not quoted; in a
+  clause that reports what somebody says or asks they are none.
 * ``wrong_language``: stopword votes (and letters of a script) of question and answer.
 * ``truncated``: a stack of delimiters and what the answer ends on. An answer that has no
   end mark may still be complete, so its last sentence is held against all sentences of the
-  table that have one: its skeleton (function words kept, runs of other words as one) must
-  occur among them, and its last word must occur as a last word; short answers about an
-  amount are complete if their form recurs.
+  table: its skeleton (function words kept, runs of other words as one) must end sentences in
+  a share of the cases in which sentences begin with it, and its last word must be a last
+  word in a share of its occurrences. A form of answer without end mark that recurs, and that
+  no sentence goes on from, is complete too. All measures are shares, alike at every size.
 * ``empty``: nothing left without markup, blanks, punctuation and placeholders.
 """
 
@@ -19,10 +21,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +119,18 @@ def _plain(text: str) -> str:
     return " ".join(_WORD.findall(unicodedata.normalize("NFKC", text).casefold()))
 
 
+_RUNS: list[slice] = []
+
+
+def _runs(text: str) -> Iterator[str]:
+    while len(_RUNS) < len(text):
+        _RUNS.append(slice(len(_RUNS), len(_RUNS) + RUN))
+    return map(text.__getitem__, _RUNS[: max(0, len(text) - RUN + 1)])
+
+
 def is_copy(question: str, answer: str) -> bool:
+    if len(answer) < 0.4 * len(question):  # folding makes no text longer by so much
+        return _plain(question) == _plain(answer) != ""
     q, a = _plain(question), _plain(answer)
     if not q or not a:
         return False
@@ -123,6 +138,10 @@ def is_copy(question: str, answer: str) -> bool:
         return True
     if len(q) < 2 * RUN or len(a) < 0.5 * len(q):
         return False
+    # every stretch is made of runs of RUN characters, so few of these mean few stretches
+    runs = frozenset(_runs(q))
+    if RUN * sum(map(runs.__contains__, _runs(a))) < COPIED_ANSWER * len(a):
+        return False
     own = SuffixAutomaton(q).stretches(a)
     inside = sum(e - s for s, e in own)
     if inside < COPIED_ANSWER * len(a):
@@ -142,28 +161,52 @@ def _refusals():
     return automaton
 
 
+#: Words of clauses that report, and of the first person who may report on themselves.
+_REPORTING = re.compile(
+    r"\b(?:that|whether|if|why|how|says?|said|writes?|wrote|written|states?|stated|reply|replies|replied|tells?|told|notes?|noted|claims?|claimed|explains?|explained|answers|answered|argues?|argued|thinks?|thought|believes?|believed"
+    r"|dass|ob|sagte?|schreibt|schrieb|erklärte?|meinte?|que|dit|écrit|dice|dijo|escribió)\b"
+)
+_SELF = re.compile(r"(?:i|i'm|we|we're|sorry|please|unfortunately|ich|wir|leider|bitte|je|nous|lo)\b")
+_CLAUSE = re.compile(r"[.!?।;]\s+")
+
+
 def is_refusal(answer: str) -> bool:
+    """Whether the answerer declines. Before the phrase, in its sentence, nothing may report: in
+    "the tenant wrote that I cannot assign the lease" nobody declines to answer."""
     text = " ".join(_QUOTED.sub(" ", answer).replace("’", "'").casefold().split()) + " "
     for end, phrase in _refusals().iter(text):
         start = end - len(phrase) + 1
-        if start == 0 or not text[start - 1].isalnum():
+        if start and text[start - 1].isalnum():
+            continue
+        before = _CLAUSE.split(text[:start])[-1]
+        if not _REPORTING.search(before) or _SELF.match(before):
             return True
     return False
 
 
+_LONGEST = max(map(len, PLACEHOLDERS))
+
+
 def is_empty(answer: str | None) -> bool:
     if answer is None:
         return True
-    if answer.isascii() and len(answer) > 60:
-        return not any(map(str.isalnum, answer))
+    if "<" not in answer and "&" not in answer and sum(map(str.isalnum, answer)) > _LONGEST:
+        return False
     words = _plain(_MARKUP.sub(" ", answer))
     return not words or words in PLACEHOLDERS
 
 
+_LANGUAGES: dict[str, tuple[str, ...]] = {w: tuple(k for k, x in _STOP.items() if w in x) for w in _FUNCTION}
+
+
 def votes(text: str) -> dict[str, int]:
-    words = [w.casefold() for w in _WORD.findall(text)]
-    out = {k: sum(w in s for w in words) for k, s in _STOP.items()}
-    out["hi"] = sum("ऀ" <= w[0] <= "ॿ" for w in words)
+    out = dict.fromkeys([*_STOP, "hi"], 0)
+    words = _WORD.findall(text.casefold())
+    for w in words:
+        for k in _LANGUAGES.get(w, ()):
+            out[k] += 1
+    if not text.isascii():
+        out["hi"] = sum("ऀ" <= w[0] <= "ॿ" for w in words)
     return out
 
 
@@ -174,31 +217,56 @@ def is_foreign(question: str, answer: str) -> bool:
     return other != lang and asked[lang] >= 2 and said[other] >= 2 and said[other] >= 2 * said[lang] + 1
 
 
-def skeleton(sentence: str) -> tuple[str, str]:
-    """(skeleton, last word) of a sentence without its end mark."""
-    out: list[str] = []
-    last = ""
+_YEAR, _AMOUNT = re.compile(r"(?:19|20)\d\d"), re.compile(r"\d{1,3}(?:,\d{2,3})+")
+
+
+def skeleton(sentence: str, words: set | None = None) -> tuple[list[int], str]:
+    """(skeleton, last word) of a sentence without its end mark. The skeleton is given by the
+    hashes of its beginnings, the last of which is its own. Words, figures by their kind, are
+    put into ``words``."""
+    hashes: list[int] = []
+    own: list[str] = []
+    h, before = 1, ""
     for t in _TOKEN.findall(sentence):
-        low = t.casefold()
-        if t[0].isdigit():
-            k = "Y" if re.fullmatch(r"(?:19|20)\d\d", t) else "M" if re.fullmatch(r"\d{1,3}(?:,\d{2,3})+", t) else "9"
-        elif "/" in t:
-            k = "C"
-        elif not t[0].isalnum():
-            k = t
-        else:
-            k = low if low in _FUNCTION else "X"
-        last = k if k in "YM9C" else low
-        if k != "X" or not out or out[-1] != "X":
-            out.append(k)
-    return " ".join(out), last
+        low, k, code = _KINDS.get(t) or _kind(t)
+        if t == "May" and own:  # the month
+            k, code = "X", _X
+        own.append(low)
+        if k != "X" or before != "X":
+            h = (h * 0x9E3779B97F4A7C15 + code) % 0x1FFFFFFFFFFFFFFF
+            hashes.append(h)
+        before = k
+    if words is not None:
+        words.update(own)
+    return hashes, own[-1] if own else ""
+
+
+_KINDS: dict[str, tuple[str, str, int]] = {}
+_X = xxhash.xxh64_intdigest("X")
+
+
+def _kind(t: str) -> tuple[str, str, int]:
+    """(word to count, what stands for it in a skeleton, number of that), kept for the next time."""
+    low = t.casefold()
+    if t[0].isdigit():
+        k = low = "Y" if _YEAR.fullmatch(t) else "M" if _AMOUNT.fullmatch(t) else "9"
+    elif "/" in t:
+        k = low = "C"
+    elif not t[0].isalnum():
+        k = t
+    else:
+        k = low if low in _FUNCTION else "X"
+    if len(_KINDS) > 200_000:
+        _KINDS.clear()
+    _KINDS[t] = low, k, xxhash.xxh64_intdigest(k)
+    return _KINDS[t]
 
 
 def dangling(answer: str) -> bool:
     """Whether an answer without an end mark shows by itself that it is cut: it ends on an
-    opener, a comma or a dash, or leaves a bracket or quotation open."""
+    opener, a comma, a dash or the mark of a list item, or leaves a bracket or quotation open."""
     text = answer.rstrip()
-    if text.endswith(("...", "…")) or re.search(r"[,;:(\[{“«\-–—/]\Z", text):
+    if text.endswith(("...", "…")) or re.search(r"[,;:(\[{“«\-–—/]\Z|[:;,]\s*\(?(?:\d{1,2}|[a-z]|[ivx]+)[).]\Z", text):
         return True
     stack: list[str] = []
     for i, c in enumerate(text):
@@ -211,11 +279,18 @@ def dangling(answer: str) -> bool:
     return bool(stack)
 
 
+_READ = "src string, row_id bigint, defect string, tail bigint, last string, alone boolean, kind string, key bigint, word string, n bigint"
+
+
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each answer, and the counts of a batch: answers that have sentences with an end
+    mark of a skeleton (``s``), with a beginning (``b``) and with a last word (``w``), and answers
+    that have a word (``o``)."""
     for f in batches:
-        defect, tail, last, sentences, alone = [], [], [], [], []
+        defect, tail, last, alone = [], [], [], []
+        counts = {"s": Counter(), "b": Counter(), "w": Counter(), "o": Counter()}
         for q, a in zip(f["question"], f["answer"]):
-            d, t, w, own = None, None, None, []
+            d, t, w, parts = None, None, None, []
             if is_empty(a):
                 d = "empty"
             elif q and is_copy(q, a):
@@ -227,44 +302,58 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             else:
                 # what stands before a colon announces the sentence
                 parts = [re.split(r":\s+", s)[-1] for s in _SENTENCES.split(a.strip()) if s and s.strip()]
-                if _ENDED.search(a) and not a.rstrip().endswith(("...", "…", "Rs.", "No.")):
-                    own = [skeleton(s) for s in parts]
-                else:
-                    own = [skeleton(s) for s in parts[:-1]]
-                    if dangling(a):
-                        d = "truncated"
-                    elif parts:
-                        t, w = skeleton(parts[-1])
+                ended = bool(_ENDED.search(a)) and not a.rstrip().endswith(("...", "…")) and not _CUT_AFTER.search(a)
+                own = {k: set() for k in counts}
+                for s in parts if ended else parts[:-1]:
+                    k, x = skeleton(s, own["o"])
+                    if k:
+                        own["s"].add(k.pop())
+                        own["b"].update(k)
+                        own["w"].add(x)
+                if not ended and dangling(a):
+                    d = "truncated"
+                elif not ended and parts:
+                    t, w = skeleton(parts[-1], own["o"])
+                    t = t[-1] if t else 0
+                for k, c in counts.items():
+                    c.update(own[k])
             defect.append(d)
             alone.append(t is not None and len(parts) == 1)
             tail.append(t)
             last.append(w)
-            sentences.append([{"s": s, "w": w} for s, w in own])
-        yield pd.DataFrame({"src": f["src"], "row_id": f["row_id"], "defect": defect, "tail": tail, "last": last, "alone": alone, "sentences": sentences})
+        yield pd.DataFrame({"src": f["src"], "row_id": f["row_id"], "defect": defect, "tail": pd.array(tail, dtype="Int64"), "last": last, "alone": alone, "kind": "a", "key": None, "word": None, "n": 1})
+        rows = [(None, None, None, None, None, None, k, *((x, None) if k in "sb" else (None, x)), n) for k, c in counts.items() for x, n in c.items()]
+        yield pd.DataFrame(rows, columns=["src", "row_id", "defect", "tail", "last", "alone", "kind", "key", "word", "n"], dtype=object)
+
+
+#: Abbreviations after which a full stop ends no sentence.
+_CUT_AFTER = re.compile(r"\b(?:Rs|No|Nos|Art|Sec|Ref|vs|e\.g|i\.e|z\.B|Nr)\.\s*\Z")
+WHOLE, LAST, RECURS, FEW = 0.05, 0.01, 0.5, 5
 
 
-def broken_pairs(pairs: DataFrame, seen: int = 3, form: int = 5) -> DataFrame:
+def broken_pairs(pairs: DataFrame, whole: float = WHOLE, last: float = LAST, recurs: float = RECURS, few: int = FEW) -> DataFrame:
     """(src, row_id, defect) of each defective pair of ``pairs`` (src, row_id, question,
     answer); at most one defect for an answer: empty, copied, refusal, wrong_language,
     truncated, in that order.
 
     A null question leaves only defects that show without it; a null answer is empty. Rows
     with a null row_id are left out, repeated keys are reported once. An empty table gives no
-    rows; other columns are not read. ``seen`` is how often a skeleton must occur with an end
-    mark to count as complete, ``form`` how often a short answer about an amount must recur.
+    rows; other columns are not read. An answer without end mark is complete if its skeleton
+    ends ``whole`` of the sentences that begin with it and its last word ends sentences in ``last``
+    of the answers that have it; or if answers that are this one sentence make up ``recurs`` of these
+    sentences (``few`` more are reckoned to go on, as little evidence is none).
     """
     rows = pairs.select("src", F.col("row_id").cast("bigint").alias("row_id"), F.col("question").cast("string"), F.col("answer").cast("string")).filter("row_id IS NOT NULL").dropDuplicates(["src", "row_id"])
-    read = rows.mapInPandas(_read, "src string, row_id bigint, defect string, tail string, last string, alone boolean, sentences array<struct<s:string,w:string>>")
-    read = cut(read, "pairs-read")
-    ended = read.select(F.explode("sentences").alias("x")).select("x.s", "x.w")
-    skeletons = ended.groupBy(F.col("s").alias("tail")).agg(F.count("*").alias("whole")).filter(F.col("whole") >= seen)
-    lasts = ended.groupBy(F.col("w").alias("last")).agg(F.count("*").alias("ends"))
-    open_ = read.filter(F.col("tail").isNotNull())
-    # answers that are an amount or a number with some words need no sentence around them; a
-    # form of answer, told by skeleton and last word, recurs and a cut at some place does not
-    amount = F.col("alone") & F.col("tail").rlike(r"^(X )?[M9]\b") & (F.size(F.split("tail", " ")) <= 5)
-    forms = open_.filter(amount).groupBy("tail", "last").agg(F.count("*").alias("same")).filter(F.col("same") >= form).select("tail", "last", F.lit(True).alias("is_form"))
-    judged = open_.join(skeletons, "tail", "left").join(lasts, "last", "left").join(forms, ["tail", "last"], "left")
-    whole = F.col("whole").isNotNull() & F.col("ends").isNotNull() | (amount & F.coalesce("is_form", F.lit(False)))
-    cut_off = judged.filter(~whole).select("src", "row_id", F.lit("truncated").alias("defect"))
-    return read.filter(F.col("defect").isNotNull()).select("src", "row_id", "defect").union(cut_off)
+    read = cut(rows.mapInPandas(_read, _READ), "pairs-read")
+    open_ = read.filter("kind = 'a' AND tail IS NOT NULL").select("src", "row_id", "tail", "last", "alone")
+    total = lambda kind, key, by, n: read.filter(F.col("kind") == kind).groupBy(F.col(key).alias(by)).agg(F.sum("n").alias(n))
+    tails = open_.groupBy("tail", "last").agg(F.count_if("alone").alias("same"), F.count("*").alias("opened"))
+    ends_open = tails.groupBy("last").agg(F.sum("opened").alias("ends_open"))
+    judged = tails.join(total("s", "key", "tail", "stops"), "tail", "left").join(total("b", "key", "tail", "on"), "tail", "left").join(ends_open, "last", "left")
+    judged = judged.join(total("w", "word", "last", "ends"), "last", "left").join(total("o", "word", "last", "seen"), "last", "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    by_sentence = (zero("stops") >= whole * (zero("stops") + zero("on") + 1)) & (zero("ends") >= last * zero("seen")) & (zero("ends") > 0)
+    by_form = (F.col("same") >= recurs * (F.col("same") + zero("on") + few)) & (zero("ends") + zero("ends_open") >= last * zero("seen"))
+    cut_off = judged.filter(~(by_sentence | by_form)).select("tail", "last")
+    truncated = open_.join(cut_off, ["tail", "last"]).select("src", "row_id", F.lit("truncated").alias("defect"))
+    return read.filter("kind = 'a' AND defect IS NOT NULL").select("src", "row_id", "defect").union(truncated)

@@ -35,6 +35,12 @@ def test_defects(spark):
         (19, "", "...", "empty"),
         (20, Q, whole * 3000, None),
         (21, Q, "The board of Acme Foods (see", "truncated"),
+        (22, Q, "<p>&nbsp;</p>" * 40, "empty"),
+        (23, Q, "n/a " + "." * 90, "empty"),
+        (24, Q, "The tenant wrote that I cannot assign the lease without consent of the board.", None),
+        (25, Q, "Unfortunately, I cannot comment on the levy.", "refusal"),
+        (26, Q, "I regret that I cannot comment on the levy.", "refusal"),
+        (27, Q, whole[:-1] + " and: 1)", "truncated"),
     ]
     rows += [(100 + i, Q, x, None) for i, x in enumerate([whole] * 4 + ["INR 9,100."] * 4 + ["INR 8,200"] * 6)]
     df = spark.createDataFrame([("s", i, q, a, "x", "y") for i, q, a, _ in rows] + [("s", 1, Q, None, "x", "y"), ("s", None, Q, None, "x", "y")], "src string, row_id bigint, question string, answer string, defect string, tail string")
