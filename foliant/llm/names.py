@@ -196,70 +196,114 @@ def _keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 class _Profile:
     def __init__(self, row) -> None:
-        self.node, self.person = row.node, row.person
+        self.node, self.person, self.gone = row.node, row.person, False
         self.family, self.given, self.first, self.middle = set(row.family.split(" ")), set(filter(None, row.given.split(" "))), set(filter(None, row.first.split(" "))), set(row.middle)
 
-    def absorb(self, other: _Profile) -> None:
-        for k in ("family", "given", "first", "middle"):
-            getattr(self, k).update(getattr(other, k))
-
-
-def _related(a: _Profile, b: _Profile) -> bool:
-    return bool(a.family & b.family) or any(close_names(x, y) for x in a.family for y in b.family)
-
-
-def _same(a: _Profile, b: _Profile) -> bool:
-    """Whether two profiles match by themselves."""
-    if a.person != b.person or not _related(a, b):
-        return False
-    return not a.person or bool(a.given & b.given)
+    def agrees(self, other: _Profile) -> bool:
+        """Middle initials may be left out, but not contradict."""
+        return not self.middle or not other.middle or bool(self.middle & other.middle)
+
+
+class _Index:
+    """Live profiles by family name and something else; family names by what they are close to."""
+
+    def __init__(self) -> None:
+        self.names: dict[str, set[str]] = {}
+        self.at: dict[tuple, list[_Profile]] = {}
+
+    def add(self, p: _Profile, tags: set[str]) -> None:
+        for f in p.family:
+            name, _, trades = f.partition("~")
+            for d in deletions(name):
+                self.names.setdefault(f"{d}~{trades}", set()).add(f)
+            for t in tags:
+                held = self.at.setdefault((f, t), [])
+                if not any(k is p for k in held[-1:]):
+                    held.append(p)
+
+    def near(self, p: _Profile) -> list[str]:
+        """Family names close to one of the profile's, its own first."""
+        own = sorted(p.family)
+        close_ = {g for f in own for d in deletions(f.partition("~")[0]) for g in self.names.get(f"{d}~{f.partition('~')[2]}", ()) if g not in p.family and close_names(f, g)}
+        return own + sorted(close_)
+
+    def of(self, p: _Profile, families: list[str], tags: set[str], most: int | None = None) -> list[_Profile]:
+        """Other live profiles of these families and tags that agree with it, ``most`` at most."""
+        found: list[_Profile] = []
+        for f in families:
+            for t in sorted(tags):
+                for k in self.at.get((f, t), ()):
+                    if not k.gone and k is not p and k.person == p.person and k.agrees(p) and not any(x is k for x in found):
+                        found.append(k)
+                        if len(found) == most:
+                            return found
+        return found
 
 
 def _resolve(f: pd.DataFrame) -> list[tuple[int, int]]:
-    """Merges within a block: (node, node it is merged into)."""
+    """Merges within a block: (node, node it is merged into). Candidates come by lookup, so a
+    block of very many profiles is never compared pair by pair."""
     pool = [_Profile(r) for r in f.sort_values("node").itertuples(index=False)]
     merges: list[tuple[int, int]] = []
-    # profiles with a name and given name in common are found by lookup, so a block of very many
-    # spellings is compared pair by pair only in what differs by an edit
-    known: dict[tuple, _Profile] = {}
-    kept: list[_Profile] = []
-    for p in pool:
-        keys = [(p.person, f, g) for f in p.family for g in (p.given if p.person else {""})]
-        mate = next((known[k] for k in keys if k in known), None)
-        if mate:
-            mate.absorb(p)
-            merges.append((p.node, mate.node))
+    by_given, by_first, by_middle, bare = _Index(), _Index(), _Index(), _Index()
+    given = lambda p: p.given if p.person else {""}
+    letters = lambda p: {t + m for t in p.first for m in p.middle}
+
+    def enter(p: _Profile) -> None:
+        if p.given or not p.person:
+            by_given.add(p, given(p))
+            by_first.add(p, p.first)
+            by_middle.add(p, letters(p))
         else:
-            kept.append(p)
-        for k in keys:
-            known.setdefault(k, mate or p)
-    pool = kept
+            bare.add(p, p.first)
+
+    def merge(p: _Profile, mate: _Profile) -> None:
+        p.gone = True
+        merges.append((p.node, mate.node))
+        known = mate.family | mate.given | mate.first | mate.middle
+        for k in ("family", "given", "first", "middle"):
+            getattr(mate, k).update(getattr(p, k))
+        if mate.family | mate.given | mate.first | mate.middle != known:
+            enter(mate)
+
+    def named(p: _Profile) -> _Profile | None:
+        """Who has a family and given name of ``p``; without a middle initial it may be one only."""
+        fits = by_given.of(p, sorted(p.family), given(p)) or by_given.of(p, by_given.near(p), given(p))
+        if p.person and not p.middle and len(fits) > 1:
+            plain = [k for k in fits if not k.middle]
+            several = any(not a.agrees(b) for a in fits for b in fits)
+            return (plain[0] if plain else None) if several else fits[0]
+        return fits[0] if fits else None
+
+    def initials(p: _Profile) -> _Profile | None:
+        families = by_first.near(p)
+        exact = by_middle.of(p, families, letters(p), 2) if p.middle else []
+        if len(exact) == 1:
+            return exact[0]
+        fits = by_first.of(p, families, p.first, 2)
+        if fits:
+            return fits[0] if len(fits) == 1 else None
+        if any(not k.gone for f in families for t in p.first for k in by_first.at.get((f, t), ())):
+            return None
+        return next((k for k in bare.of(p, bare.near(p), p.first) if k.first == p.first), None)
+
+    said = sorted((p for p in pool if p.given or not p.person), key=lambda p: not p.middle)
+    rest = [p for p in pool if p.person and not p.given]
+    for p in rest:
+        enter(p)
     changed = True
     while changed:
         changed = False
-        kept: list[_Profile] = []
-        for p in pool:  # profiles that say a given name, or organisations
-            mate = next((k for k in kept if _same(k, p)), None)
-            if mate:
-                mate.absorb(p)
-                merges.append((p.node, mate.node))
-                changed = True
-            else:
-                kept.append(p)
-        pool = kept
-        for p in [p for p in pool if p.person and not p.given]:  # initials only
-            named = [k for k in pool if k is not p and k.person and k.given and p.first & k.first and _related(k, p)]
-            fits = [k for k in named if not p.middle or not k.middle or p.middle & k.middle]
-            exact = [k for k in named if p.middle & k.middle]
-            mate = exact[0] if len(exact) == 1 else fits[0] if len(fits) == 1 else None
-            if not named:
-                mate = next((k for k in pool if k is not p and k.person and not k.given and p.first == k.first and _related(k, p) and (not p.middle or not k.middle or p.middle & k.middle)), None)
-            if mate:
-                mate.absorb(p)
-                merges.append((p.node, mate.node))
-                pool = [k for k in pool if k is not p]
-                changed = True
-                break
+        for some, find in ((said, named), (rest, initials)):
+            for p in some:
+                if p.gone:
+                    continue
+                mate = find(p)
+                if mate:
+                    merge(p, mate)
+                    changed = True
+                elif some is said:
+                    enter(p)
     return merges
 
 
@@ -304,9 +348,24 @@ def _joined(column: str):
     return F.array_join(F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.filter(F.split(column, " "), lambda x: x != ""))))), " ")
 
 
-def _of_one(families: pd.Series) -> pd.Series:
-    """Whether names are spellings of one: each is close to one of them."""
-    return pd.Series([any(all(close_names(a, b) for b in own) for a in own) for own in families], dtype="bool")
+def _heads_keys(heads: pd.Series) -> pd.Series:
+    return heads.map(lambda h: sorted(f"{d}~{h.partition('~')[2]}" for d in deletions(h.partition("~")[0])))
+
+
+def _are_close(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([close_names(x, y) for x, y in zip(a, b)], dtype="bool")
+
+
+def _of_one(heads: DataFrame) -> DataFrame:
+    """The b of ``heads`` (b, head) whose heads are spellings of one name: all are close to one
+    of them. Those that are close meet at a key, so no b's heads are gathered or paired whole."""
+    counted = heads.groupBy("b").agg(F.count("*").alias("n"))
+    keys, close_ = F.pandas_udf(_heads_keys, "array<string>"), F.pandas_udf(_are_close, "boolean")
+    several = heads.join(counted.filter("n > 1"), "b")
+    keyed = cut(several.select("b", "n", "head", F.explode(keys("head")).alias("key")), "heads")
+    met = keyed.join(keyed.select("b", "key", F.col("head").alias("other")), ["b", "key"]).select("b", "n", "head", "other").distinct()
+    centres = met.filter(close_("head", "other")).groupBy("b", "n", "head").agg(F.count("*").alias("m")).filter("m = n")
+    return counted.filter("n = 1").select("b").union(centres.select("b").distinct())
 
 
 def _other_names(read: DataFrame, columns: list[str]) -> DataFrame:
@@ -315,10 +374,7 @@ def _other_names(read: DataFrame, columns: list[str]) -> DataFrame:
     own = read.filter("own").select("entity_id", F.xxhash64(*columns).alias("a"), F.split("family", " ").alias("heads"))
     other = read.filter("NOT own").select("entity_id", F.xxhash64(*columns).alias("b")).distinct()
     borne = cut(other.join(own, "entity_id"), "other-names")
-    by_head = borne.select("b", F.explode("heads").alias("head")).distinct()
-    few = by_head.groupBy("b").agg(F.count("*").alias("n")).filter("n <= 12").select("b")  # spellings of one name are few
-    one = F.pandas_udf(_of_one, "boolean")
-    specific = by_head.join(few, "b").groupBy("b").agg(F.collect_list("head").alias("heads")).filter(one("heads")).select("b")
+    specific = _of_one(borne.select("b", F.explode("heads").alias("head")).distinct())
     return borne.join(specific, "b").select("a", "b").distinct()
 
 
@@ -329,7 +385,8 @@ def resolve(spellings: DataFrame, forms: DataFrame) -> DataFrame:
     name is the readable text of least rank. ``forms`` has (given_name, short_form), a
     reference list of names, read as a whole. Null and blank texts, texts of titles only and
     null entity_ids are left out; spellings may repeat. An initial that fits several people
-    stays alone. An empty table gives no rows.
+    stays alone; names whose middle initials contradict are never merged. An empty table gives
+    no rows.
     """
     spark = spellings.sparkSession
     rows = [(r["given_name"], r["short_form"]) for r in forms.select("given_name", "short_form").collect()]

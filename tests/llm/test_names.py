@@ -1,5 +1,8 @@
 """Spellings of people and organisations on hand-made cases."""
 
+import time
+
+import pandas as pd
 import pytest
 
 from foliant.llm import names
@@ -33,6 +36,7 @@ def linked(spark):
         "b1": ["Margaret Tolime"], "b2": ["Tolime M."], "b3": ["Peggy Tolime", "the Lender"],
         "c1": ["Henry Dovata"], "c2": ["Harry Dovata"], "c3": ["Samuel Dovata"], "c4": ["S. Dovata"],
         "d1": ["Walter Kumeso"], "d2": ["William Kumeso"], "d3": ["W. Kumeso"],
+        "e1": ["Samuel A. Vokute"], "e2": ["Samuel B. Vokute"], "e3": ["Samuel Vokute"], "e4": ["Vokute, Sam A."], "e5": ["S. B. Vokute"],
         "x1": [None], "x2": ["  "], "x3": ["Dr."],
     }
     firms = {
@@ -49,10 +53,30 @@ def linked(spark):
 def test_groups(linked):
     got = linked[2]
     group = lambda *ids: {(a, b) for a in ids for b in ids if a < b}
-    want = group("a1", "a2", "a3", "a4", "a5", "a6", "a7") | group("b1", "b2", "b3") | group("c1", "c2") | group("c3", "c4") | group("f1", "f2", "f3") | group("f4", "f5") | group("g1", "g2", "g3")
+    want = group("a1", "a2", "a3", "a4", "a5", "a6", "a7") | group("b1", "b2", "b3") | group("c1", "c2") | group("c3", "c4") | group("e1", "e4") | group("e2", "e5") | group("f1", "f2", "f3") | group("f4", "f5") | group("g1", "g2", "g3")
     assert got == want
 
 
+def test_former_name_of_many_spellings(spark, linked):
+    head = "Tolimareko"
+    spelt = [head] + [head[:i] + "x" + head[i:] for i in range(10)] + [head[:i] + head[i + 1 :] for i in range(10)]
+    rows = [(f"m{i:02d}", False, r, t) for i, s in enumerate(spelt) for r, t in ((0, f"{s} Foods Ltd"), (1, "Gavusero"))] + [("m99", False, 0, "Gavusero")]
+    rows += [(f"z{i}", False, r, t) for i, s in enumerate(("Lakamo", "Birevu", "Todano")) for r, t in ((0, f"{s} Foods Ltd"), (1, "Director"))] + [("z9", False, 0, "Director")]
+    df = spark.createDataFrame(rows, "entity_id string, person boolean, rank int, text string")
+    by: dict = {}
+    for r in names.resolve(df, linked[1]).collect():
+        by.setdefault(r.root, set()).add(r.entity_id)
+    assert sorted(map(len, by.values())) == [1, 1, 1, 1, 22]
+
+
+def test_large_block_in_seconds():
+    rows = [(i, True, "kumaresan", "", "r", "abcdefghij"[i % 10]) for i in range(10)]
+    rows += [(100 + i, True, "kumaresan"[: 1 + i % 8] + "x" + "kumaresan"[1 + i % 8 :], f"r{i}", "r", "") for i in range(10_000)]
+    f = pd.DataFrame(rows, columns=["node", "person", "family", "given", "first", "middle"])
+    t = time.time()
+    assert len(names._resolve(f)) == 0 and time.time() - t < 15
+
+
 def test_empty(linked):
     df, forms, _ = linked
     assert names.pairs(names.resolve(df.limit(0), forms)).count() == 0
