@@ -267,13 +267,18 @@ def _resolve(f: pd.DataFrame) -> list[tuple[int, int]]:
             enter(mate)
 
     def named(p: _Profile) -> _Profile | None:
-        """Who has a family and given name of ``p``; without a middle initial it may be one only."""
-        fits = by_given.of(p, sorted(p.family), given(p)) or by_given.of(p, by_given.near(p), given(p))
-        if p.person and not p.middle and len(fits) > 1:
-            plain = [k for k in fits if not k.middle]
-            several = any(not a.agrees(b) for a in fits for b in fits)
-            return (plain[0] if plain else None) if several else fits[0]
-        return fits[0] if fits else None
+        """Who has a family and given name of ``p``. A name without a middle initial is merged
+        only if all that it fits agree."""
+        alike = lambda x: by_given.of(x, sorted(x.family), given(x)) or by_given.of(x, by_given.near(x), given(x))
+        fits = alike(p)
+        if not fits or not p.person:
+            return fits[0] if fits else None
+        said = [k for k in fits if k.middle]
+        if p.middle:
+            return said[0] if said else next((k for k in fits if all(x.agrees(p) for x in alike(k))), None)
+        if all(a.agrees(said[0]) for a in said):
+            return fits[0]
+        return next((k for k in fits if not k.middle), None)
 
     def initials(p: _Profile) -> _Profile | None:
         families = by_first.near(p)
