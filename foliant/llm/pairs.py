@@ -115,8 +115,8 @@ class SuffixAutomaton:
         return out
 
 
-def _plain(text: str) -> str:
-    return " ".join(_WORD.findall(unicodedata.normalize("NFKC", text).casefold()))
+def _words(text: str) -> list[str]:
+    return _WORD.findall((text if text.isascii() else unicodedata.normalize("NFKC", text)).casefold())
 
 
 _RUNS: list[slice] = []
@@ -128,10 +128,9 @@ def _runs(text: str) -> Iterator[str]:
     return map(text.__getitem__, _RUNS[: max(0, len(text) - RUN + 1)])
 
 
-def is_copy(question: str, answer: str) -> bool:
-    if len(answer) < 0.4 * len(question):  # folding makes no text longer by so much
-        return _plain(question) == _plain(answer) != ""
-    q, a = _plain(question), _plain(answer)
+def is_copy(question: list[str], answer: list[str]) -> bool:
+    """Whether an answer gives back the question; both by their words."""
+    q, a = " ".join(question), " ".join(answer)
     if not q or not a:
         return False
     if a == q:
@@ -192,27 +191,27 @@ def is_empty(answer: str | None) -> bool:
         return True
     if "<" not in answer and "&" not in answer and sum(map(str.isalnum, answer)) > _LONGEST:
         return False
-    words = _plain(_MARKUP.sub(" ", answer))
+    words = " ".join(_words(_MARKUP.sub(" ", answer)))
     return not words or words in PLACEHOLDERS
 
 
 _LANGUAGES: dict[str, tuple[str, ...]] = {w: tuple(k for k, x in _STOP.items() if w in x) for w in _FUNCTION}
 
 
-def votes(text: str) -> dict[str, int]:
+def votes(words: list[str]) -> dict[str, int]:
     out = dict.fromkeys([*_STOP, "hi"], 0)
-    words = _WORD.findall(text.casefold())
     for w in words:
-        for k in _LANGUAGES.get(w, ()):
-            out[k] += 1
-    if not text.isascii():
-        out["hi"] = sum("ऀ" <= w[0] <= "ॿ" for w in words)
+        if w in _LANGUAGES:
+            for k in _LANGUAGES[w]:
+                out[k] += 1
+        elif w[0] > "\u08ff":
+            out["hi"] += "ऀ" <= w[0] <= "ॿ"
     return out
 
 
-def is_foreign(question: str, answer: str) -> bool:
-    asked, said = votes(question), votes(_QUOTED.sub(" ", answer))
-    lang = max(asked, key=lambda k: asked[k])
+def is_foreign(question: list[str], answer: list[str]) -> bool:
+    asked, said = votes(question), votes(answer)
+    lang = max(asked, key=asked.get)
     other = max(said, key=lambda k: (said[k], k == lang))
     return other != lang and asked[lang] >= 2 and said[other] >= 2 and said[other] >= 2 * said[lang] + 1
 
@@ -293,11 +292,11 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             d, t, w, parts = None, None, None, []
             if is_empty(a):
                 d = "empty"
-            elif q and is_copy(q, a):
+            elif is_copy(asked := _words(q) if q else [], said := _words(a)):
                 d = "copied"
             elif is_refusal(a):
                 d = "refusal"
-            elif q and is_foreign(q, a):
+            elif asked and is_foreign(asked, _words(bare) if (bare := _QUOTED.sub(" ", a)) != a else said):
                 d = "wrong_language"
             else:
                 # what stands before a colon announces the sentence
