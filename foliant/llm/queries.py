@@ -58,6 +58,25 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.filter("pieces > 1 AND piece = 0").select("src", "document", "idx").distinct()
 
 
+def p2_rebuilt(spark: SparkSession, d: str) -> DataFrame:
+    """What the pieces of each item add up to without their overlaps, and whether all keep the limits."""
+    from foliant.llm.split import LIMIT_TOKENS, OVERLAP_TOKENS, split_oversized
+
+    items = _pages(spark, d).union(_chunks(spark, d)).distinct()
+    pieces = split_oversized(items.withColumn("item", F.md5("text")), ["src", "document", "idx", "item"], "text")
+    own = F.struct("piece", F.col("piece_text").substr(F.col("overlap_chars") + 1, F.length("piece_text")).alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "")
+    fits = (F.col("tokens") <= LIMIT_TOKENS) & (F.col("overlap_chars") <= 4 * OVERLAP_TOKENS)
+    return pieces.groupBy("src", "document", "idx", "item").agg(F.md5(whole).alias("rebuilt"), F.min(fits).alias("fits")).select("src", "document", "idx", "rebuilt", "fits")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the token ids of p8_ids decode to, as their hash."""
+    from foliant.llm.tokens import decode_corpus
+
+    return decode_corpus(p8_ids(spark, d)).select("doc_id", F.md5("text").alias("text_md5"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     from foliant.llm.near import near_pairs
 
@@ -136,7 +155,7 @@ def p10_passages(spark: SparkSession, d: str) -> DataFrame:
     from foliant.llm.spans import passages
 
     found = passages(table(spark, d, "documents"))
-    return found.select(F.col("doc").alias("doc_id"), F.col("partner").alias("partner_id"), "start", "end", "partner_start", "partner_end", "verbatim_chars", "gaps", F.col("class").alias("class_id"))
+    return found.select(F.col("doc").alias("doc_id"), F.col("partner").alias("partner_id"), "start", "end", "partner_start", "partner_end", "verbatim_chars", "gaps", "edits", "identity", F.size("pieces").alias("exact_pieces"), F.col("class").alias("class_id"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -145,6 +164,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_blocks": p1_blocks,
     "p2_found": p2_found,
     "p2_pieces": p2_pieces,
+    "p2_rebuilt": p2_rebuilt,
     "p3_found": p3_found,
     "p3_classes": p3_classes,
     "p4_found": p4_found,
@@ -152,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_groups": p5_groups,
     "p6_found": p6_found,
     "p8_ids": p8_ids,
+    "p8_decoded": p8_decoded,
     "p9_containers": p9_containers,
     "p10_found": p10_found,
     "p10_passages": p10_passages,
@@ -172,6 +193,11 @@ ORACLE: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT 'chunk', document, chunk_index FROM chunks WHERE floor(length(text) / 4) > 512
     """,
+    "p2_rebuilt": """
+        SELECT DISTINCT src, document, idx, md5(text) AS rebuilt, true AS fits FROM (
+            SELECT 'page' AS src, document, page AS idx, raw_text AS text FROM pages UNION ALL SELECT 'chunk', document, chunk_index, text FROM chunks) WHERE text IS NOT NULL
+    """,
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS text_md5 FROM documents",
     "p3_found": f"""
         WITH {_NORMALISED}
         SELECT s.src, least(x.id, y.id) AS id_a, greatest(x.id, y.id) AS id_b FROM alike s JOIN kept x ON x.src = s.src AND x.class = s.a JOIN kept y ON y.src = s.src AND y.class = s.b

@@ -10,9 +10,13 @@
    of occurrences being formed. A group of very many occurrences is not gathered: its
    windows are aggregated by their own hash, with partial aggregation before the shuffle.
 3. Chains. The matches of a record are chained per partner: ordered on both sides, with a
-   cost linear in the gaps, over a Fenwick tree of prefix maxima. Chained matches form
-   passages; those with gaps are fuzzy.
-4. Coverage. Verbatim characters are counted on the union of the matches of all chains.
+   cost linear in the gaps, over a Fenwick tree of prefix maxima. For passages every shared
+   seed counts, grown as far as the two records agree around it, so a copy with small edits
+   is a chain of short matches; SPAN matched characters or more make a passage.
+4. Alignment. What lies between the matches of a passage is aligned by edit distance, which
+   gives how alike the passage is in the two records. Just these stretches are fetched.
+5. Coverage. Verbatim characters are counted on the union of the matches of all chains that
+   are SPAN long.
 """
 
 from __future__ import annotations
@@ -31,8 +35,7 @@ from foliant.session import cut, small
 SPAN = 200
 K = 40
 HOT = 20_000
-GAP_COST = 0.05
-MAX_GAP = 400
+GAP_COST = 0.25  # so SPAN matched characters make up for four times as many that are not
 _BITS = 22  # positions of a block; a block holds at most 2**22 characters
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -277,7 +280,7 @@ def _extent(p: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, most:
 
 
 def _pairs_of(rows: pa.Table, span: int, k: int, powers: _Powers, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
-    """Runs shared by two records of whole groups (seed, part), least record first. Windows of
+    """Runs around a seed shared by two records of whole groups (seed, part), least record first. Windows of
     a seed have it at the same place, so two occurrences share one run around it. An occurrence
     whose context its record had before only meets those that are the first of theirs."""
     seed, part, doc, lo, off = (rows[c].to_numpy().astype(np.int64) for c in ("seed", "part", "doc", "lo", "off"))
@@ -308,7 +311,7 @@ def _pairs_of(rows: pa.Table, span: int, k: int, powers: _Powers, most: int = 1_
         i, j = np.where(doc[i] < doc[j], i, j), np.where(doc[i] < doc[j], j, i)
         before = _extent(p, down, at[i] + off[i], at[j] + off[j], np.minimum(off[i], off[j]), -1)
         after = _extent(p, down, at[i] + off[i] + k, at[j] + off[j] + k, np.minimum((length - off)[i], (length - off)[j]) - k, 1)
-        same = (before + after + k >= span) & (_extent(p, down, at[i] + off[i], at[j] + off[j], np.full(len(i), k), 1) == k)
+        same = _extent(p, down, at[i] + off[i], at[j] + off[j], np.full(len(i), k), 1) == k
         i, j, before, after = i[same], j[same], before[same], after[same]
         start = lo[i] + off[i] - before
         yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(start.astype(np.int32)), pa.array((start + before + k + after).astype(np.int32)), pa.array(doc[j]), pa.array((lo[j] + off[j] - before).astype(np.int32))], names=["doc", "start", "end", "partner", "partner_start"])
@@ -333,8 +336,8 @@ def _pairs(batches: Iterator[pa.RecordBatch], span: int, k: int, chars: int = 6_
 
 
 def pair_runs(texts: DataFrame, span: int = SPAN, k: int = K, hot: int = HOT) -> DataFrame:
-    """(doc, start, end, partner, partner_start), doc < partner: the runs of ``span`` or more
-    characters of every two of the records (doc, h, t). A seed of more than ``hot`` / 10
+    """(doc, start, end, partner, partner_start), doc < partner: the runs around each seed that
+    two of the records (doc, h, t) share. A seed of more than ``hot`` / 10
     occurrences is dealt to several parts; each has them all and takes its share of them as
     one side of the pairs."""
     found = cut(seeds(texts, "doc", "t", span, k), "seeds")
@@ -370,12 +373,12 @@ class Fenwick:
         return out
 
 
-def chain(hits: list[tuple[int, int, int]], gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> list[list[int]]:
+def chain(hits: list[tuple[int, int, int]], gap_cost: float = GAP_COST) -> list[list[int]]:
     """Chains of matches (start, end, partner_start) of one record with one partner, as lists
     of indices. A match follows another if it starts later on both sides; the score is the
     matched length less ``gap_cost`` for each character between them on either side. As the
     cost is linear it splits into a term of either match, so the best predecessor is a prefix
-    maximum over partner positions. Matches further apart than ``max_gap`` start anew."""
+    maximum over partner positions. Where the cost exceeds what went before, a chain starts anew."""
     order = sorted(range(len(hits)), key=lambda i: hits[i])
     ys = sorted({hits[i][2] for i in order})
     tree, before, value = Fenwick(len(ys)), [-1] * len(hits), [0.0] * len(hits)
@@ -387,8 +390,7 @@ def chain(hits: list[tuple[int, int, int]], gap_cost: float = GAP_COST, max_gap:
         value[i] = own
         if j >= 0 and hits[j][0] < s:
             gain = best - gap_cost * (s + y)
-            near = s - hits[j][1] <= max_gap and y - (hits[j][2] + hits[j][1] - hits[j][0]) <= max_gap
-            if gain > 0 and near:
+            if gain > 0:
                 value[i] += gain
                 before[i] = j
         tree.put(rank, value[i] + gap_cost * (e + y + e - s), i)
@@ -404,7 +406,7 @@ def chain(hits: list[tuple[int, int, int]], gap_cost: float = GAP_COST, max_gap:
     return out
 
 
-_PASSAGE = "doc bigint, partner bigint, start int, end int, partner_start int, partner_end int, verbatim_chars int, gaps int, pieces array<struct<start:int,end:int>>"
+_PASSAGE = "doc bigint, partner bigint, start int, end int, partner_start int, partner_end int, verbatim_chars int, gaps int, pieces array<struct<start:int,end:int>>, anchors array<struct<start:int,end:int,partner_start:int>>"
 
 
 def _union(pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -428,24 +430,30 @@ def _merged(hits: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return merged
 
 
-def _passage(doc: int, partner: int, own: list[tuple[int, int, int]]) -> tuple:
-    pieces = _union([(s, e) for s, e, _ in own])
-    return doc, partner, own[0][0], max(e for _, e, _ in own), own[0][2], max(y + e - s for s, e, y in own), sum(e - s for s, e in pieces), len(own) - 1, [{"start": s, "end": e} for s, e in pieces]
+def _passage(doc: int, partner: int, own: list[tuple[int, int, int]], span: int) -> tuple | None:
+    """A chain as a row; None if it matches fewer than ``span`` characters. Pieces are what is
+    verbatim over ``span`` characters, anchors all its matches if there is anything between."""
+    held = sum(e - s for s, e in _union([(s, e) for s, e, _ in own]))
+    if held < span:
+        return None
+    pieces = _union([(s, e) for s, e, _ in own if e - s >= span])
+    anchors = [{"start": s, "end": e, "partner_start": y} for s, e, y in own] if len(own) > 1 else []
+    return doc, partner, own[0][0], max(e for _, e, _ in own), own[0][2], max(y + e - s for s, e, y in own), held, len(own) - 1, [{"start": s, "end": e} for s, e in pieces], anchors
 
 
 _COLUMNS = [c.split()[0] for c in _PASSAGE.split(", ")]
 
 
-def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _chained(batches: Iterator[pd.DataFrame], span: int) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for doc, partner, hits in zip(batch["doc"], batch["partner"], batch["hits"]):
             merged = _merged([(int(h["start"]), int(h["end"]), int(h["partner_start"])) for h in hits])
-            out += [_passage(doc, partner, [merged[i] for i in members]) for members in chain(merged)]
+            out += [p for members in chain(merged) if (p := _passage(doc, partner, [merged[i] for i in members], span))]
         yield pd.DataFrame(out, columns=_COLUMNS)
 
 
-def _both_ways(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+def _both_ways(rows: pa.Table, span: int) -> Iterator[pa.RecordBatch]:
     """Passages of either record of each pair; whole pairs, sorted by pair, diagonal and start."""
     d, q, s, e, y = (rows[c].to_numpy().astype(np.int64) for c in ("doc", "partner", "start", "end", "partner_start"))
     pair = np.concatenate([[True], (d[1:] != d[:-1]) | (q[1:] != q[:-1])])
@@ -456,27 +464,34 @@ def _both_ways(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     d, q, s, e, y = d[head], q[head], s[head], e[tail], y[head]
     alone = np.bincount(of)[of] == 1
     n = e - s
+    point = lambda *v: pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in v], ["start", "end", "partner_start"][: len(v)])
+    none = np.empty(0)
     pack = lambda a, b, x, x_end, z: pa.RecordBatch.from_arrays(
-        [pa.array(a), pa.array(b), *(pa.array(v.astype(np.int32)) for v in (x, x_end, z, z + x_end - x, x_end - x, np.zeros(len(x)))), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)), pa.array(x_end.astype(np.int32))], ["start", "end"]))],
+        [pa.array(a), pa.array(b), *(pa.array(v.astype(np.int32)) for v in (x, x_end, z, z + x_end - x, x_end - x, np.zeros(len(x)))), pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32)), point(x, x_end)), pa.ListArray.from_arrays(pa.array(np.zeros(len(x) + 1, dtype=np.int32)), point(none, none, none))],
         names=_COLUMNS,
     )
-    i = np.flatnonzero(alone)
+    i = np.flatnonzero(alone & (n >= span))
     if len(i):
         yield pack(d[i], q[i], s[i], e[i], y[i])
         yield pack(q[i], d[i], y[i], (y + n)[i], s[i])
     out, rest = [], np.flatnonzero(~alone)
     for own in np.split(rest, np.flatnonzero(np.diff(of[rest])) + 1) if len(rest) else []:
+        if n[own].sum() < span:
+            continue
         merged = list(zip(s[own].tolist(), e[own].tolist(), y[own].tolist()))
         a, b = int(d[own[0]]), int(q[own[0]])
         for members in chain(merged):
             run = [merged[m] for m in members]
-            out += [_passage(a, b, run), _passage(b, a, [(z, z + end - x, x) for x, end, z in run])]
+            for passage in (_passage(a, b, run, span), _passage(b, a, [(z, z + end - x, x) for x, end, z in run], span)):
+                if passage:
+                    out.append(passage)
     if out:
-        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
+        place = lambda *names: pa.list_(pa.struct([(c, pa.int32()) for c in names]))
+        kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 6, place("start", "end"), place("start", "end", "partner_start")]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=_COLUMNS)
 
 
-def _chained_pairs(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> Iterator[pa.RecordBatch]:
+def _chained_pairs(batches: Iterator[pa.RecordBatch], span: int, rows: int = 500_000) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for batch in batches:
         held.append(batch)
@@ -487,21 +502,86 @@ def _chained_pairs(batches: Iterator[pa.RecordBatch], rows: int = 500_000) -> It
             ends = np.flatnonzero((d[1:] != d[:-1]) | (q[1:] != q[:-1]))
             at = int(ends[-1]) + 1 if len(ends) else 0
             if at:
-                yield from _both_ways(whole.slice(0, at))
+                yield from _both_ways(whole.slice(0, at), span)
             held = whole.slice(at).to_batches()
             size = whole.num_rows - at if at else 0
     if held and sum(b.num_rows for b in held):
-        yield from _both_ways(pa.Table.from_batches(held).combine_chunks())
+        yield from _both_ways(pa.Table.from_batches(held).combine_chunks(), span)
+
+
+def edits(a: str, b: str) -> int:
+    """Edit distance, a column of the table at a time as the bits of a number."""
+    if not a or not b:
+        return max(len(a), len(b))
+    full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    more, less, score = full, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        across = (((same & more) + more) ^ more) | same
+        up, down = less | (full & ~(across | more)), more & across
+        score += bool(up & top) - bool(down & top)
+        up, down = (up << 1 | 1) & full, (down << 1) & full
+        more, less = down | (full & ~(same | less | up)), up & (same | less)
+    return score
+
+
+def between(anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, end, partner_start, partner_end) of what lies between the matches of a chain, one
+    of which may be empty; matches that overlap count from where the one before ended."""
+    out = []
+    x, y = anchors[0][1], anchors[0][2] + anchors[0][1] - anchors[0][0]
+    for s, e, z in anchors[1:]:
+        skip = max(0, x - s, y - z)
+        if s + skip < e:
+            out.append((x, s + skip, y, z + skip))
+            x, y = e, z + e - s
+    return out
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in batches:
+        out = []
+        for doc, partner, start, other, anchors in zip(f["doc"], f["partner"], f["start"], f["partner_start"], f["anchors"]):
+            for g, (a, b, c, d) in enumerate(between([(int(h["start"]), int(h["end"]), int(h["partner_start"])) for h in anchors])):
+                out += [(doc, doc, partner, start, other, g, 0, a, b), (partner, doc, partner, start, other, g, 1, c, d)]
+        yield pd.DataFrame(out, columns=["at", "doc", "partner", "start", "partner_start", "gap", "side", "a", "b"])
+
+
+def _edits(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([edits(x or "", y or "") for x, y in zip(a, b)], dtype="int64")
+
+
+def aligned(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Passages with ``edits``, the edit distance of what lies between their matches in the two
+    records, and ``identity``, the share of the longer side that needs none."""
+    key = ["doc", "partner", "start", "partner_start"]
+    fuzzy = found.filter("gaps > 0").select(*key, "anchors")
+    once = fuzzy.filter("doc < partner")
+    asked = once.mapInPandas(_stretches, "at bigint, doc bigint, partner bigint, start int, partner_start int, gap int, side int, a int, b int")
+    cut_out = asked.join(texts.select(F.col("doc").alias("at"), "t"), "at").select(*key, "gap", "side", F.substring(F.col("t"), F.col("a") + 1, F.col("b") - F.col("a")).alias("s"))
+    sides = cut_out.groupBy(*key, "gap").agg(F.max(F.when(F.col("side") == 0, F.col("s"))).alias("x"), F.max(F.when(F.col("side") == 1, F.col("s"))).alias("y"))
+    distance = F.pandas_udf(_edits, "bigint")
+    scored = cut(sides.select(*key, distance("x", "y").alias("n")).groupBy(*key).agg(F.sum("n").alias("edits")), "aligned")
+    back = scored.select(F.col("partner").alias("doc"), F.col("doc").alias("partner"), F.col("partner_start").alias("start"), F.col("start").alias("partner_start"), "edits")
+    longer = F.greatest(F.col("end") - F.col("start"), F.col("partner_end") - F.col("partner_start"))
+    out = found.join(scored.unionByName(back), key, "left").withColumn("edits", F.coalesce("edits", F.lit(0)))
+    return out.withColumn("identity", F.round(1 - F.col("edits") / longer, 4))
 
 
 def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, hot: int = HOT) -> DataFrame:
-    """Passages of a record that occur in a partner, for every partner: chains of verbatim
-    matches of ``span`` characters or more, with what stands between them if they are fuzzy.
+    """Passages of a record that occur in a partner, for every partner: chains of matches around
+    shared seeds of ``span`` matched characters or more, with the edit distance of what stands
+    between the matches. A copy with edits is found if seeds are left between these: seeds are
+    shared where about ``k`` characters that are the least of their windows agree.
 
     Records of equal texts are a class, named by its least key in ``class``. Classes meet by
     that record, either way; the others of a class have a passage to it and it to them, over
     the whole text. So two records share a span if they are of one class, or the records
-    their classes are named by have a passage. Each window of a record meets each partner, a
+    their classes are named by have a passage with a piece; pieces are what is verbatim over
+    ``span`` characters. Each window of a record meets each partner, a
     window that is repeated in both at the first place in one of them.
 
     Records are told apart by ``key``; rows with a null key and texts that are null, empty or
@@ -517,18 +597,19 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int
     texts = hashed.join(small(aside), ["doc", "h"], "left_anti")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = pair_runs(texts, span, k, hot).repartition(parts, "doc", "partner").sortWithinPartitions("doc", "partner", F.col("partner_start") - F.col("start"), "start")
-    found = runs.mapInArrow(_chained_pairs, _PASSAGE).withColumn("class", F.col("doc"))
+    found = runs.mapInArrow(lambda it: _chained_pairs(it, span), _PASSAGE).withColumn("class", F.col("doc"))
     zero, n = F.lit(0), F.col("n")
-    whole = [zero.alias("start"), n.alias("end"), zero.alias("partner_start"), n.alias("partner_end"), n.alias("verbatim_chars"), zero.alias("gaps"), F.array(F.struct(zero.alias("start"), n.alias("end"))).alias("pieces")]
+    whole = [zero.alias("start"), n.alias("end"), zero.alias("partner_start"), n.alias("partner_end"), n.alias("verbatim_chars"), zero.alias("gaps"), F.array(F.struct(zero.alias("start"), n.alias("end"))).alias("pieces"), F.array().cast("array<struct<start:int,end:int,partner_start:int>>").alias("anchors")]
     same = copies.select("doc", F.col("class").alias("partner"), *whole, "class").union(copies.select(F.col("class").alias("doc"), F.col("doc").alias("partner"), *whole, "class"))
-    return found.unionByName(same)
+    return aligned(cut(found, "passages").unionByName(same), texts)
 
 
 def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", span: int = SPAN, k: int = K, hot: int = HOT) -> DataFrame:
-    """Passages as above, but with one partner for each run: all that shared_chars needs."""
+    """Passages as above, without alignment and with one partner for each run of ``span``
+    characters or more: all that shared_chars needs, in time that does not grow with pairs."""
     found = matches(docs, key, text, span, k, hot)
     grouped = found.groupBy("doc", "partner").agg(F.collect_list(F.struct("start", "end", "partner_start")).alias("hits"))  # bounded by the text's length
-    return grouped.mapInPandas(_chained, _PASSAGE)
+    return grouped.mapInPandas(lambda it: _chained(it, span), _PASSAGE)
 
 
 def _covered(pieces: pd.Series) -> pd.Series:

@@ -141,3 +141,16 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", vocabul
     path = vocabulary or vocabulary_path()
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(lambda it: _encoded(it, path, text, True), f"`{key}` {kind}, n_tokens int")
+
+
+def decode_corpus(df: DataFrame, key: str = "doc_id", ids: str = "ids", vocabulary: str | None = None) -> DataFrame:
+    """(key, text) of token ids; an empty or null list is an empty text."""
+    path = vocabulary or vocabulary_path()
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([decode_tree(enc, x or []) for x in batch.column(1).to_pylist()], pa.string())], names=[key, "text"])
+
+    return df.select(key, ids).mapInArrow(run, f"`{key}` {kind}, text string")

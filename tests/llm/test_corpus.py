@@ -129,6 +129,38 @@ def test_all_partners(spark, hot):
         assert held[a, b] == {x for i in range(len(texts[a]) - 199) if texts[a][i : i + 200] in windows[b] for x in range(i, i + 200)}
 
 
+def test_fuzzy_passages(spark):
+    rng = random.Random(4)
+    make = lambda n: "".join(rng.choice("abcdefgh ijklmnop") for _ in range(n))
+    base = make(1200)
+    changed = "".join(base[i : i + 150] + "#" for i in range(0, 1200, 150))  # no 200 characters agree
+    other = make(500) + base[:180] + make(40) + base[180:400] + make(500)
+    rows = [(1, base, None, None), (2, make(300) + changed, None, None), (3, other, None, None), (4, make(900), None, None)]
+    found = {(r.doc, r.partner): r for r in spans.passages(spark.createDataFrame(rows, SCHEMA)).collect()}
+    a = found[1, 2]
+    # a stretch of which no seed is left at either end of the copy is not found; the edits are
+    assert a.start == 0 and a.end >= 1050 and not a.pieces and a.edits == (a.end - 1) // 150 and a.identity > 0.99
+    assert found[2, 1].edits == a.edits and found[2, 1].start == 300 and found[2, 1].identity == a.identity
+    b = found[3, 1]
+    assert (b.start, b.end, b.partner_start, b.partner_end) == (500, 940, 0, 400) and b.edits == 40 and b.gaps == 1 and [(p.start, p.end) for p in b.pieces] == [(720, 940)]
+    assert not any(4 in k for k in found)
+
+
+def test_edits():
+    def brute(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, z in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != z)))
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randrange(0, 80))) for _ in range(2))
+        assert spans.edits(a, b) == brute(a, b)
+
+
 def test_long_text_sections(monkeypatch):
     monkeypatch.setattr(spans, "_BITS", 10)
     text = "".join(random.Random(1).choice("abcd ") for _ in range(5000))
