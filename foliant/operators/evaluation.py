@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,6 +44,30 @@ def report(ranked: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ranked.groupBy(*(by or [])).agg(F.count("*").alias("n"), *recall, *precision, F.round(F.avg("reciprocal_rank"), 4).alias("mrr"))
 
 
+def whole_report(ranked: DataFrame, grounded: DataFrame, latencies: DataFrame | None = None) -> DataFrame:
+    """One row: the report of retrieval, the means of what is known of the answers (faithfulness,
+    coverage, similarity, relevancy and confidence, where there), the shares that are unsupported
+    and speculative, and the mean of each stage's latency, a column of ``latencies``."""
+    both = ranked.select("query_id", "question_type", "rank", "reciprocal_rank", "hit_1", "hit_3", "hit_5").join(grounded, "query_id", "left")
+    means = [F.round(F.avg(c), 4).alias(f"mean_{c}") for c in ("faithfulness", "coverage", "similarity", "relevancy", "confidence") if c in grounded.columns]
+    rates = [F.round(F.avg(F.col(c).cast("int")), 4).alias(f"{c}_rate") for c in ("unsupported", "speculative") if c in grounded.columns]
+    one = report(both).crossJoin(both.agg(*means, *rates))  # two single rows
+    if latencies is None:
+        return one
+    times = [c for c in latencies.columns if c != "query_id"]
+    return one.crossJoin(latencies.agg(*[F.round(F.avg(c), 3).alias(f"mean_{c}") for c in times]))
+
+
+def grounding_summary(ranked: DataFrame, grounded: DataFrame) -> DataFrame:
+    """(question_type, n, mean_faithfulness, mean_coverage, unsupported_rate, speculative_rate,
+    recall_at_3) of each type of question."""
+    both = ranked.select("query_id", "question_type", "hit_3").join(grounded, "query_id")
+    return both.groupBy("question_type").agg(
+        F.count("*").alias("n"), F.round(F.avg("faithfulness"), 4).alias("mean_faithfulness"), F.round(F.avg("coverage"), 4).alias("mean_coverage"),
+        F.round(F.avg(F.col("unsupported").cast("int")), 4).alias("unsupported_rate"), F.round(F.avg(F.col("speculative").cast("int")), 4).alias("speculative_rate"), F.round(F.avg("hit_3"), 4).alias("recall_at_3"),
+    )
+
+
 def faithfulness(answer: Column, context: Column) -> Column:
     """Share of the answer's words that stand in the context."""
     words = [T.token_set(x, T.EVALUATION_STOPWORDS, True) for x in (answer, context)]
@@ -102,12 +126,60 @@ def fallback_questions(chunks: DataFrame) -> DataFrame:
     return chunks.select("document", "page", "chunk_index", question.alias("question"), answer.alias("answer"))
 
 
-def question_pool(chunks: DataFrame, needed: int = 10) -> DataFrame:
-    """(document, question, answer, kind): for each document, questions about neighbouring chunks
-    and, up to ``needed``, what single chunks state; no model is asked."""
+def relational_questions(mentions: DataFrame, most: int = 3) -> DataFrame:
+    """(document, chunk_index, question, answer, kind): how the first two entities of a chunk that
+    mentions two or more are related, for the first ``most`` such chunks of a document."""
+    named = mentions.filter("document IS NOT NULL AND chunk_index IS NOT NULL AND text IS NOT NULL AND trim(text) <> ''").groupBy("document", "chunk_index", "entity_id").agg(F.min_by("text", "mention_id").alias("text"), F.min("mention_id").alias("first"))
+    w = Window.partitionBy("document", "chunk_index").orderBy("first")
+    two = named.withColumn("r", F.row_number().over(w)).filter("r <= 2").groupBy("document", "chunk_index").agg(F.max(F.when(F.col("r") == 1, F.col("text"))).alias("a"), F.max(F.when(F.col("r") == 2, F.col("text"))).alias("b")).filter("b IS NOT NULL")
+    first = two.withColumn("r", F.row_number().over(Window.partitionBy("document").orderBy("chunk_index"))).filter(F.col("r") <= most)
+    return first.select("document", "chunk_index", F.concat(F.lit("How are "), "a", F.lit(" and "), "b", F.lit(" related in "), "document", F.lit("?")).alias("question"), F.lit("").alias("answer"), F.lit("relational").alias("kind"))
+
+
+def written_questions(chunks: DataFrame, write: Callable[[str], str], verify: Callable[[str, str], str] | None = None, most: int = 5) -> DataFrame:
+    """(document, chunk_index, question, answer, kind): questions a model writes about each chunk,
+    its list read by ``parse_questions``, ``most`` for a chunk. ``verify`` (question, text) gives
+    the passage that answers it or says there is none, and then the question goes; a verifier
+    that fails lets it pass, marked as unverified."""
+    from foliant.plugins import is_unanswered, parse_questions
+
+    kind = "document string, chunk_index int, question string, answer string, kind string"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in batches:
+            out = []
+            for document, at, text in zip(f["document"], f["chunk_index"], f["text"]):
+                try:
+                    asked = parse_questions(write(text))[:most]
+                except Exception:  # noqa: BLE001 - other chunks are still asked about
+                    asked = []
+                for q in asked:
+                    answer = ""
+                    if verify:
+                        try:
+                            answer = verify(q, text)
+                        except Exception:  # noqa: BLE001
+                            answer = "UNVERIFIED"
+                        if is_unanswered(answer):
+                            continue
+                    out.append((document, at, q, answer, "factual"))
+            yield pd.DataFrame(out, columns=["document", "chunk_index", "question", "answer", "kind"])
+
+    return chunks.filter("text IS NOT NULL AND trim(text) <> ''").select("document", "chunk_index", "text").mapInPandas(run, kind)
+
+
+def question_pool(chunks: DataFrame, needed: int = 10, mentions: DataFrame | None = None, written: DataFrame | None = None) -> DataFrame:
+    """(document, question, answer, kind): for each document, factual questions a model wrote,
+    relational ones about entities met in a chunk, comparative ones about neighbouring chunks
+    and, up to ``needed``, what single chunks state. ``mentions`` and ``written`` may be left out."""
     both = adjacent(chunks).select("document", F.concat(F.lit("How do chunks "), F.col("chunk_index").cast("string"), F.lit(" and "), F.col("next_index").cast("string"), F.lit(" of "), "document", F.lit(" differ?")).alias("question"), F.lit("").alias("answer"), F.lit("comparative").alias("kind"), F.col("chunk_index"))
     single = fallback_questions(chunks).select("document", "question", "answer", F.lit("fallback").alias("kind"), "chunk_index")
-    w = Window.partitionBy("document").orderBy("kind", "chunk_index")
+    if mentions is not None:
+        both = both.unionByName(relational_questions(mentions))
+    if written is not None:
+        both = both.unionByName(written)
+    order = F.array_position(F.array(*[F.lit(k) for k in ("factual", "relational", "comparative", "fallback")]), F.col("kind"))
+    w = Window.partitionBy("document").orderBy(order, "chunk_index", "question")
     return both.unionByName(single).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= needed).select("document", "question", "answer", "kind")
 
 

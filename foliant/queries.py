@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from foliant.functions import text as T
 from foliant.operators import chunking, evaluation, graph, records, retrieval, state, units
 from foliant.plans import planner
-from foliant.session import table
+from foliant.session import cut, is_stored, keep, table
 from foliant.sources import corpus
 from foliant.streaming import events
 
@@ -59,6 +59,19 @@ def mentions(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "mentions").filter("mention_id IS NOT NULL").dropDuplicates(["mention_id"])
 
 
+_INDEXES: dict[tuple, retrieval.Index] = {}
+
+
+def index(s: SparkSession, d: str) -> retrieval.Index:
+    """The stored index of the chunks of ``d``, built once in an application as an ingest would."""
+    key = (s.sparkContext.applicationId, d)
+    held = _INDEXES.get(key)
+    if held is None or not all(map(is_stored, (held.postings, held.terms, held.lengths))):
+        held = _INDEXES[key] = retrieval.build_index(corpus.corpus(s, d))
+        keep(held.postings, held.terms, held.lengths)
+    return held
+
+
 CHUNKS = "(SELECT document, chunk_index, any_value(page) AS page, any_value(text) AS text, any_value(token_count) AS token_count, any_value(entities) AS entities, any_value(ocr_confidence) AS ocr_confidence FROM chunks WHERE document IS NOT NULL AND chunk_index IS NOT NULL GROUP BY document, chunk_index)"
 PAGES = "(SELECT document, page, any_value(raw_text) AS raw_text, any_value(ocr_confidence) AS ocr_confidence, any_value(extraction_method) AS extraction_method, any_value(blocks) AS blocks FROM pages WHERE document IS NOT NULL AND page IS NOT NULL GROUP BY document, page)"
 RESULTS = "(SELECT query_id, any_value(question) AS question, any_value(expected_document) AS expected_document, any_value(expected_page) AS expected_page, any_value(question_type) AS question_type, any_value(generated_answer) AS generated_answer, any_value(reference_answer) AS reference_answer, any_value(retrieved_top5) AS retrieved_top5, any_value(total_response_time_ms) AS total_response_time_ms FROM eval_results WHERE query_id IS NOT NULL GROUP BY query_id)"
@@ -105,7 +118,9 @@ def ingest_rollup(s, d):
     return corpus.ingest_rollup(corpus.page_table(s, d), corpus.corpus(s, d), table(s, d, "mentions"))
 
 
-@query(f"SELECT substr(sha256(array_to_string(list_sort(list(DISTINCT document)), '|') || '|chunks:' || count(*)), 1, 16) AS corpus_key, count(*) AS n_chunks FROM {CHUNKS}")
+@query(f"""
+    SELECT substr(sha256(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) || ':' || sum(CAST('0x' || substr(h, 17, 15) AS BIGINT)) || ':' || count(*) || '|chunks:' || CAST(sum(n) AS BIGINT)), 1, 16) AS corpus_key, CAST(sum(n) AS BIGINT) AS n_chunks
+    FROM (SELECT md5(document) AS h, count(*) AS n FROM {CHUNKS} GROUP BY document)""")
 def corpus_fingerprint(s, d):
     return corpus.fingerprint(corpus.corpus(s, d))
 
@@ -181,14 +196,36 @@ def token_counts(s, d):
 
 
 @query(rf"""
-    WITH titled AS (SELECT document, page, list_filter(list_transform(regexp_split_to_array(raw_text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 4 AND length(x) <= 140 AND regexp_matches(x, '{re_sql(T.SECTION)}'))[1] AS title FROM {PAGES})
+    WITH titled AS (SELECT document, page, list_filter(list_transform(regexp_split_to_array({_CLEAN}, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 4 AND length(x) <= 140 AND regexp_matches(x, '{re_sql(T.SECTION)}'))[1] AS title FROM {PAGES})
     SELECT document, page, last_value(title IGNORE NULLS) OVER (PARTITION BY document ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title FROM titled""")
 def section_carry(s, d):
-    w = Window.partitionBy("document").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
-    return corpus.page_table(s, d).select("document", "page", F.last(T.section_title(F.col("raw_text")), ignorenulls=True).over(w).alias("section_title"))
-
-
-@query()
+    return chunking.section_titles(corpus.page_table(s, d))
+
+
+_SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '([.!?])\s+([A-Z"‘’])', '\1' || chr(1) || '\2', 'g'), '\n\s*\n+', chr(10) || chr(1), 'g'), chr(1)),
+           lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
+_TOKENS = "CAST(greatest(1, floor(length({0}) / 4)) AS BIGINT)"
+_SUM = "coalesce(list_sum(list_transform({0}, lambda x: " + _TOKENS.format("x") + ")), 0)"
+CHUNK_SQL = f"""
+    WITH RECURSIVE clean AS (SELECT document, page, ocr_confidence, extraction_method, {_CLEAN} AS clean FROM {PAGES}),
+    each AS (SELECT document, page, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT document, page, {_SENTENCES.format('clean')} AS s FROM clean WHERE clean <> '')),
+    long AS (SELECT document, page, i, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS w FROM each WHERE {_TOKENS.format('x')} > 512),
+    runs(document, page, i, k, line, done) AS (
+        SELECT document, page, i, 0, '', CAST([] AS VARCHAR[]) FROM long
+        UNION ALL SELECT document, page, i, k + 1, CASE WHEN line <> '' AND length(line) + 1 + length(w[k + 1]) > 2048 OR line = '' THEN w[k + 1] ELSE line || ' ' || w[k + 1] END,
+            CASE WHEN line <> '' AND length(line) + 1 + length(w[k + 1]) > 2048 THEN list_append(done, line) ELSE done END FROM runs JOIN long USING (document, page, i) WHERE k < len(w)),
+    parts AS (SELECT document, page, i, [x] AS p FROM each WHERE {_TOKENS.format('x')} <= 512 UNION ALL SELECT document, page, i, list_append(done, line) FROM runs JOIN long USING (document, page, i) WHERE k = len(w)),
+    flat AS (SELECT document, page, flatten(list(p ORDER BY i)) AS p FROM parts GROUP BY ALL),
+    pack(document, page, k, own, done) AS (
+        SELECT document, page, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[][]) FROM flat
+        UNION ALL SELECT document, page, k + 1, list_append(CASE WHEN NOT is_full THEN own WHEN {_SUM.format('kept')} + {_TOKENS.format('nxt')} > 512 THEN [] ELSE kept END, nxt), CASE WHEN is_full THEN list_append(done, own) ELSE done END
+            FROM (SELECT *, len(own) > 0 AND {_SUM.format('own')} + {_TOKENS.format('nxt')} > 512 AS is_full, own[list_filter(range(1, len(own) + 2), lambda j: {_SUM.format('own[j:]')} <= 64)[1]:] AS kept FROM (SELECT document, page, k, own, done, p[k + 1] AS nxt, len(p) AS n FROM pack JOIN flat USING (document, page)) WHERE k < n)),
+    chunks_of AS (SELECT document, page, unnest(c) AS c, generate_subscripts(c, 1) AS pos FROM (SELECT document, page, list_append(done, own) AS c FROM pack JOIN flat USING (document, page) WHERE k = len(p)))
+    SELECT document, page, CAST(row_number() OVER (PARTITION BY document ORDER BY page, pos) - 1 AS INTEGER) AS chunk_index, array_to_string(c, ' ') AS text, CAST({_TOKENS.format("array_to_string(c, ' ')")} AS INTEGER) AS token_count, section_title, ocr_confidence, extraction_method
+    FROM chunks_of JOIN clean USING (document, page) JOIN ({ORACLE['section_carry']}) USING (document, page)"""
+
+
+@query(CHUNK_SQL)
 def chunk_fixed(s, d):
     return chunking.chunk_fixed(corpus.page_table(s, d))
 
@@ -198,7 +235,21 @@ def chunk_semantic(s, d):
     return chunking.chunk_semantic(corpus.page_table(s, d))
 
 
-@query()
+def _parts_sql(source: str, key: str) -> str:
+    """SQL of the parts of the texts (key, t) of ``source``: (key, part, text)."""
+    return f"""
+    WITH RECURSIVE lines AS (SELECT {key}, list_filter(list_transform(regexp_split_to_array(t, '\\r\\n|\\r|\\n'), lambda x: trim(x)), lambda x: x <> '') AS l FROM {source}),
+    pack({key}, k, own, done) AS (
+        SELECT {key}, 0, '', CAST([] AS VARCHAR[]) FROM lines
+        UNION ALL SELECT {key}, k + 1, CASE WHEN big THEN '' WHEN seed = '' THEN p ELSE seed || chr(10) || chr(10) || p END, CASE WHEN big THEN list_concat(held, cuts) ELSE held END
+            FROM (SELECT {key}, k, p, length(p) > 12000 AS big, CASE WHEN is_full THEN list_append(done, own) ELSE done END AS held, CASE WHEN is_full THEN CASE WHEN length(own) > 600 THEN right(own, 600) ELSE '' END ELSE own END AS seed,
+                         list_filter(list_transform(range(0, greatest(0, length(p) - 1) + 1, 11400), lambda i: trim(substr(p, i + 1, 12000))), lambda x: x <> '') AS cuts
+                  FROM (SELECT {key}, k, own, done, l[k + 1] AS p, own <> '' AND length(own) + length(l[k + 1]) + 2 > 12000 AS is_full FROM pack JOIN lines USING ({key}) WHERE k < len(l)))),
+    whole AS (SELECT {key}, CASE WHEN own <> '' THEN list_append(done, own) ELSE done END AS c FROM pack JOIN lines USING ({key}) WHERE k = len(l))
+    SELECT {key}, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS part, unnest(c) AS text FROM whole"""
+
+
+@query(_parts_sql("(SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL)", "doc_id"))
 def summary_parts(s, d):
     return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.posexplode(chunking.summary_parts(F.col("text"))).alias("part", "text"))
 
@@ -228,7 +279,21 @@ def extractive_summary(s, d):
     return table(s, d, "documents").filter("text IS NOT NULL").select("doc_id", F.md5(T.extractive_summary(F.col("text"))).alias("summary"))
 
 
-@query()
+def _extract_sql(source: str, keys: str) -> str:
+    """SQL of the extractive summaries s of the texts (keys, text) of ``source``."""
+    tidy = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ +| +$', '', 'g')"
+    return f"""(SELECT {keys}, CASE WHEN len(s) = 0 THEN substr(t, 1, 1200) ELSE array_to_string(s[1:2], ' ') || chr(10) || chr(10) || 'Key points:' || chr(10) || array_to_string(list_transform(CASE WHEN len(s) > 2 THEN s[3:8] ELSE s[1:6] END, lambda x: '- ' || x), chr(10)) END AS s
+        FROM (SELECT {keys}, t, {_LONG} AS s FROM (SELECT {keys}, {tidy} AS t FROM {source})))"""
+
+
+_BRIEF = f"""(SELECT document, page, chunk_index, CASE WHEN len(s) > 0 THEN array_to_string(s[1:4], ' ') ELSE substr(t, 1, 600) END AS brief
+    FROM (SELECT document, page, chunk_index, t, {_LONG} AS s FROM (SELECT document, page, chunk_index, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^ +| +$', '', 'g') AS t FROM {CHUNKS} WHERE text IS NOT NULL AND trim(text) <> '')))"""
+_BRIEF_PARTS = f"({_parts_sql(f'(SELECT document, string_agg(brief, chr(10) ORDER BY page, chunk_index) AS t FROM {_BRIEF} GROUP BY document)', 'document')})"
+
+
+@query(f"""
+    SELECT document, CASE WHEN n = 1 THEN a ELSE s END AS summary FROM (SELECT document, count(*) AS n, string_agg(s, chr(10) ORDER BY part) AS a FROM {_extract_sql(_BRIEF_PARTS, 'document, part')} GROUP BY document)
+    JOIN {_extract_sql("(SELECT document, string_agg(s, chr(10) ORDER BY part) AS text FROM " + _extract_sql(_BRIEF_PARTS, 'document, part') + " GROUP BY document)", 'document')} USING (document)""")
 def document_summary(s, d):
     return chunking.summarise_documents(corpus.corpus(s, d))
 
@@ -302,17 +367,14 @@ def question_tests(s, d):
 
 
 @query(f"""
-    WITH asked AS (SELECT query_id, regexp_extract(question, '\\b([A-Z]+/[0-9]+/[A-Z])\\b', 1) AS keyword FROM {RESULTS} WHERE query_id % 50 = 0 AND question IS NOT NULL),
+    WITH asked AS (SELECT query_id, trim(coalesce({_keyword_sql('question')}, regexp_extract(question, '\\b([A-Z]+/[0-9]+/[A-Z])\\b', 1))) AS keyword FROM {RESULTS} WHERE question IS NOT NULL),
     hits AS (SELECT query_id, document, page, chunk_index, row_number() OVER (PARTITION BY query_id, document, page ORDER BY chunk_index) AS r FROM asked JOIN {CHUNKS} c ON keyword <> '' AND contains(lower(c.text), lower(keyword))),
     first_hits AS (SELECT query_id, document, page, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY page, chunk_index, document) AS rank FROM hits WHERE r = 1)
     SELECT query_id, document, page, chunk_index, CAST(rank AS INTEGER) AS rank FROM first_hits WHERE rank <= 3""")
 def keyword_scan(s, d):
-    asked = stated(s, d).select("query_id", F.regexp_extract("question", r"\b([A-Z]+/[0-9]+/[A-Z])\b", 1).alias("keyword")).filter("keyword <> ''")
-    # codes are tokens of the text, so the scan is a join on the codes of the chunks, not a comparison of pairs
-    codes = corpus.corpus(s, d).select("document", "page", "chunk_index", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+/[0-9]+/[a-z]"), F.lit(0)))).alias("code"))
-    hits = asked.join(codes, F.lower("keyword") == F.col("code"))
-    first = hits.groupBy("query_id", "document", "page").agg(F.min("chunk_index").alias("chunk_index"))
-    return first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("page", "chunk_index", "document"))).filter("rank <= 3")
+    code = F.regexp_extract("question", r"\b([A-Z]+/[0-9]+/[A-Z])\b", 1)
+    asked = questions(s, d).select("query_id", F.coalesce(planner.keyword(F.col("question")), code).alias("keyword"))
+    return retrieval.keyword_scan(asked, corpus.corpus(s, d))
 
 
 # -- retrieval ------------------------------------------------------------------------------------
@@ -321,8 +383,7 @@ TF = f"(SELECT document, chunk_index, term, count(*) AS f FROM (SELECT document,
 
 @query(f"SELECT term, count(*) AS chunks, CAST(sum(f) AS BIGINT) AS total FROM {TF} GROUP BY term")
 def term_stats(s, d):
-    tf, _, _ = retrieval.build_index(corpus.corpus(s, d))
-    return tf.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("f").alias("total"))
+    return index(s, d).postings.groupBy("term").agg(F.count("*").alias("chunks"), F.sum("f").alias("total"))
 
 
 def bm25_sql(k: int) -> str:
@@ -341,7 +402,7 @@ def bm25_sql(k: int) -> str:
 
 @query(bm25_sql(10))
 def bm25_topk(s, d):
-    return retrieval.bm25(stated(s, d), corpus.corpus(s, d), 10)
+    return retrieval.bm25(stated(s, d), index(s, d), 10)
 
 
 DENSE_SQL = """
@@ -365,7 +426,7 @@ RRF_SQL = f"""
 
 def _page_lists(s, d) -> list[tuple[str, DataFrame]]:
     chunks = corpus.corpus(s, d)
-    found = retrieval.bm25(stated(s, d), chunks, 20).join(chunks.select("document", "chunk_index", "page"), ["document", "chunk_index"]).groupBy("query_id", "document", "page").agg(F.min("rank").alias("best"))
+    found = retrieval.bm25(stated(s, d), index(s, d), 20).join(chunks.select("document", "chunk_index", "page"), ["document", "chunk_index"]).groupBy("query_id", "document", "page").agg(F.min("rank").alias("best"))
     pages = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("best", "document", "page")))
     top = results(s, d).filter(F.col("query_id") % STATED == 0).select("query_id", F.posexplode("retrieved_top5").alias("i", "x")).filter("x.document IS NOT NULL").groupBy("query_id", "x.document", "x.page").agg((F.min("i") + 1).alias("rank"))
     return [("bm25", pages), ("stored", top)]
@@ -391,37 +452,76 @@ def graph_boost(s, d):
         FROM (SELECT query_id, document, chunk_index, {token_set_sql('question')} AS q, {token_set_sql('text')} AS c FROM ({bm25_sql(20)}) JOIN {CHUNKS} USING (document, chunk_index) JOIN (SELECT query_id, question FROM {RESULTS}) USING (query_id)))) WHERE rank <= 5""")
 def rerank_lexical(s, d):
     chunks, q = corpus.corpus(s, d), stated(s, d)
-    found = retrieval.bm25(q, chunks, 20).select("query_id", "document", "chunk_index").join(chunks.select("document", "chunk_index", "text"), ["document", "chunk_index"]).join(q, "query_id")
+    found = retrieval.bm25(q, index(s, d), 20).select("query_id", "document", "chunk_index").join(chunks.select("document", "chunk_index", "text"), ["document", "chunk_index"]).join(q, "query_id")
     return retrieval.lexical_rerank(found, 5).select("query_id", "document", "chunk_index", "score", "rank")
 
 
+def engine(s: SparkSession, d: str, graphed: bool = True):
+    from foliant.api import Engine
+
+    more = (mentions(s, d), table(s, d, "entities")) if graphed else ()
+    return Engine(s, corpus.corpus(s, d), *more, index=index(s, d))
+
+
 @query()
 def hybrid_answers(s, d):
-    from foliant.api import Engine
+    return engine(s, d).answer(stated(s, d))
 
-    return Engine(s, corpus.corpus(s, d), mentions(s, d), table(s, d, "entities")).answer(stated(s, d))
+
+_DIMS = "(SELECT {0}, place, sum(sign) AS x FROM (SELECT {0}, CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) AS place, CASE WHEN substr(md5(w), 3, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM (SELECT {0}, unnest(" + WORDS.format('{1}') + ") AS w FROM {2})) GROUP BY ALL)"
+_PLANNED = f"(SELECT * FROM ({ORACLE['retrieval_depths']}) JOIN ({CLASSIFIED}) USING (query_id) WHERE query_id % 50 = 0)"
+HYBRID_SQL = f"""
+    WITH plan AS {_PLANNED}, lexical AS ({bm25_sql(100)}),
+    cv AS {_DIMS.format('document, chunk_index', 'text', CHUNKS)}, qv AS {_DIMS.format('query_id', 'question', "(SELECT query_id, question FROM " + RESULTS + " WHERE query_id % 50 = 0 AND question IS NOT NULL)")},
+    cn AS (SELECT document, chunk_index, sqrt(sum(x * x)) AS n FROM cv GROUP BY ALL), qn AS (SELECT query_id, sqrt(sum(x * x)) AS n FROM qv GROUP BY ALL),
+    near AS (SELECT query_id, document, chunk_index, round(least(1.0, greatest(0.0, CASE WHEN any_value(cn.n) * any_value(qn.n) > 0 THEN sum(cv.x * qv.x) / (any_value(cn.n) * any_value(qn.n)) ELSE 0 END)), 4) AS score FROM qv JOIN cv USING (place) JOIN cn USING (document, chunk_index) JOIN qn USING (query_id) GROUP BY ALL),
+    dense AS (SELECT query_id, document, chunk_index, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, chunk_index) AS rank FROM near WHERE score > 0),
+    lists AS (SELECT query_id, document, chunk_index, rank FROM lexical JOIN plan USING (query_id) WHERE use_bm25 AND rank <= bm25_k UNION ALL SELECT query_id, document, chunk_index, rank FROM dense JOIN plan USING (query_id) WHERE use_dense AND rank <= dense_k),
+    fused AS (SELECT query_id, document, chunk_index, round(sum(1.0 / (60 + rank)), 6) AS score FROM lists GROUP BY ALL),
+    shown AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, chunk_index) AS r FROM fused WHERE score >= 0.005),
+    scored AS (SELECT query_id, document, chunk_index, least(top_k, rerank_window) AS most, round(1 / (1 + exp(-(4 * CASE WHEN len(q) = 0 THEN 0 ELSE len(list_intersect(q, c)) / len(q) END - 2))), 4) AS score
+        FROM (SELECT s.query_id, s.document, s.chunk_index, p.top_k, p.rerank_window, {token_set_sql('p.question')} AS q, {token_set_sql('c.text')} AS c FROM shown s JOIN plan p USING (query_id) JOIN {CHUNKS} c USING (document, chunk_index) WHERE s.r <= p.rerank_window))
+    SELECT query_id, document, chunk_index, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, chunk_index) AS rank FROM scored) WHERE rank <= most"""
+
+
+@query(HYBRID_SQL)
+def hybrid_hits(s, d):
+    return engine(s, d, graphed=False).retrieve(stated(s, d)).select("query_id", "document", "chunk_index", "score", "rank")
 
 
 @query()
 def adaptive_retrieval(s, d):
-    chunks, q = corpus.corpus(s, d), stated(s, d)
-    return retrieval.adaptive(lambda k: retrieval.bm25(q, chunks, k), lambda r: r.select("document").distinct().count(), 20)
+    from foliant.operators import reasoning
+
+    chunks, held = corpus.corpus(s, d), index(s, d)
+    search = lambda q, k: retrieval.bm25(q, held, k).join(chunks.select("document", "chunk_index", "page", "text"), ["document", "chunk_index"])
+    measure = lambda r: reasoning.evidence_records(r).groupBy("query_id").agg(F.countDistinct(F.lower("entity")).alias("m"))
+    kind = planner.classify(stated(s, d))
+    deepen = (F.col("query_type") == "RANKING") | ((F.col("query_scope") == "GLOBAL") & F.col("query_type").isin("AGGREGATION", "COUNTING"))
+    return retrieval.adaptive(search, measure, cut(kind.select("query_id", "question", deepen.alias("deepen")), "stated")).select("query_id", "document", "chunk_index", "score", "rank")
 
 
 @query(f"""
     WITH shallow AS (SELECT * FROM ({bm25_sql(5)})), deep AS (SELECT * FROM ({bm25_sql(10)}))
     SELECT query_id, document, chunk_index, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, document, chunk_index) AS INTEGER) AS rank FROM (SELECT query_id, document, chunk_index, score FROM shallow UNION SELECT query_id, document, chunk_index, score FROM deep)""")
 def iterative_merge(s, d):
-    chunks, q = corpus.corpus(s, d), stated(s, d)
-    return retrieval.merge_new(retrieval.bm25(q, chunks, 5), retrieval.bm25(q, chunks, 10), ["document", "chunk_index"])
+    q, held = stated(s, d), index(s, d)
+    return retrieval.merge_new(retrieval.bm25(q, held, 5), retrieval.bm25(q, held, 10), ["document", "chunk_index"])
 
 
 # -- the graph ------------------------------------------------------------------------------------
+_NUM = r"(?i)([-+]?\d[\d,]*(?:\.\d+)?)\s*(k|m|b|thousand|million|billion|trillion)?\b"
+_FACTOR = "CASE lower({0}) " + " ".join(f"WHEN '{k}' THEN {v:.1f}" for k, v in T.MULTIPLIERS.items()) + " ELSE 1.0 END"
+
+
+_NUMBER_SQL = f"""CASE WHEN label IN ({", ".join(f"'{x}'" for x in T.NUMERIC_LABELS)}) AND regexp_extract(text, '{_NUM}', 1) <> '' THEN TRY_CAST(regexp_replace(regexp_extract(text, '{_NUM}', 1), '[^0-9.+-]', '', 'g') AS DOUBLE) * {_FACTOR.format(f"regexp_extract(text, '{_NUM}', 2)")} END"""
+
+
 @query(f"""
-    SELECT entity_id, arg_max(label, mention_id) AS label, arg_max(text, mention_id) AS name, max(confidence) AS confidence, array_to_string(list_sort(list(DISTINCT text)), '|') AS spellings
-    FROM {MENTIONS} WHERE entity_id IS NOT NULL GROUP BY entity_id""")
+    SELECT entity_id, arg_max(label, mention_id) AS label, arg_max(text, mention_id) AS name, max(confidence) AS confidence, array_to_string(list_sort(list(DISTINCT text)), '|') AS spellings, round(arg_max(number, mention_id) FILTER (number IS NOT NULL), 4) AS numeric_value
+    FROM (SELECT *, {_NUMBER_SQL} AS number FROM {MENTIONS}) WHERE entity_id IS NOT NULL GROUP BY entity_id""")
 def entity_merge(s, d):
-    return graph.merge_entities(mentions(s, d)).drop("numeric_value")
+    return graph.merge_entities(mentions(s, d)).withColumn("numeric_value", F.round("numeric_value", 4))
 
 
 @query(f"SELECT mention_id FROM (SELECT mention_id, row_number() OVER (PARTITION BY entity_id, lower(text), document, page, chunk_index ORDER BY mention_id) AS r FROM {MENTIONS}) WHERE r = 1")
@@ -442,10 +542,6 @@ def entity_normalise(s, d):
     return mentions(s, d).filter("text IS NOT NULL AND label IS NOT NULL").select("mention_id", norm.alias("norm"), T.entity_key(F.col("label"), norm).alias("entity_key"))
 
 
-_NUM = r"(?i)([-+]?\d[\d,]*(?:\.\d+)?)\s*(k|m|b|thousand|million|billion|trillion)?\b"
-_FACTOR = "CASE lower({0}) " + " ".join(f"WHEN '{k}' THEN {v:.1f}" for k, v in T.MULTIPLIERS.items()) + " ELSE 1.0 END"
-
-
 @query(f"""
     SELECT mention_id, round(TRY_CAST(regexp_replace(regexp_extract(text, '{_NUM}', 1), '[^0-9.+-]', '', 'g') AS DOUBLE) * {_FACTOR.format(f"regexp_extract(text, '{_NUM}', 2)")}, 4) AS number
     FROM {MENTIONS} WHERE label IN ({", ".join(f"'{x}'" for x in T.NUMERIC_LABELS)}) AND regexp_extract(text, '{_NUM}', 1) <> ''""")
@@ -454,12 +550,6 @@ def entity_numbers(s, d):
     return mentions(s, d).select("mention_id", F.round(n, 4).alias("number")).filter("number IS NOT NULL")
 
 
-@query(f"SELECT label, count(*) AS n FROM entities WHERE label IN ({', '.join(repr(x) for x in graph.ENTITY_TYPES)}) GROUP BY label")
-def entity_whitelist(s, d):
-    kept, _ = graph.whitelist(table(s, d, "entities"), s.createDataFrame([], "source_id string, target_id string, type string"))
-    return kept.groupBy("label").agg(F.count("*").alias("n"))
-
-
 @query("SELECT entity_id FROM entities WHERE contains(lower(name), 'engineering') OR coalesce(len(list_filter(aliases, lambda a: contains(lower(a), 'engineering'))), 0) > 0")
 def entity_search(s, d):
     e = table(s, d, "entities")
@@ -474,12 +564,7 @@ def entity_search(s, d):
 def entity_search_batch(s, d):
     e = table(s, d, "entities")
     asked = e.filter(F.col("label").isin("COMPANY", "PERSON") & (F.length("name") >= 3)).select(F.col("entity_id").alias("query_id"), F.col("name").alias("query"))
-    # names here are whole names, so their first word is no type word to strip
-    q = asked.select("query_id", F.lower("query").alias("q")).distinct().withColumn("head", F.substring("q", 1, 3))
-    names = e.select("entity_id", "confidence", F.explode(F.array_distinct(F.filter(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))), lambda x: x.isNotNull()))).alias("n")).withColumn("n", F.lower("n")).withColumn("head", F.substring("n", 1, 3))
-    hits = q.join(names, "head").filter(F.col("n").startswith(F.col("q"))).groupBy("query_id", "entity_id").agg(F.max("confidence").alias("confidence"))
-    w = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("confidence"), "entity_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter("rank <= 10").select("query_id", "entity_id", "rank")
+    return graph.search_batch(asked, e)
 
 
 EDGES = """(
@@ -527,6 +612,50 @@ def neighbours_3(s, d):
     return _neighbours(s, d, 3)
 
 
+_TYPES_SQL = ", ".join(f"'{x}'" for x in graph.ENTITY_TYPES)
+
+
+@query(f"""
+    SELECT 'entity' AS kind, label AS name, count(*) AS n FROM {VERTICES} WHERE label IN ({_TYPES_SQL}) AND label <> 'REGION' GROUP BY label
+    UNION ALL SELECT 'relation', type, count(*) FROM {EDGES} WHERE source_id NOT LIKE 'region:%' AND target_id NOT LIKE 'region:%' GROUP BY type""")
+def entity_whitelist(s, d):
+    v = vertices(s, d).withColumn("label", F.when(F.col("label") == "REGION", "CONTINENT").otherwise(F.col("label")))
+    known, kept = graph.whitelist(v, edges(s, d).withColumn("type", F.col("type")).unionByName(edges(s, d).withColumn("type", F.lit("NEAR"))))
+    one = lambda df, kind, c: df.groupBy(F.lit(kind).alias("kind"), F.col(c).alias("name")).agg(F.count("*").alias("n"))
+    return one(known, "entity", "label").union(one(kept, "relation", "type"))
+
+
+@query(f"""
+    WITH near AS ({_neighbours_sql(2)}), all_v AS (SELECT root, entity_id, hops FROM near UNION SELECT entity_id, entity_id, 0 FROM {VERTICES} WHERE label = 'REGION')
+    SELECT a.root, e.source_id, e.target_id, e.type FROM (SELECT DISTINCT source_id, target_id, type FROM {EDGES}) e JOIN all_v a ON a.entity_id = e.source_id JOIN all_v b ON b.entity_id = e.target_id AND b.root = a.root WHERE least(a.hops, b.hops) < 2""")
+def neighbourhood_edges(s, d):
+    return graph.neighbourhood(vertices(s, d).filter("label = 'REGION'"), edges(s, d), 2)[1]
+
+
+@query(f"SELECT root, entity_id, hops FROM (SELECT *, row_number() OVER (PARTITION BY root ORDER BY hops, entity_id) AS r FROM ({_neighbours_sql(2)})) WHERE r <= 40")
+def neighbourhood_limited(s, d):
+    return graph.neighbourhood(vertices(s, d).filter("label = 'REGION'"), edges(s, d), 2, 40)[0]
+
+
+@query(f"SELECT document, entity_id, page, chunk_index, text, max(confidence) AS confidence FROM {MENTIONS} WHERE document IS NOT NULL AND entity_id IS NOT NULL GROUP BY ALL")
+def mention_edges(s, d):
+    return graph.merge_mentions(mentions(s, d))
+
+
+@query(f"""
+    SELECT source_id, target_id, type, document, CASE WHEN source_id LIKE 'customer:1%' THEN 0.5 ELSE confidence END AS confidence FROM (SELECT DISTINCT source_id, target_id, type, 'tables' AS document, confidence FROM {EDGES})
+    UNION ALL SELECT source_id, target_id, type, 'other', 0.5 FROM (SELECT DISTINCT source_id, target_id, type FROM {EDGES} WHERE source_id LIKE 'customer:1%')""")
+def relation_merge(s, d):
+    one = edges(s, d).withColumn("document", F.lit("tables"))
+    new = one.filter("source_id LIKE 'customer:1%'").withColumn("confidence", F.lit(0.5))
+    return graph.merge_relations(graph.merge_relations(one.dropDuplicates(), new), new.withColumn("document", F.lit("other")))
+
+
+@query(f"SELECT DISTINCT source_id, target_id, type, a.name AS source_name, b.name AS target_name, e.confidence FROM {EDGES} e JOIN {VERTICES} a ON a.entity_id = source_id JOIN {VERTICES} b ON b.entity_id = target_id WHERE target_id = 'nation:3'")
+def facts_to(s, d):
+    return graph.facts(edges(s, d), vertices(s, d).withColumn("aliases", F.lit(None).cast("array<string>")), target="nation:3")
+
+
 @query(f"SELECT DISTINCT source_id, target_id, type, a.name AS source_name, b.name AS target_name, e.confidence FROM {EDGES} e JOIN {VERTICES} a ON a.entity_id = source_id JOIN {VERTICES} b ON b.entity_id = target_id WHERE type = 'LOCATED_IN'")
 def relationship_facts(s, d):
     return graph.facts(edges(s, d), vertices(s, d).withColumn("aliases", F.lit(None).cast("array<string>")), ["LOCATED_IN"])
@@ -643,8 +772,9 @@ def numeric_filter(s, d):
 
 
 @query(f"""
-    SELECT entity_type, count(DISTINCT entity) AS n FROM {_DEDUPED} WHERE entity_type IN ('project', 'invoice') GROUP BY entity_type
-    UNION ALL SELECT 'employee', count(DISTINCT l_suppkey) FROM lineitem UNION ALL SELECT 'contract', count(DISTINCT l_suppkey % 40) FROM lineitem""")
+    SELECT entity_type, count(DISTINCT entity) AS n, array_to_string(list_sort(list(DISTINCT entity))[1:100], ', ') AS names FROM (
+        SELECT entity_type, entity FROM {_DEDUPED} WHERE entity_type IN ('project', 'invoice')
+        UNION ALL SELECT 'employee', 'EMP-' || l_suppkey FROM lineitem UNION ALL SELECT 'contract', 'CX-' || (l_suppkey % 40) FROM lineitem) GROUP BY entity_type""")
 def entity_counts(s, d):
     f = facts(s, d)
     return records.count_entities(records.metric_records(f), f)
@@ -669,10 +799,10 @@ def bridging_entities(s, d):
 
 @query(f"""
     WITH asked AS (SELECT query_id, unnest(l) AS name, generate_subscripts(l, 1) AS pos FROM (SELECT query_id, list_distinct(regexp_extract_all(question, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1)) AS l FROM {RESULTS} WHERE query_id % 50 = 0 AND question IS NOT NULL)),
-    hits AS (SELECT query_id, name, count(DISTINCT (document, chunk_index)) AS n FROM asked JOIN {_NAMED} USING (name) GROUP BY ALL)
-    SELECT a.query_id, least(a.name, b.name) AS first_name, greatest(a.name, b.name) AS second_name, a.n + b.n AS chunks FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.name < b.name""")
+    hits AS (SELECT query_id, name, count(DISTINCT (document, chunk_index)) AS n, arg_min(substr(text, 1, 200), (document, page, chunk_index)) AS said FROM asked JOIN {_NAMED} USING (name) JOIN (SELECT document, chunk_index, text FROM {CHUNKS}) USING (document, chunk_index) GROUP BY ALL)
+    SELECT a.query_id, least(a.name, b.name) AS first_name, greatest(a.name, b.name) AS second_name, a.n + b.n AS chunks, least(a.said, b.said) AS evidence FROM hits a JOIN hits b ON a.query_id = b.query_id AND a.name < b.name""")
 def compare_pairs(s, d):
-    return records.compare(stated(s, d), corpus.corpus(s, d)).select("query_id", F.least("entity_a", "entity_b").alias("first_name"), F.greatest("entity_a", "entity_b").alias("second_name"), (F.col("a_chunks") + F.col("b_chunks")).alias("chunks"))
+    return records.compare(stated(s, d), corpus.corpus(s, d)).select("query_id", F.least("entity_a", "entity_b").alias("first_name"), F.greatest("entity_a", "entity_b").alias("second_name"), (F.col("a_chunks") + F.col("b_chunks")).alias("chunks"), F.array_min(F.split("evidence", " / ", 2)).alias("evidence"))
 
 
 @query(f"""
@@ -682,7 +812,16 @@ def query_entities(s, d):
     return graph.query_entities(q).distinct()
 
 
-@query()
+_ANY_NUMBER = r"(?i)[$€£₹¥]?\s*(\d[\d,]*(?:\.\d+)?)\s*(?:(%|percent|thousand|million|billion|trillion|k|m|b)\b)?"
+_ANY_NAME = r"\b([A-Z]{2,}-\d+|[A-Z][A-Za-z0-9_-]*(?:\s+[A-Z][A-Za-z0-9_-]*){0,5})\b"
+
+
+@query(f"""
+    WITH cuts AS (SELECT document, page, chunk_index, text AS t, string_split(regexp_replace(text, '({_ANY_NUMBER[4:]})', '\\1' || chr(1), 'gi'), chr(1)) AS p FROM {FACTS}),
+    each AS (SELECT document, page, chunk_index, t, CAST(i - 1 AS INTEGER) AS pos, regexp_extract(p[i], '{_ANY_NUMBER}$', 0) AS m, regexp_extract(p[i], '{_ANY_NUMBER}$', 1) AS n, regexp_extract(p[i], '{_ANY_NUMBER}$', 2) AS u, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) AS BIGINT) AS fin FROM (SELECT *, unnest(range(1, len(p))) AS i FROM cuts)),
+    near AS (SELECT *, greatest(0, fin - length(m) - 30) AS low FROM each),
+    told AS (SELECT document, page, chunk_index, pos, n, u, list_extract(regexp_extract_all(substr(t, low + 1, fin - length(m) - low), '{_ANY_NAME}', 1), -1) AS entity, lower(regexp_extract(substr(t, low + 1, fin + 30 - low), '(?i)\\b(revenue|sales|amount|cost|profit|transactions?|count)\\b', 1)) AS metric FROM near)
+    SELECT entity, 'generic' AS entity_type, metric, CAST(replace(n, ',', '') AS DOUBLE) * {_FACTOR.format('u')} AS value, document, page, chunk_index, 0.6 AS confidence, pos FROM told WHERE entity IS NOT NULL AND metric <> ''""")
 def generic_records(s, d):
     return records.generic_records(facts(s, d))
 
@@ -700,10 +839,13 @@ def ranked_answers(s, d):
     return records.ranked_answer(records.rank(records.metric_records(facts(s, d)), 5))
 
 
-@query()
+@query(f"""
+    SELECT query_id, 'No answer was written; these passages fit best:' || chr(10) || string_agg('- ' || document || ', page ' || coalesce(CAST(page AS VARCHAR), '?') || ': ' || CASE WHEN length(t) > 500 THEN regexp_replace(substr(t, 1, 500), '\\s+\\S*$', '') || ' …' ELSE t END, chr(10) ORDER BY rank) AS answer,
+           least(0.45, greatest(max(score) FILTER (rank = 1), 0.2)) AS confidence
+    FROM (SELECT h.query_id, h.document, c.page, h.score, h.rank, trim(regexp_replace(c.text, '\\s+', ' ', 'g')) AS t FROM ({bm25_sql(3)}) h JOIN {CHUNKS} c USING (document, chunk_index)) GROUP BY query_id""")
 def fallback_answers(s, d):
     chunks = corpus.corpus(s, d)
-    hits = retrieval.bm25(stated(s, d), chunks, 3).join(chunks.select("document", "chunk_index", "page", "text"), ["document", "chunk_index"])
+    hits = retrieval.bm25(stated(s, d), index(s, d), 3).join(chunks.select("document", "chunk_index", "page", "text"), ["document", "chunk_index"])
     return records.fallback_answer(hits)
 
 
@@ -829,6 +971,36 @@ def eval_by_type(s, d):
     return evaluation.report(evaluation.ranks(results(s, d)), ["question_type"])
 
 
+def grounded(s, d):
+    rows = results(s, d).withColumn("contexts", F.array("reference_answer"))
+    base = evaluation.grounding(rows.select("query_id", F.col("generated_answer").alias("answer"), "contexts", (F.col("question_type") == "relational").alias("from_graph")))
+    return base.join(rows.select("query_id", evaluation.answer_similarity(F.col("generated_answer"), F.col("reference_answer")).alias("similarity")), "query_id")
+
+
+_SAID = "list_filter(list_transform(regexp_split_to_array(coalesce(generated_answer, ''), '[.!?]'), lambda x: trim(x)), lambda x: length(x) > 10)"
+_GROUNDED = f"""(
+    SELECT query_id, f AS faithfulness, f < 0.3 AS unsupported, coverage, similarity, question_type = 'relational' AND coalesce(regexp_matches(generated_answer, '{evaluation.SPECULATIVE}'), false) AS speculative
+    FROM (SELECT query_id, question_type, generated_answer, round(CASE WHEN len(a) = 0 THEN 0.0 ELSE len(list_intersect(a, r)) / len(a) END, 4) AS f,
+                 CASE WHEN len(s) = 0 THEN 1.0 ELSE round(len(list_filter(s, lambda x: len(list_intersect({token_set_sql('x')}, r)) >= 3)) / len(s), 4) END AS coverage,
+                 CASE WHEN trim(coalesce(reference_answer, '')) = '' THEN 0.0 ELSE round(CASE WHEN least(len(a), len(r)) > 0 THEN len(list_intersect(a, r)) / least(len(a), len(r)) ELSE 0.0 END, 4) END AS similarity
+          FROM (SELECT *, {token_set_sql('generated_answer')} AS a, {token_set_sql('reference_answer')} AS r, {_SAID} AS s FROM {RESULTS})))"""
+
+
+@query(f"""
+    SELECT question_type, count(*) AS n, round(avg(faithfulness), 4) AS mean_faithfulness, round(avg(coverage), 4) AS mean_coverage, round(avg(CAST(unsupported AS INTEGER)), 4) AS unsupported_rate, round(avg(CAST(speculative AS INTEGER)), 4) AS speculative_rate, round(avg(hit_3), 4) AS recall_at_3
+    FROM {RANKS} JOIN {_GROUNDED} USING (query_id) GROUP BY question_type""")
+def grounding_by_type(s, d):
+    return evaluation.grounding_summary(evaluation.ranks(results(s, d)), grounded(s, d))
+
+
+@query(f"""
+    SELECT {_REPORT}, round(avg(faithfulness), 4) AS mean_faithfulness, round(avg(coverage), 4) AS mean_coverage, round(avg(similarity), 4) AS mean_similarity, round(avg(CAST(unsupported AS INTEGER)), 4) AS unsupported_rate, round(avg(CAST(speculative AS INTEGER)), 4) AS speculative_rate,
+           round(avg(total_response_time_ms), 3) AS mean_total_response_time_ms
+    FROM {RANKS} JOIN {_GROUNDED} USING (query_id) JOIN (SELECT query_id, total_response_time_ms FROM {RESULTS}) USING (query_id)""")
+def eval_whole_report(s, d):
+    return evaluation.whole_report(evaluation.ranks(results(s, d)), grounded(s, d), results(s, d).select("query_id", "total_response_time_ms"))
+
+
 _SETS = f"(SELECT query_id, {token_set_sql('generated_answer')} AS a, {token_set_sql('reference_answer')} AS r FROM {RESULTS})"
 
 
@@ -872,7 +1044,17 @@ def fallback_pool(s, d):
     return evaluation.fallback_questions(corpus.corpus(s, d))
 
 
-@query()
+_POOL = f"(SELECT query_id, expected_document, question, {token_set_sql('question')} AS w FROM {RESULTS} WHERE question IS NOT NULL)"
+
+
+@query(f"""
+    WITH RECURSIVE q AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY query_id) AS i FROM {_POOL} WHERE len(w) > 0),
+    near AS MATERIALIZED (SELECT b.i, list(a.i) AS early FROM q a JOIN q b ON a.i < b.i WHERE len(list_intersect(a.w, b.w)) / least(len(a.w), len(b.w)) >= 0.6 GROUP BY b.i),
+    go(i, query_id, fresh, kept) AS (
+        SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), false, CAST([] AS BIGINT[])
+        UNION ALL SELECT i, query_id, fresh, CASE WHEN fresh THEN list_append(kept, i) ELSE kept END
+            FROM (SELECT q.i, q.query_id, kept, near.i IS NULL OR NOT list_has_any(kept, near.early) AS fresh FROM go JOIN q ON q.i = go.i + 1 LEFT JOIN near ON near.i = q.i))
+    SELECT expected_document AS block, query_id AS question_id, question FROM {_POOL} WHERE len(w) = 0 OR query_id IN (SELECT query_id FROM go WHERE fresh)""")
 def question_pool(s, d):
     q = results(s, d).filter("question IS NOT NULL")
     return evaluation.distinct_questions(q.select(F.col("expected_document").alias("block"), F.col("query_id").alias("question_id"), "question"), whole=True)
@@ -886,11 +1068,16 @@ def answer_confidence(s, d):
 
 
 @query(f"""
-    SELECT document, question, answer, kind FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY kind, chunk_index) AS r FROM (
-        SELECT document, chunk_index, 'How do chunks ' || chunk_index || ' and ' || next_index || ' of ' || document || ' differ?' AS question, '' AS answer, 'comparative' AS kind FROM ({ORACLE['adjacent_chunks']})
+    WITH named AS (SELECT document, chunk_index, entity_id, arg_min(text, mention_id) AS text, min(mention_id) AS first FROM {MENTIONS} WHERE document IS NOT NULL AND chunk_index IS NOT NULL AND text IS NOT NULL AND trim(text) <> '' GROUP BY ALL),
+    two AS (SELECT document, chunk_index, list(text ORDER BY first) AS t FROM named GROUP BY ALL HAVING count(*) >= 2),
+    related AS (SELECT document, chunk_index, t FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY chunk_index) AS r FROM two) WHERE r <= 3)
+    SELECT document, question, answer, kind FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY list_position(['factual', 'relational', 'comparative', 'fallback'], kind), chunk_index, question) AS r FROM (
+        SELECT document, chunk_index, 'How are ' || t[1] || ' and ' || t[2] || ' related in ' || document || '?' AS question, '' AS answer, 'relational' AS kind FROM related WHERE document IN (SELECT document FROM {CHUNKS})
+        UNION ALL SELECT document, chunk_index, 'How do chunks ' || chunk_index || ' and ' || next_index || ' of ' || document || ' differ?' AS question, '' AS answer, 'comparative' AS kind FROM ({ORACLE['adjacent_chunks']})
         UNION ALL SELECT document, chunk_index, question, answer, 'fallback' FROM ({ORACLE['fallback_pool']}))) WHERE r <= 10""")
 def evaluation_pool(s, d):
-    return evaluation.question_pool(corpus.corpus(s, d))
+    chunks = corpus.corpus(s, d)
+    return evaluation.question_pool(chunks, mentions=mentions(s, d).join(chunks.select("document").distinct(), "document", "left_semi"))
 
 
 @query(f"SELECT response_id, coalesce(round(latency_ms, 3), 0.0) AS answer_ms, CAST(0.0 AS DOUBLE) AS embed_ms, round(coalesce(latency_ms, 0.0), 3) AS total_ms FROM {RESPONSES}")
@@ -909,7 +1096,15 @@ def cache_snapshot(s, d):
     return corpus.snapshot(cache(s, d), "cache").groupBy("corpus_key").agg(F.count("*").alias("n"))
 
 
-@query()
+_MET = f"(SELECT DISTINCT entity_id, document, page, chunk_index FROM {MENTIONS} WHERE label IN ('PERSON', 'COMPANY', 'EXECUTIVE') AND entity_id IS NOT NULL AND document IS NOT NULL AND chunk_index IS NOT NULL)"
+
+
+@query(f"""
+    WITH place AS {_MET}, asked AS (SELECT entity_id AS query_id, entity_id FROM entities WHERE label IN ('PERSON', 'COMPANY')),
+    met AS (SELECT DISTINCT query_id, document, page, chunk_index FROM asked JOIN place USING (entity_id)),
+    wide AS (SELECT DISTINCT query_id, p.entity_id FROM met m JOIN place p ON m.document = p.document AND m.chunk_index = p.chunk_index AND m.page IS NOT DISTINCT FROM p.page UNION SELECT query_id, entity_id FROM asked),
+    hits AS (SELECT query_id, document, page, chunk_index, count(DISTINCT entity_id) AS hits FROM wide JOIN place USING (entity_id) GROUP BY ALL)
+    SELECT query_id, document, page, chunk_index, hits, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hits DESC, document, page, chunk_index) AS rank FROM hits) WHERE rank <= 12""")
 def graph_retrieval(s, d):
     asked = table(s, d, "entities").filter(F.col("label").isin("PERSON", "COMPANY")).select(F.col("entity_id").alias("query_id"), "entity_id")
     # entities met in one chunk are neighbours

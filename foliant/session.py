@@ -56,19 +56,40 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="foliant-"))
         at = spark.sparkContext.getCheckpointDir()
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends in files that
-    outlive any executor, and nothing upstream runs twice."""
+def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, partitioned ``by`` columns, and read it back: lineage
+    ends in files that outlive any executor, and nothing upstream runs twice."""
     path = f"{shared_dir(df.sparkSession)}/foliant-{name}-{uuid.uuid4().hex}"
     sc = df.sparkSession.sparkContext
     sc._foliant_written = [*getattr(sc, "_foliant_written", []), path]
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(*by) if by else writer).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+    stored._foliant_path = path
+    return stored
+
+
+def is_stored(df: DataFrame) -> bool:
+    """Whether the table ``df`` was cut to is still there."""
+    path, sc = getattr(df, "_foliant_path", None), df.sparkSession.sparkContext
+    if path is None:
+        return False
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).exists(at)
+
+
+def keep(*tables: DataFrame) -> None:
+    """These tables stay when others are swept: a stored index, say."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        sc._foliant_written = [p for p in getattr(sc, "_foliant_written", []) if p != getattr(df, "_foliant_path", None)]
 
 
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:

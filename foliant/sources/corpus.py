@@ -95,28 +95,38 @@ def mean_3(x: Column) -> Column:
 
 
 def document_info(chunks: DataFrame) -> DataFrame:
-    """Rollup of each document: chunks, pages, mean confidence (unknown counts 1), entities."""
+    """Rollup of each document: chunks, pages, mean confidence (unknown counts 1), entities, and
+    the first summary that is not blank, if chunks have any."""
     return chunks.groupBy("document").agg(
         F.count("*").alias("n_chunks"),
         F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ",").alias("pages"),
         mean_3(F.coalesce("ocr_confidence", F.lit(1.0))).alias("avg_confidence"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.coalesce("entities", F.array().cast("array<string>")))))).alias("n_entities"),
+        *([F.min_by("summary", F.when(F.trim("summary") != "", F.struct("page", "chunk_index"))).alias("summary")] if "summary" in chunks.columns else []),
     )
 
 
-def ingest_rollup(pages: DataFrame, chunks: DataFrame, mentions: DataFrame) -> DataFrame:
-    """What an ingest reports for each document."""
+def ingest_rollup(pages: DataFrame, chunks: DataFrame, mentions: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """What an ingest reports for each document; relations are those edges (.., document) state."""
     p = pages.groupBy("document").agg(F.count("*").alias("pages"), mean_3(F.col("ocr_confidence")).alias("ocr_confidence"), F.array_join(F.sort_array(F.collect_set("extraction_method")), "+").alias("methods"))
     c = chunks.groupBy("document").agg(F.count("*").alias("chunks"))
     m = mentions.filter("document IS NOT NULL").groupBy("document").agg(F.countDistinct("entity_id").alias("entities"))
     zero = lambda name: F.coalesce(name, F.lit(0)).alias(name)
-    return p.join(c, "document", "left").join(m, "document", "left").select("document", "pages", "ocr_confidence", "methods", zero("chunks"), zero("entities"))
+    out = p.join(c, "document", "left").join(m, "document", "left").select("document", "pages", "ocr_confidence", "methods", zero("chunks"), zero("entities"))
+    if edges is None:
+        return out
+    r = edges.select("source_id", "target_id", "type", "document").distinct().groupBy("document").agg(F.count("*").alias("relations"))
+    return out.join(r, "document", "left").withColumn("relations", F.coalesce("relations", F.lit(0)))
 
 
 def fingerprint(chunks: DataFrame) -> DataFrame:
-    """Key of the corpus: its document names and number of chunks; not its content."""
-    names = F.array_join(F.sort_array(F.collect_set("document")), "|")
-    return chunks.agg(F.substring(F.sha2(F.concat(names, F.lit("|chunks:"), F.count("*").cast("string")), 256), 1, 16).alias("corpus_key"), F.count("*").alias("n_chunks"))
+    """Key of the corpus: its document names and number of chunks; not its content. The names
+    count by sums of their hashes, so they are never gathered or sorted."""
+    part = lambda at: F.sum(F.conv(F.substring(F.md5("document"), at, 15), 16, 10).cast("decimal(38,0)"))
+    names = chunks.groupBy("document").agg(F.count("*").alias("n")).agg(part(1).alias("a"), part(17).alias("b"), F.count("*").alias("d"), F.sum("n").alias("n_chunks"))
+    told = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("0")) for c in ("a", "b", "d")])
+    n = F.coalesce("n_chunks", F.lit(0))
+    return names.select(F.substring(F.sha2(F.concat(told, F.lit("|chunks:"), n.cast("string")), 256), 1, 16).alias("corpus_key"), n.alias("n_chunks"))
 
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
@@ -160,6 +170,40 @@ def extract_pages(files: DataFrame, extractors: list) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, PAGE_SCHEMA)
 
 
-def snapshot(state: DataFrame, name: str) -> DataFrame:
-    """Persist a state table in the shared folder and return it as stored."""
-    return cut(state, name)
+def snapshot(state: DataFrame, name: str, ttl: int = 0) -> DataFrame:
+    """Persist a state table in the shared folder and return it as stored, less what is older
+    than ``ttl`` seconds when it is read; 0 keeps all."""
+    stored = cut(state, name)
+    return stored if ttl <= 0 else stored.filter(F.col("created_at") >= F.current_timestamp() - F.make_interval(secs=F.lit(ttl)))
+
+
+class KeyValues:
+    """A table of keys and values with expiry: (key, value, expires_at). What is set last counts;
+    the table is replaced as a whole by each call, so a reader never sees half of one."""
+
+    def __init__(self, rows: DataFrame) -> None:
+        self.rows = rows
+
+    def set(self, rows: DataFrame, now: Column, ttl: int = 0) -> None:
+        """Set (key, value); they expire ``ttl`` seconds after ``now``, 0 never."""
+        new = rows.select("key", "value", (F.timestamp_micros(F.unix_micros(now) + ttl * 1_000_000) if ttl > 0 else F.lit(None).cast("timestamp")).alias("expires_at"))
+        self.rows = cut(self.rows.join(new.select("key"), "key", "left_anti").unionByName(new), "keys")
+
+    def live(self, now: Column) -> DataFrame:
+        return self.rows.filter(F.col("expires_at").isNull() | (F.col("expires_at") > now))
+
+    def get(self, keys: DataFrame, now: Column) -> DataFrame:
+        """(key, value) of asked keys that are set and live."""
+        return keys.select("key").distinct().join(self.live(now).select("key", "value"), "key")
+
+    def keys(self, pattern: str, now: Column) -> DataFrame:
+        """Live keys that fit a pattern, in which * stands for anything."""
+        like = pattern.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_").replace("*", "%")
+        return self.live(now).filter(F.col("key").like(like)).select("key")
+
+    def ttl(self, now: Column) -> DataFrame:
+        """(key, seconds): how long keys that expire still live."""
+        return self.live(now).filter("expires_at IS NOT NULL").select("key", F.floor((F.unix_micros("expires_at") - F.unix_micros(now)) / 1e6).cast("bigint").alias("seconds"))
+
+    def delete(self, keys: DataFrame) -> None:
+        self.rows = cut(self.rows.join(keys.select("key"), "key", "left_anti"), "keys")

@@ -176,14 +176,52 @@ def test_bm25(spark):
     assert set(shallow) <= set(deep)
 
 
-def test_adaptive(spark):
+def test_index_kept_up(spark):
+    row = lambda d, i, t: (d, i, t)
+    kind = "document string, chunk_index int, text string"
+    old = spark.createDataFrame([row("a", i, f"escrow of lender {i}") for i in range(9)] + [row("b", 0, "the escrow")], kind)
+    new = spark.createDataFrame([row("a", 0, "a levy of the board"), row("c", 0, "escrow levy")], kind)
+    kept = retrieval.replace_in_index(retrieval.build_index(old), new.select("document"), new)
+    fresh = retrieval.build_index(old.filter("document <> 'a'").unionByName(new))
+    q = spark.createDataFrame([(1, "escrow levy"), (2, "board"), (3, "len")], "query_id int, question string")
+    both = [sorted(map(tuple, retrieval.bm25(q, x).collect())) for x in (kept, fresh)]
+    assert both[0] == both[1] and both[0]
+    gone = retrieval.replace_in_index(fresh, spark.createDataFrame([("b",), ("c",)], "document string"))
+    assert {r.document for r in retrieval.bm25(q, gone).collect()} <= {"a"}
+
+
+def test_adaptive_judges_each_question(spark):
     asked = []
+    q = spark.createDataFrame([(1, True), (2, True), (3, False)], "query_id int, deepen boolean")
 
-    def search(k):
-        asked.append(k)
-        return spark.range(min(k, 40))
+    def search(some, k):
+        ids = sorted(r.query_id for r in some.collect())
+        asked.append((ids, k))
+        most = {1: 50, 2: 20, 3: 99}
+        return spark.createDataFrame([(i, n) for i in ids for n in range(min(k, most[i]))], "query_id int, n int")
 
-    assert retrieval.adaptive(search, lambda r: r.count(), 20).count() == 40 and asked == [20, 40, 60]
+    found = retrieval.adaptive(search, lambda r: r.groupBy("query_id").count().withColumnRenamed("count", "m"), q, 20)
+    assert {(r.query_id, r["count"]) for r in found.groupBy("query_id").count().collect()} == {(1, 50), (2, 20), (3, 20)}
+    assert asked == [([1, 2, 3], 20), ([1, 2], 40), ([1], 60)]
+
+
+def test_dense_blocks(spark):
+    v = spark.createDataFrame([(i, [float(i % 7 - 3), 1.0, 0.5]) for i in range(50)] + [(90, None), (91, [1.0]), (92, [0.0, 0.0, 0.0]), (None, [1.0, 0.0, 0.0])], "id int, v array<float>")
+    q = v.filter("id IN (0, 3, 90, 92)")
+    want = None
+    for rows in (3, 2048):
+        got = sorted(((r["query"], r["item"] is None, r["item"], r["score"], r["rank"]) for r in retrieval.dense(q, v, "id", "id", "v", 5, rows).collect()), key=str)
+        assert want is None or got == want
+        want = got
+    assert {g[0] for g in got} == {0, 3, 92} and max(g[4] for g in got) == 5
+
+
+def test_keyword_scan(spark):
+    chunks = spark.createDataFrame([("d", 1, 0, "The ESCROW agent, pre-escrowed"), ("d", 1, 1, "escrow"), ("d", 2, 2, "a force majeure event"), ("e", 1, 0, None), ("e", 2, 1, "Force  majeure; escrow?")], "document string, page int, chunk_index int, text string")
+    asked = spark.createDataFrame([(1, "escrow"), (2, "Force Majeure"), (3, "zebra"), (4, None), (5, " ")], "query_id int, keyword string")
+    got = [(r.query_id, r.document, r.page, r.chunk_index, r["rank"]) for r in retrieval.keyword_scan(asked, chunks).collect()]
+    assert sorted(got) == [(1, "d", 1, 0, 1), (1, "e", 2, 1, 2), (2, "d", 2, 2, 1)]
+    assert retrieval.keyword_scan(asked, chunks.limit(0)).count() == 0
 
 
 # -- graph
@@ -259,7 +297,7 @@ def test_dedupe_prefers_value(spark):
 def test_fallback_confidence(spark):
     hits = spark.createDataFrame([(1, "d.pdf", 2, 7, "The  excerpt.", 0.82, 1), (2, "d.pdf", 2, 7, "x" * 600, 0.1, 1)], "query_id int, document string, page int, chunk_index int, text string, score double, rank int")
     got = {r.query_id: r for r in records.fallback_answer(hits).collect()}
-    assert got[1].confidence == 0.45 and "1. The excerpt. (d.pdf, page 2, chunk 7)" in got[1].answer and got[2].confidence == 0.2 and "x..." in got[2].answer
+    assert got[1].confidence == 0.45 and "- d.pdf, page 2: The excerpt." in got[1].answer and got[2].confidence == 0.2 and "x..." in got[2].answer
 
 
 # -- state
