@@ -1,11 +1,16 @@
 """Quantities recorded in different units, brought to common units.
 
-Every way to record a quantity is a source: a spelling of a unit, a money scale, a column.
-Sources are nodes of a graph whose edges convert one into another by scale and offset. Edges
-are known conversions, or are estimated: records of the same entities in two sources give a
-robust scale and offset (ratio of median absolute deviations, median of what remains), which
-are snapped to a known conversion if near enough. Conversions are composed along the graph
-until every source that hangs together with a common unit has its conversion to it.
+Every way to record a quantity is a source: a spelling of a unit, a money scale, a way to
+mark figures, a column. Sources are nodes of a graph whose edges convert one into another by
+scale and offset. Edges are known conversions, or are estimated: records of the same entities
+in two sources give a robust scale and offset (median slope from the centre, median of what
+remains), which are snapped to a known conversion if near enough. Conversions are composed
+along the graph until every source that hangs together with a common unit has its conversion
+to it.
+
+What figures with one mark and three digits behind it mean ("1,458", "1.458") is estimated as
+well: read with a decimal mark they are a source of their own, which is linked to the column
+that records the same entities' numbers; the scale between them, 1 or 1000, decides.
 """
 
 from __future__ import annotations
@@ -59,12 +64,19 @@ _FRACTION = re.compile(r"\s*(?:(\d+)\s*/\s*(\d+)|([½¼¾⅓⅔⅛⅜⅝⅞⅕
 _MARK = re.compile(r"^(?:US\$|Rs\.?(?![a-z])|INR|USD|EUR|[₹$€])\s*", re.I)
 
 
-def read_number(text: str) -> Fraction | None:
-    """A number in figures, with whichever marks separate its thousands and decimals."""
+#: Whether one mark with three digits behind it separates thousands, where no estimate says so.
+MARKS = {",": True, ".": False}
+
+
+def read_number(text: str, marks: dict[str, bool] = MARKS) -> Fraction | None:
+    """A number in figures, with whichever marks separate its thousands and decimals; ``marks``
+    says what one with three digits behind it does."""
     t = re.sub(r"[\s'’  ]", "", text).replace("−", "-").replace("–", "-").lstrip("+")
     sign, t = (-1, t[1:]) if t.startswith("-") else (1, t)
     comma, dot = t.rfind(","), t.rfind(".")
-    if comma >= 0 and dot >= 0:
+    if re.fullmatch(r"[1-9]\d{0,2}[.,]\d{3}", t):
+        t = re.sub(r"[.,]", "" if marks[t[-4]] else ".", t)
+    elif comma >= 0 and dot >= 0:
         t = t.replace(".", "").replace(",", ".") if comma > dot else t.replace(",", "")
     elif comma >= 0:
         whole = re.fullmatch(r"[1-9]\d{0,2}(,\d{2,3})*,\d{3}", t)
@@ -136,7 +148,7 @@ def money_of(text: str) -> tuple[str | None, int | None]:
     return (currency, 1) if currency in MONEY else (None, None)
 
 
-def read_quantity(text: str | None, unit: str | None = None, currency: str | None = None, scale: str | None = None) -> tuple[str | None, Fraction] | None:
+def read_quantity(text: str | None, unit: str | None = None, currency: str | None = None, scale: str | None = None, marks: dict[str, bool] = MARKS) -> tuple[str | None, Fraction] | None:
     """(unit, value) of a text that is one quantity, None if it is none. What the text does not
     say is taken from ``unit``, or ``currency`` and ``scale``; the unit is None if nothing says
     it. Hedges are ignored; parts of a compound (feet and inches) are added in the first's unit."""
@@ -160,7 +172,7 @@ def read_quantity(text: str | None, unit: str | None = None, currency: str | Non
             f = _FRACTION.match(t, m.start() + len(split[1]))
         elif not f and re.match(r"\s*/\s*\d", t[m.end() :]):
             return None
-        value = read_number(figures)
+        value = read_number(figures, marks)
         if value is None:
             return None
         end = m.start() + len(figures)
@@ -194,7 +206,7 @@ def read_quantity(text: str | None, unit: str | None = None, currency: str | Non
     if u := unit_of(rest):
         return u, value
     if m := re.match(r"^([^\d]+?)\s*,?\s*(?:and\s+)?(\d.*)$", rest):  # a compound
-        first, more = unit_of(m[1]), read_quantity(m[2])
+        first, more = unit_of(m[1]), read_quantity(m[2], marks=marks)
         if first and more and more[0]:
             ways = conversions((first,))
             if more[0] in ways:
@@ -299,13 +311,13 @@ def align(records: DataFrame, common: list[str], least: int = 8) -> tuple[DataFr
 _OTHER = re.compile(r"^([-−–+]?\s?\d[\d.,]*)\s*([^\W\d]{1,20}\.?(?: [^\W\d]{1,20}\.?){0,2})$")
 
 
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read(batches: Iterator[pd.DataFrame], marks: dict[str, bool] = MARKS) -> Iterator[pd.DataFrame]:
     """Texts as a source and a value; a unit nobody knows is a source by its own name."""
     for f in batches:
         out = []
         for text, unit, currency, scale in zip(f["text"], f["unit"], f["currency"], f["scale"]):
-            found = read_quantity(text, unit, currency, scale)
-            if found is None and (m := _OTHER.match(_HEDGE.sub("", " ".join((text or "").split())))) and (value := read_number(m[1])) is not None:
+            found = read_quantity(text, unit, currency, scale, marks)
+            if found is None and (m := _OTHER.match(_HEDGE.sub("", " ".join((text or "").split())))) and (value := read_number(m[1], marks)) is not None:
                 found = (f"text:{m[2].casefold()}", value)
             out.append(found if found and found[0] else (None, None))
         yield pd.concat([f.reset_index(drop=True), pd.DataFrame({"source": [s for s, _ in out], "value": [None if v is None else str(v) for _, v in out]})], axis=1)
@@ -340,6 +352,25 @@ def _second_records(read: DataFrame, held: DataFrame, cond) -> DataFrame:
     return rows.select("entity", F.explode("x").alias("x")).select("entity", "x.source", "x.value").filter("source IS NOT NULL AND value IS NOT NULL")
 
 
+def marks_of(held: DataFrame) -> dict[str, bool]:
+    """What each mark with three digits behind it separates, by the scale between such figures
+    read as decimals and the number recorded for their entity (entity_id, text, number); as
+    usual for a mark that too few entities have. One row for each of the two marks is collected."""
+    figures = F.regexp_extract("text", r"^[^\d.,]*(?<!\d)([1-9]\d{0,2}[.,]\d{3})(?![\d.,])[^\d]*$", 1)
+    seen = held.select(F.col("entity_id").alias("entity"), figures.alias("f"), F.abs(F.expr("try_cast(number AS double)")).alias("recorded")).filter("f <> '' AND recorded IS NOT NULL")
+    mark = F.concat(F.lit("mark"), F.regexp_extract("f", "[.,]", 0))
+    each = F.array(F.struct(mark.alias("source"), F.regexp_replace("f", ",", ".").cast("double").alias("value")), F.struct(F.lit("number").alias("source"), F.col("recorded").alias("value")))
+    links = estimate_links(seen.select("entity", F.explode(each).alias("x")).select("entity", "x.source", "x.value"))
+    said = {}
+    for r in links.collect():  # number and a mark: two rows at most
+        if r["b"] == "number" or r["a"] == "number":
+            scale = r["scale"] if r["b"] == "number" else 1 / r["scale"] if r["scale"] else 0.0
+            found = snap(scale, 0.0, 1.0)
+            if found and found[0] in (1, 1000):
+                said[(r["a"] if r["b"] == "number" else r["b"])[-1]] = found[0] == 1000
+    return {**MARKS, **said}
+
+
 def common_quantities(mentions: DataFrame, entities: DataFrame, common: DataFrame) -> DataFrame:
     """(mention_id, unit, amount): each mention of a quantity of known unit in the unit of its
     dimension in ``common`` (dimension, unit), rounded to the nearest whole number.
@@ -348,8 +379,9 @@ def common_quantities(mentions: DataFrame, entities: DataFrame, common: DataFram
     the text does not say is taken from the metadata (unit, uom, or currency and scale). Texts
     that are null, empty or no quantity, quantities without a unit anywhere and null keys give
     no row; a repeated mention counts once; empty tables give no rows. Equal texts with equal
-    metadata are read once. A unit nobody knows is converted if enough entities that use it
-    state the same quantities in a known unit (``estimate_links``, ``snap``).
+    metadata are read once. What marks in figures mean follows the numbers recorded for the
+    same entities (``marks_of``). A unit nobody knows is converted if enough entities that use
+    it state the same quantities in a known unit (``estimate_links``, ``snap``).
     """
     targets = [r["unit"] for r in common.select("unit").distinct().orderBy("unit").collect() if r["unit"]]  # one for each dimension
     words = "|".join([*(w for w in _ONES if len(w) > 2), *_TENS, "hundred"])
@@ -362,7 +394,8 @@ def common_quantities(mentions: DataFrame, entities: DataFrame, common: DataFram
     for k in keys:
         cond = cond & F.col(f"h.{k}").eqNullSafe(F.col(f"r.{k}"))
     said = "text string, unit string, currency string, scale string"
-    read = cut(held.select(*keys).distinct().mapInPandas(_read, f"{said}, source string, value string").filter("source IS NOT NULL"), "quantities-read")
+    marks = marks_of(held)
+    read = cut(held.select(*keys).distinct().mapInPandas(lambda it: _read(it, marks), f"{said}, source string, value string").filter("source IS NOT NULL"), "quantities-read")
     links = list(CONVERSIONS)
     second = cut(_second_records(read, held, cond), "second-records")
     if not second.isEmpty():

@@ -29,6 +29,17 @@ def test_texts():
     assert units.read_quantity("5 km", unit="kg") == ("km", Fraction(5)) and units.read_quantity("-3", unit="°F") == ("degf", Fraction(-3))
 
 
+def test_marks_are_estimated(spark):
+    """In a country where the comma marks decimals, figures say so by the numbers recorded."""
+    kind = "entity_id string, text string, number string"
+    rows = [(f"e{i}", f"{i + 2},{100 + i} kg", f"{i + 2}.{100 + i}") for i in range(20)] + [(f"d{i}", f"about {i + 1}.{200 + i} m", f"{i + 1}{200 + i}") for i in range(20)]
+    assert units.marks_of(spark.createDataFrame(rows, kind)) == {",": False, ".": True}
+    usual = [(f"e{i}", f"{i + 2},{100 + i} kg", f"{i + 2}{100 + i}") for i in range(20)] + [("x", "1.234", "1.234"), ("y", "5,678", None), (None, "5,678", "5"), ("z", None, "5")]
+    usual[3:6] = [(f"e{i}", f"{i + 2},{100 + i} kg", "7") for i in range(3, 6)]  # a minority is wrong
+    assert units.marks_of(spark.createDataFrame(usual, kind)) == units.MARKS == units.marks_of(spark.createDataFrame([], kind))
+    assert units.read_quantity("1,458 kg", marks={",": False, ".": True}) == ("kg", Fraction("1.458")) and units.read_quantity("1.458 kg", marks={",": False, ".": True}) == ("kg", Fraction(1458))
+
+
 def test_conversions_compose():
     assert units.conversions(("mm",))["mi"] == (Fraction(1609344), 0)
     s, o = units.conversions(("degf",))["kelvin"]
