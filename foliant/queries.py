@@ -1119,6 +1119,96 @@ def sample_corpus(s, d):
     return chunking.chunk_fixed(sample_pages(s))
 
 
+# -- functions and sinks that no query above asks for ------------------------------------------------------
+_TIDY = r"regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g')"
+_BARE = rf"regexp_replace(regexp_replace({_TIDY}, '{T.ENTITY_PREFIX}', ''), '^\s+|\s+$', '', 'g')"
+
+
+@query(rf"""
+    SELECT mention_id, CASE WHEN ends_with(label, '_ID') OR label IN ('ID', 'EMAIL', 'PHONE') THEN lower({_BARE}) ELSE regexp_replace(regexp_replace(lower({_BARE}), '[^\p{{L}}\p{{N}}_\s&.-]', '', 'g'), '^\s+|\s+$', '', 'g') END AS norm
+    FROM (SELECT mention_id, text, CASE WHEN label = 'CONTRACT' THEN 'CONTRACT_ID' ELSE label END AS label FROM {MENTIONS} WHERE text IS NOT NULL AND label IS NOT NULL)""")
+def graph_normalise(s, d):
+    m = mentions(s, d).filter("text IS NOT NULL AND label IS NOT NULL").withColumn("label", F.when(F.col("label") == "CONTRACT", "CONTRACT_ID").otherwise(F.col("label")))
+    return m.select("mention_id", T.normalise_graph_entity(F.col("text"), F.col("label")).alias("norm"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'INVOICE_ID' ELSE 'INV_ID' END AS label FROM orders")
+def id_labels(s, d):
+    noun = F.when(F.col("o_orderkey") % 2 == 0, "invoice")
+    return table(s, d, "orders").select("o_orderkey", T.label_of_id(noun, F.concat(F.lit("inv-"), F.col("o_orderkey").cast("string"))).alias("label"))
+
+
+@query(f"SELECT query_id, CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS badge FROM (SELECT query_id, coalesce(list_max(list_transform(retrieved_top5, lambda x: x.relevance_score)), 0.0) AS c FROM {RESULTS})")
+def confidence_badges(s, d):
+    top = F.coalesce(F.array_max(F.transform("retrieved_top5", lambda x: x["relevance_score"])), F.lit(0.0))
+    return results(s, d).select("query_id", T.confidence_badge(top).alias("badge"))
+
+
+@query(f"SELECT count(*) FILTER (cache_hit) AS hits, count(*) - count(*) FILTER (cache_hit) AS misses, round(count(*) FILTER (cache_hit) / count(*), 4) AS hit_rate, count(*) FILTER (cache_hit AND latency_ms < 200) AS exact_hits, count(*) FILTER (cache_hit AND latency_ms >= 200) AS semantic_hits FROM {RESPONSES}")
+def cache_tiers(s, d):
+    rows = responses(s, d).withColumn("tier", F.when(F.col("latency_ms") < 200, "exact").when(F.col("latency_ms") >= 200, "semantic"))
+    return state.cache_stats(rows, "tier")
+
+
+@query(f"SELECT document, count(*) AS n_chunks, arg_min(section_title, (page, chunk_index)) FILTER (trim(section_title) <> '') AS summary FROM (SELECT document, chunk_index, any_value(page) AS page, any_value(section_title) AS section_title FROM chunks WHERE document IS NOT NULL AND chunk_index IS NOT NULL GROUP BY ALL) GROUP BY document")
+def document_info_summary(s, d):
+    return corpus.document_info(corpus.corpus(s, d).withColumn("summary", F.col("section_title"))).select("document", "n_chunks", "summary")
+
+
+@query(f"""
+    SELECT p.document, p.pages, coalesce(r.relations, 0) AS relations FROM (SELECT document, count(*) AS pages FROM {PAGES} GROUP BY document) p
+    LEFT JOIN (SELECT document, count(*) AS relations FROM (SELECT DISTINCT document, entity_id, label FROM {MENTIONS} WHERE document IS NOT NULL) GROUP BY document) r USING (document)""")
+def ingest_relations(s, d):
+    related = mentions(s, d).select(F.col("entity_id").alias("source_id"), F.col("label").alias("target_id"), F.lit("BELONGS_TO").alias("type"), "document")
+    return corpus.ingest_rollup(corpus.page_table(s, d), corpus.corpus(s, d), table(s, d, "mentions"), related).select("document", "pages", "relations")
+
+
+@query("""
+    SELECT document, chunk_index, round(x, 6) AS x FROM (
+        SELECT 'd' || vec_id % 10 AS document, vec_id AS chunk_index, CAST(-embedding[1] AS DOUBLE) AS x FROM embeddings WHERE vec_id % 3 = 0
+        UNION ALL SELECT 'd' || vec_id % 10, vec_id, CAST(embedding[1] AS DOUBLE) FROM embeddings WHERE vec_id % 2 = 0 AND vec_id % 3 <> 0)""")
+def vector_upsert(s, d):
+    keyed = table(s, d, "embeddings").select(F.concat(F.lit("d"), (F.col("vec_id") % 10).cast("string")).alias("document"), F.col("vec_id").alias("chunk_index"), "embedding")
+    incoming = keyed.filter("chunk_index % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    merged = corpus.upsert_vectors(keyed.filter("chunk_index % 2 = 0"), incoming)
+    return merged.select("document", "chunk_index", F.round(F.col("embedding")[0].cast("double"), 6).alias("x"))
+
+
+@query("SELECT document, page FROM (SELECT DISTINCT document, page FROM pages WHERE document IS NOT NULL AND page IS NOT NULL) WHERE lower(regexp_extract(document, '\\.([^./]+)$', 1)) IN ('pdf', 'png', 'jpg', 'jpeg', 'tif', 'tiff', 'bmp', 'webp') AND page * 20000000 <= 52428800")
+def upload_accept(s, d):
+    rows = table(s, d, "pages").filter("document IS NOT NULL AND page IS NOT NULL").select("document", "page").distinct()
+    return rows.filter(corpus.accepted_upload(F.col("document"), F.col("page") * 20_000_000))
+
+
+@query(f"SELECT corpus_key, count(*) AS n FROM {CACHE} WHERE corpus_key IS DISTINCT FROM (SELECT min(corpus_key) FROM cache_rows) GROUP BY corpus_key")
+def cache_invalidate(s, d):
+    rows = cache(s, d)
+    first = rows.agg(F.min("corpus_key")).first()[0]
+    return state.invalidate(rows, first).groupBy("corpus_key").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+    SELECT query_id, document, chunk_index FROM ({bm25_sql(20)}) JOIN {CHUNKS} USING (document, chunk_index) JOIN (SELECT query_id, question FROM {RESULTS}) USING (query_id)
+    WHERE score >= 0.8 OR coalesce(len(list_intersect(coalesce(entities, []), regexp_extract_all(question, '\\b([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+)\\b', 1))), 0) > 0""")
+def evidence_kept(s, d):
+    held = retrieval.bm25(stated(s, d), index(s, d), 20).join(corpus.corpus(s, d).select("document", "chunk_index", "entities"), ["document", "chunk_index"]).join(stated(s, d), "query_id")
+    asked = F.regexp_extract_all("question", F.lit(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)+)\b"), F.lit(1))
+    return retrieval.evidence(held, F.col("entities"), asked, 0.8).select("query_id", "document", "chunk_index")
+
+
+@query(f"""
+    WITH m AS (SELECT DISTINCT document, page, chunk_index, lower(text) AS name, entity_id, mention_id FROM {MENTIONS} WHERE document IS NOT NULL AND chunk_index IS NOT NULL AND text IS NOT NULL),
+    first AS (SELECT document, page, chunk_index, name, arg_min(entity_id, mention_id) AS entity_id FROM (SELECT document, page, chunk_index, name, entity_id, mention_id FROM m UNION SELECT document, page, chunk_index, normalized, entity_id, mention_id FROM {MENTIONS} WHERE normalized IS NOT NULL AND document IS NOT NULL AND chunk_index IS NOT NULL) GROUP BY ALL),
+    said AS (SELECT document, page, chunk_index, min(name) AS s, max(name) AS t FROM m GROUP BY ALL HAVING count(DISTINCT name) > 1)
+    SELECT DISTINCT a.entity_id AS source_id, b.entity_id AS target_id, 'RELATED_TO' AS type, s.document, 0.92 AS confidence FROM said s
+    JOIN first a ON a.document = s.document AND a.page = s.page AND a.chunk_index = s.chunk_index AND a.name = s.s JOIN first b ON b.document = s.document AND b.page = s.page AND b.chunk_index = s.chunk_index AND b.name = s.t""")
+def relations_linked(s, d):
+    m = mentions(s, d).filter("document IS NOT NULL AND chunk_index IS NOT NULL")
+    said = m.filter("text IS NOT NULL").groupBy("document", "page", "chunk_index").agg(F.min(F.lower("text")).alias("source"), F.max(F.lower("text")).alias("target")).filter("source <> target")
+    found = graph.relations_of(said.withColumn("type", F.lit("RELATED_TO")).withColumn("seq", F.lit(0)), m)
+    return found.select("source_id", "target_id", "type", "document", F.col("confidence").cast("double").alias("confidence"))
+
+
 # -- events ---------------------------------------------------------------------------------------------
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def tumbling_counts(s, d):
