@@ -206,7 +206,7 @@ _SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_r
            lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"""
 _TOKENS = "CAST(greatest(1, floor(length({0}) / 4)) AS BIGINT)"
 _SUM = "coalesce(list_sum(list_transform({0}, lambda x: " + _TOKENS.format("x") + ")), 0)"
-CHUNK_SQL = f"""
+_FLAT = f"""
     WITH RECURSIVE clean AS (SELECT document, page, ocr_confidence, extraction_method, {_CLEAN} AS clean FROM {PAGES}),
     each AS (SELECT document, page, unnest(s) AS x, generate_subscripts(s, 1) AS i FROM (SELECT document, page, {_SENTENCES.format('clean')} AS s FROM clean WHERE clean <> '')),
     long AS (SELECT document, page, i, list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '') AS w FROM each WHERE {_TOKENS.format('x')} > 512),
@@ -215,7 +215,8 @@ CHUNK_SQL = f"""
         UNION ALL SELECT document, page, i, k + 1, CASE WHEN line <> '' AND length(line) + 1 + length(w[k + 1]) > 2048 OR line = '' THEN w[k + 1] ELSE line || ' ' || w[k + 1] END,
             CASE WHEN line <> '' AND length(line) + 1 + length(w[k + 1]) > 2048 THEN list_append(done, line) ELSE done END FROM runs JOIN long USING (document, page, i) WHERE k < len(w)),
     parts AS (SELECT document, page, i, [x] AS p FROM each WHERE {_TOKENS.format('x')} <= 512 UNION ALL SELECT document, page, i, list_append(done, line) FROM runs JOIN long USING (document, page, i) WHERE k = len(w)),
-    flat AS (SELECT document, page, flatten(list(p ORDER BY i)) AS p FROM parts GROUP BY ALL),
+    flat AS MATERIALIZED (SELECT document, page, flatten(list(p ORDER BY i)) AS p FROM parts GROUP BY ALL),"""
+CHUNK_SQL = f"""{_FLAT}
     pack(document, page, k, own, done) AS (
         SELECT document, page, 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[][]) FROM flat
         UNION ALL SELECT document, page, k + 1, list_append(CASE WHEN NOT is_full THEN own WHEN {_SUM.format('kept')} + {_TOKENS.format('nxt')} > 512 THEN [] ELSE kept END, nxt), CASE WHEN is_full THEN list_append(done, own) ELSE done END
@@ -230,7 +231,32 @@ def chunk_fixed(s, d):
     return chunking.chunk_fixed(corpus.page_table(s, d))
 
 
-@query()
+_OF = "coalesce(list_sum(list_transform({0}, lambda x: nt[x])), 0)"
+SEMANTIC_SQL = f"""{_FLAT}
+    sent AS MATERIALIZED (SELECT document, page, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM flat),
+    dims AS MATERIALIZED (SELECT document, page, i, place, sum(sign) AS x FROM (SELECT document, page, i, CAST('0x' || substr(md5(w), 1, 2) AS INTEGER) AS place, CASE WHEN substr(md5(w), 3, 1) >= '8' THEN 1 ELSE -1 END AS sign FROM (SELECT document, page, i, unnest({WORDS.format('x')}) AS w FROM sent)) GROUP BY ALL),
+    norms AS MATERIALIZED (SELECT document, page, i, sqrt(sum(x * x)) AS n FROM dims GROUP BY ALL),
+    dots AS (SELECT b.document, b.page, b.i, sum(a.x * b.x) AS d FROM dims a JOIN dims b ON a.document = b.document AND a.page = b.page AND b.i = a.i + 1 AND a.place = b.place GROUP BY ALL),
+    near AS MATERIALIZED (SELECT s.document, s.page, list(CASE WHEN na.n * nb.n > 0 THEN coalesce(d.d, 0) / (na.n * nb.n) ELSE 0.0 END ORDER BY s.i) AS near FROM sent s LEFT JOIN dots d ON d.document = s.document AND d.page = s.page AND d.i = s.i
+        LEFT JOIN norms nb ON nb.document = s.document AND nb.page = s.page AND nb.i = s.i LEFT JOIN norms na ON na.document = s.document AND na.page = s.page AND na.i = s.i - 1 GROUP BY ALL),
+    base AS MATERIALIZED (SELECT document, page, p, near, list_transform(p, lambda x: {_TOKENS.format('x')}) AS nt FROM flat JOIN near USING (document, page)),
+    grp(document, page, k, own, tokens, rolling, groups) AS (
+        SELECT document, page, CAST(1 AS BIGINT), CAST([1] AS BIGINT[]), CAST(nt[1] AS BIGINT), CAST(NULL AS DOUBLE), CAST([] AS BIGINT[][]) FROM base
+        UNION ALL SELECT document, page, k + 1, list_append(seed, k + 1), CAST(CASE WHEN parted THEN {_OF.format('seed')} ELSE tokens END + nt[k + 1] AS BIGINT), CASE WHEN parted THEN NULL WHEN rolling IS NULL THEN s ELSE 0.75 * rolling + 0.25 * s END, CASE WHEN parted THEN list_append(groups, own) ELSE groups END
+            FROM (SELECT *, CASE WHEN NOT parted THEN own WHEN {_OF.format('kept')} + nt[k + 1] <= 512 THEN kept ELSE [] END AS seed FROM (
+                SELECT document, page, k, own, tokens, rolling, groups, nt, near[k + 1] AS s, tokens + nt[k + 1] > 512 OR (rolling IS NOT NULL AND tokens >= 80 AND rolling - near[k + 1] >= 0.18) AS parted, own[list_filter(range(1, len(own) + 2), lambda j: {_OF.format('own[j:]')} <= 64)[1]:] AS kept
+                FROM grp JOIN base USING (document, page) WHERE k < len(p)))),
+    sets AS MATERIALIZED (SELECT document, page, p, nt, list_append(groups, own) AS groups FROM grp JOIN base USING (document, page) WHERE k = len(p)),
+    mrg(document, page, j, acc) AS (
+        SELECT document, page, 0, CAST([] AS BIGINT[][]) FROM sets
+        UNION ALL SELECT document, page, j + 1, CASE WHEN len(acc) > 0 AND {_OF.format('g')} < 80 AND {_OF.format('acc[len(acc)]')} + {_OF.format('new')} <= 512 THEN list_append(acc[1:len(acc) - 1], list_concat(acc[len(acc)], new)) ELSE list_append(acc, g) END
+            FROM (SELECT document, page, j, acc, nt, groups[j + 1] AS g, list_filter(groups[j + 1], lambda x: len(acc) = 0 OR NOT list_contains(acc[len(acc)], x)) AS new FROM mrg JOIN sets USING (document, page) WHERE j < len(groups))),
+    chunks_of AS (SELECT document, page, unnest(c) AS c, generate_subscripts(c, 1) AS pos FROM (SELECT document, page, list_transform(acc, lambda g: list_transform(g, lambda x: p[x])) AS c FROM mrg JOIN sets USING (document, page) WHERE j = len(groups)))
+    SELECT document, page, CAST(row_number() OVER (PARTITION BY document ORDER BY page, pos) - 1 AS INTEGER) AS chunk_index, array_to_string(c, ' ') AS text, CAST({_TOKENS.format("array_to_string(c, ' ')")} AS INTEGER) AS token_count, section_title, ocr_confidence, extraction_method
+    FROM chunks_of JOIN clean USING (document, page) JOIN ({ORACLE['section_carry']}) USING (document, page)"""
+
+
+@query(SEMANTIC_SQL)
 def chunk_semantic(s, d):
     return chunking.chunk_semantic(corpus.page_table(s, d))
 
@@ -1237,7 +1263,12 @@ def p7_found(s, d):
     return units.common_quantities(table(s, d, "mentions"), table(s, d, "entities"), table(s, d, "common_units"))
 
 
-@query()
+@query("""
+    WITH v AS (SELECT entity_id, source, value FROM (SELECT entity_id, 'numeric_value' AS source, numeric_value AS value FROM entities UNION ALL SELECT entity_id, 'metadata', TRY_CAST(metadata['numeric_value'] AS DOUBLE) FROM entities UNION ALL SELECT entity_id, 'name', TRY_CAST(name AS DOUBLE) FROM entities) WHERE value IS NOT NULL AND NOT isnan(value)),
+    pairs AS (SELECT x.source AS a, y.source AS b, x.value AS x, y.value AS y FROM v x JOIN v y ON x.entity_id = y.entity_id AND x.source < y.source),
+    centres AS (SELECT a, b, count(*) AS n, quantile_disc(x, 0.5) AS mx, quantile_disc(y, 0.5) AS my FROM pairs GROUP BY ALL HAVING count(*) >= 8),
+    slopes AS (SELECT a, b, n, coalesce(quantile_disc((y - my) / (x - mx), 0.5) FILTER (abs(x - mx) > 1e-9 * greatest(1.0, abs(mx))), my / nullif(mx, 0), 1.0) AS scale FROM pairs JOIN centres USING (a, b) GROUP BY a, b, n, mx, my)
+    SELECT a, b, n, round(scale, 6) AS scale, round(quantile_disc(y - scale * x, 0.5), 6) AS "offset" FROM pairs JOIN slopes USING (a, b) GROUP BY a, b, n, scale""")
 def p7_sources(s, d):
     """Each pair of sources of the numbers of one entity, with its estimated conversion."""
     e = table(s, d, "entities")
