@@ -297,7 +297,7 @@ def test_dedupe_prefers_value(spark):
 def test_fallback_confidence(spark):
     hits = spark.createDataFrame([(1, "d.pdf", 2, 7, "The  excerpt.", 0.82, 1), (2, "d.pdf", 2, 7, "x" * 600, 0.1, 1)], "query_id int, document string, page int, chunk_index int, text string, score double, rank int")
     got = {r.query_id: r for r in records.fallback_answer(hits).collect()}
-    assert got[1].confidence == 0.45 and "- d.pdf, page 2: The excerpt." in got[1].answer and got[2].confidence == 0.2 and "x..." in got[2].answer
+    assert got[1].confidence == 0.45 and "- d.pdf, page 2: The excerpt." in got[1].answer and got[2].confidence == 0.2 and "x …" in got[2].answer
 
 
 # -- state
