@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foliant.llm import near, neighbours, split
@@ -79,6 +80,36 @@ def test_near_pairs(spark, least):
     assert near.near_pairs(df.limit(0), "query_id", "question").count() == 0
 
 
+def test_axes_lose_no_pair_and_rule_out_the_rest():
+    """Texts of one vocabulary share much; few of their pairs may be left to be checked on the texts."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(8)) for _ in range(150)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(35, 60))) for _ in range(350)]
+    for i in range(200):
+        own = texts[i].split(" ")
+        for _ in range(rng.randrange(1, 9)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join(own))
+    texts += ["abc", "abcd", words[0], " ".join(words * 3), texts[0] + " " + texts[1]]
+    sets = [near.grams(x) for x in texts]
+    row, codes = near.distinct(texts)
+    assert np.bincount(row).tolist() == [len(x) for x in sets] and len(set(zip(row.tolist(), codes.tolist()))) == len(row)
+    share = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    true = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if share(a, b) >= 0.7}
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "norm"])
+    signed = pa.Table.from_batches(near._signatures(iter([batch]), 0.7, 1024)).to_pandas()
+    other = np.random.default_rng(1).integers(0, 256, size=(50, 128), dtype=np.uint8)
+    for m in (near.bitmaps(row, codes, len(texts), 1024), other, other[:1] * 0):
+        mean, along = near.axes(m)
+        assert np.allclose(along.T @ along, np.eye(along.shape[1]), atol=1e-5)
+        for tile in (256, 7):
+            got = near.compare(signed, signed, True, 0.7, mean, along, tile)
+            found = set(zip(got.id_a, got.id_b))
+            assert len(found) == len(got) and true <= found and len(found) < 1.2 * len(true) and len(true) > 120
+            halves = near.compare(signed[::2], signed[1::2], False, 0.7, mean, along, tile)
+            assert set(zip(halves.id_a, halves.id_b)) == {(a, b) for a, b in found if (a + b) % 2}
+
+
 def test_blocks_cover_all_sizes():
     rng = random.Random(2)
     for rows in (5, 50, 5000):
