@@ -176,6 +176,23 @@ def test_bm25(spark):
     assert set(shallow) <= set(deep)
 
 
+def test_questions_meet_chunks_in_blocks(spark, monkeypatch):
+    """Blocks pass on k chunks of a question, however many share its words; ties and blocks of any size."""
+    chunks = spark.createDataFrame([(f"d{i % 70:02}", i, f"the lender w{i % 9} " + "levy " * (i % 4)) for i in range(900)], "document string, chunk_index int, text string").repartition(3)
+    q = spark.createDataFrame([(i, f"the lender levy w{i % 11} tenant") for i in range(60)], "query_id int, question string")
+    index, want = retrieval.build_index(chunks), None
+    for rows, asked, part, thick in ((8192, 4096, 256, 16), (100, 4096, 7, 0), (64, 9, 5, 3), (50, 7, 256, 10**9)):
+        for name, value in (("CHUNK_BLOCK", rows), ("QUESTION_BLOCK", asked), ("SLICE", part), ("DENSE", thick)):
+            monkeypatch.setattr(retrieval, name, value)
+        got = sorted(map(tuple, retrieval.bm25(q, index, 5).collect()))
+        assert want is None or got == want
+        want = got
+    assert len(want) == 300 and {r[4] for r in want} == {1, 2, 3, 4, 5}
+    held = q.select("query_id", F.array(F.lit("the"), F.lit("lender")).alias("terms"), F.array(F.lit(1.0), F.lit(2.0)).alias("worths"))
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 8192)
+    assert retrieval._score(held, index.forward, 5, 4.0, 900).count() <= 60 * 5  # and no row for each of 54,000 pairs
+
+
 def test_index_kept_up(spark):
     row = lambda d, i, t: (d, i, t)
     kind = "document string, chunk_index int, text string"
