@@ -242,6 +242,27 @@ def test_keyword_scan(spark):
 
 
 # -- graph
+def test_keyword_blocks(spark, monkeypatch):
+    """Keywords that recur and are in every text, blocks of any size; a page that is not known comes last."""
+    page = lambda i: None if i % 17 == 0 else i % 13
+    rows = [(f"d{i % 7}", page(i), i, f"Common w{i % 5}x /{i % 3}/") for i in range(300)]
+    chunks = spark.createDataFrame(rows, "document string, page int, chunk_index int, text string").repartition(5)
+    words = ["common", "COMMON ", "w1x", "w", "/2/", "nothing", "x /0"]
+    asked = spark.createDataFrame([(i, words[i % 7]) for i in range(70)], "query_id int, keyword string")
+
+    def want(word):
+        first = {}
+        for d, p, k, t in rows:
+            if word.strip().lower() in t.lower():
+                first[d, p] = min(k, first.get((d, p), k))
+        return [(d, p, k) for _, p, k, d in sorted((p is None, p, k, d) for (d, p), k in first.items())[:3]]
+
+    for share, block in ((200_000, 8192), (2, 11)):
+        monkeypatch.setattr(retrieval, "CHUNK_BLOCK", block)
+        got = sorted((r.query_id, r["rank"], r.document, r.page, r.chunk_index) for r in retrieval.keyword_scan(asked, chunks, share=share).collect())
+        assert got == [(i, n + 1, *x) for i in range(70) for n, x in enumerate(want(words[i % 7]))]
+
+
 def test_search_strips_the_type_word(spark):
     e = spark.createDataFrame([("e1", "EXECUTIVE", "jane doe", ["Jane Doe"], 0.9), ("e2", "COMPANY", "doe mills", None, 0.8), ("e3", "CITY", "x", [None], None)], "entity_id string, label string, name string, aliases array<string>, confidence double")
     assert [r.entity_id for r in graph.search(e, "company Doe", 5).collect()] == ["e1", "e2"] and [r.entity_id for r in graph.search(e, "Jane Doe?", 5).collect()] == ["e1"]
