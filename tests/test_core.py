@@ -283,6 +283,31 @@ def test_all_met_in_a_chunk_are_neighbours(spark):
     assert got == {("q", "d", 1, 0): 3, ("q", "d", 2, 1): 2, ("q", "e", None, 4): 1, ("r", "d", 2, 2): 1}
 
 
+def test_hot_entities_are_not_walked_through(spark):
+    """The same chunks and hits whatever counts as hot, against brute force."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(240):
+        met = {f"e{min(int(rng.expovariate(0.12)), 60)}" for _ in range(rng.randint(1, 3))} | ({"h1"} if rng.random() < 0.6 else set()) | ({"h2"} if rng.random() < 0.3 else set())
+        rows += [(e, f"d{i % 9}", rng.choice([None, 1, 2]) if i % 4 else 3, i) for e in sorted(met)]
+    at, of = {}, {}
+    for e, *c in rows:
+        at.setdefault(e, set()).add(tuple(c))
+        of.setdefault(tuple(c), set()).add(e)
+    asked = [(q, e) for q, es in {"a": ["e0"], "b": ["e50", "e3"], "c": ["h1"], "d": ["e7"], "e": ["gone"], "f": ["h2", "e1"]}.items() for e in es]
+    want = []
+    for q in "abcdef":
+        own = {e for x, e in asked if x == q}
+        wide = own | {y for e in own for c in at.get(e, ()) for y in of[c]}
+        hits = sorted((-len(wide & held), c[0], c[1] is None, c[1], c[2]) for c, held in of.items() if wide & held)[:12]
+        want += [(q, n + 1, -h, d, p, k) for n, (h, d, _, p, k) in enumerate(hits)]
+    m = spark.createDataFrame(rows, "entity_id string, document string, page int, chunk_index int").repartition(4)
+    a = spark.createDataFrame(asked, "query_id string, entity_id string")
+    for hot in (1000, 60, 3):
+        got = sorted((r.query_id, r["rank"], r.hits, r.document, r.page, r.chunk_index) for r in graph.chunk_retrieve(a, m, hot=hot).collect())
+        assert got == want
+
+
 def test_relations(spark):
     m = spark.createDataFrame([(1, "e1", "Acme", "acme", "d", 1, 0), (2, "e2", "Bolt Ltd", "bolt ltd", "d", 1, 0), (3, "e3", "acme", "acme", "d", 1, 0)], "mention_id int, entity_id string, text string, normalized string, document string, page int, chunk_index int")
     r = spark.createDataFrame([("d", 1, 0, 1, "ACME", "OWNS", "Bolt Ltd"), ("d", 1, 0, 2, "acme", "OWNS", "bolt ltd"), ("d", 1, 0, 3, "Nobody", "OWNS", "Acme")], "document string, page int, chunk_index int, seq int, source string, type string, target string")
