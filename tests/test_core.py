@@ -308,6 +308,17 @@ def test_hot_entities_are_not_walked_through(spark):
         assert got == want
 
 
+def test_places_are_made_once(spark):
+    kind = "entity_id string, document string, page int, chunk_index int"
+    m = spark.createDataFrame([("a", "d", 1, 0), ("b", "d", 1, 0)], kind)
+    engine = Engine(spark, spark.createDataFrame([("d", 0, 1, "x")], "document string, chunk_index int, page int, text string"), m)
+    held = engine.places()
+    asked = spark.createDataFrame([("q", "a")], "query_id string, entity_id string")
+    assert engine.places() is held and [r.hits for r in graph.chunk_retrieve(asked, held).collect()] == [2]
+    engine.mentions = m.limit(0)
+    assert engine.places() is not held and graph.chunk_retrieve(asked, engine.places()).count() == 0
+
+
 def test_relations(spark):
     m = spark.createDataFrame([(1, "e1", "Acme", "acme", "d", 1, 0), (2, "e2", "Bolt Ltd", "bolt ltd", "d", 1, 0), (3, "e3", "acme", "acme", "d", 1, 0)], "mention_id int, entity_id string, text string, normalized string, document string, page int, chunk_index int")
     r = spark.createDataFrame([("d", 1, 0, 1, "ACME", "OWNS", "Bolt Ltd"), ("d", 1, 0, 2, "acme", "OWNS", "bolt ltd"), ("d", 1, 0, 3, "Nobody", "OWNS", "Acme")], "document string, page int, chunk_index int, seq int, source string, type string, target string")
